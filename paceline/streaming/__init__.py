@@ -1,0 +1 @@
+"""Empty on purpose: every supported query reads a static table, so there is nothing to stream."""
