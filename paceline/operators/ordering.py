@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ class HotGroups:
     keys: list[str]
     table: DataFrame
     rows: int
+    limit: int
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS) -> HotGroups | None:
@@ -50,11 +52,14 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS)
     listed = sizes.orderBy(F.desc("_n")).limit(HOT_GROUPS).toArrow()
     if listed.num_rows == 0:
         return None
-    return HotGroups(keys, local_table(df, listed, sizes.schema).drop("_n"), sum(listed["_n"].to_pylist()))
+    table = local_table(df, listed, sizes.schema).drop("_n")
+    return HotGroups(keys, table, sum(listed["_n"].to_pylist()), hot_rows)
 
 
 def local_table(df: DataFrame, rows, schema) -> DataFrame:
-    """A short Arrow table as a relation whose size Spark knows when it plans."""
+    """A short Arrow table, or list of dicts, as a relation whose size Spark knows when it plans."""
+    if isinstance(rows, list):
+        rows = pa.Table.from_pylist(rows)
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -67,18 +72,17 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, hot: HotGroups | None
 ) -> DataFrame:
     """Add `out`: the sum of `weight` from the start of the group to this row.
 
     `keys + order` must identify a row, or the order among equal rows is arbitrary.
     """
-    hot = hot_groups(df, keys, hot_rows)
     if hot is None:
         return _windowed_total(df, keys, order, weight, out)
     ordinary, large = split_hot(df, hot)
     return _windowed_total(ordinary, keys, order, weight, out).unionByName(
-        _ranged_total(large, hot, order, weight, out, hot_rows)
+        _ranged_total(large, hot, order, weight, out)
     )
 
 
@@ -87,7 +91,7 @@ def _windowed_total(df, keys, order, weight, out):
     return df.withColumn(out, F.sum(weight).over(here))
 
 
-def _ranged_total(df, hot, order, weight, out, hot_rows):
+def _ranged_total(df, hot, order, weight, out):
     """Running totals over a range-sorted table.
 
     Every partition gets a like share of the rows whatever the groups are. A total runs through each
@@ -96,7 +100,7 @@ def _ranged_total(df, hot, order, weight, out, hot_rows):
     """
     keys = hot.keys
     spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * hot.rows / hot_rows))
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * hot.rows / hot.limit))
     parts = min(wanted, MAX_PARTS)
     ranged = checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
 
@@ -131,7 +135,7 @@ def rank_in_group(
         return _windowed_rank(df, keys, value, tiebreak, names)
     ordinary, large = split_hot(df, hot)
     return _windowed_rank(ordinary, keys, value, tiebreak, names).unionByName(
-        _ranged_rank(large, hot, value, tiebreak, names, hot_rows)
+        _ranged_rank(large, hot, value, tiebreak, names)
     )
 
 
@@ -146,9 +150,9 @@ def _windowed_rank(df, keys, value, tiebreak, names):
     )
 
 
-def _ranged_rank(df, hot, value, tiebreak, names, hot_rows):
+def _ranged_rank(df, hot, value, tiebreak, names):
     keys = hot.keys
-    placed = _ranged_total(df.withColumn("_one", F.lit(1)), hot, [value, tiebreak], "_one", names[0], hot_rows)
+    placed = _ranged_total(df.withColumn("_one", F.lit(1)), hot, [value, tiebreak], "_one", names[0])
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(names[1]))
     leaders = placed.groupBy(*keys, value).agg(F.min(names[0]).alias("_first"))
     sized = key_join(placed, sizes, keys, "inner", broadcast=True)
@@ -175,6 +179,7 @@ def count_below(
     Works by sorting values and probes together, so no value is paired with a probe. A probe whose
     group has no values gets zeros.
     """
+    hot = hot_groups(values.select(*keys).unionAll(probes.select(*keys)), keys, hot_rows)
     asked = probes.select(*keys, value).where(F.col(value).isNotNull()).distinct()
     wanted = key_join(values, asked.select(*keys).distinct(), keys, "left_semi")
     known = value_counts(wanted.where(F.col(value).isNotNull()), keys, value)
@@ -183,7 +188,7 @@ def count_below(
     )
     # A probe and a known value that are equal become one row, so the rows stay unique in value.
     merged = marks.groupBy(*keys, value).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
-    summed = running_total(merged, keys, [value], "_n", "_upto", hot_rows).where("_asked")
+    summed = running_total(merged, keys, [value], "_n", "_upto", hot).where("_asked")
     totals = known.groupBy(*keys).agg(F.sum("_n").alias("total"))
     answers = key_join(
         summed.select(*keys, value, (F.col("_upto") - F.col("_n")).alias("below"), F.col("_n").alias("equal")),
@@ -209,7 +214,7 @@ def quantiles_in_group(
         return _aggregated_quantiles(clean, keys, value, points)
     ordinary, large = split_hot(clean, hot)
     return _aggregated_quantiles(ordinary, keys, value, points).unionByName(
-        _ranged_quantiles(large, hot, value, points, hot_rows)
+        _ranged_quantiles(large, hot, value, points)
     )
 
 
@@ -227,9 +232,9 @@ def _aggregated_quantiles(df, keys, value, points):
     )
 
 
-def _ranged_quantiles(df, hot, value, points, hot_rows):
+def _ranged_quantiles(df, hot, value, points):
     keys = hot.keys
-    counted = _ranged_total(value_counts(df, keys, value), hot, [value], "_n", "_upto", hot_rows)
+    counted = _ranged_total(value_counts(df, keys, value), hot, [value], "_n", "_upto")
     summary = df.groupBy(*keys).agg(
         F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
     )

@@ -30,9 +30,9 @@ def long_segments(df: DataFrame, ids: list[str], columns: list[str], floors: boo
 
 def segment_table(df: DataFrame) -> DataFrame:
     """The fixed list of segments: column, label, group and position."""
-    return df.sparkSession.createDataFrame(
-        SEGMENTS + AGGREGATE_SEGMENTS, "segment string, label string, segment_group string, position int"
-    )
+    names = ("segment", "label", "segment_group", "position")
+    rows = [dict(zip(names, row)) for row in SEGMENTS + AGGREGATE_SEGMENTS]
+    return local_table(df, rows, "segment string, label string, segment_group string, position int")
 
 
 def with_segment_labels(df: DataFrame) -> DataFrame:

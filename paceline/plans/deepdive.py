@@ -11,7 +11,7 @@ from paceline.errors import InvalidRequest, NotFound
 from paceline.operators.cohorts import pick_result
 from paceline.operators.filters import believable, cohort_filter, override
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_ROWS
+from paceline.operators.ordering import HOT_ROWS, local_table
 from paceline.operators.stats import FIVE_NUMBERS, bounded, describe, first_n_in_group, histogram, marker_standing
 from paceline.schema import DEFAULT_BINS, time_column
 
@@ -97,11 +97,10 @@ def deep_dive(
         raise NotFound("no results match the filters")
     close = F.abs(F.col("minutes") - mine) <= CLOSE_ABSOLUTE + CLOSE_RELATIVE * abs(mine)
     on_podium = not tagged.where((F.col("grp") == "podium") & close).isEmpty()
-    shown = [
-        (name, mine if (on_podium if name == "podium" else name == "all" or row["min"] <= mine <= row["max"]) else None)
-        for name, row in ranges.items()
-    ]
-    markers = results.sparkSession.createDataFrame(shown, "grp string, marker double")
+    inside = {name: name == "all" or row["min"] <= mine <= row["max"] for name, row in ranges.items()}
+    inside["podium"] = on_podium
+    marks = [{"grp": name, "marker": mine if inside[name] else None} for name in ranges]
+    markers = local_table(results, marks, "grp string, marker double")
     places = location_stats(cohort, ["location"], "minutes")
     return DeepDive(
         race=race,

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from paceline.functions.text import stable_id
 from paceline.operators.filters import has
-from paceline.operators.ordering import HOT_ROWS, rank_in_group
+from paceline.operators.ordering import HOT_ROWS, hot_groups, rank_in_group
 from paceline.schema import COHORT_KEYS, OVERALL_KEYS, RUN_COLUMNS, SEASON_KEYS, STATION_COLUMNS
 
 
-def race_rankings(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def race_rankings(results: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Event, season and overall ranks of every timed result.
 
     Only ids, keys and times are carried. The narrowest cohorts go first: in the other order Spark
     would keep the few overall cohorts together and rank everything in a handful of tasks.
     """
-    ranked = results.where(F.col("total_time_min").isNotNull()).select("result_id", *COHORT_KEYS, "total_time_min")
+    timed = results.where(F.col("total_time_min").isNotNull()).select("result_id", *COHORT_KEYS, "total_time_min")
+    # Each family of cohorts splits the next one, so if no overall cohort is large, none is.
+    if hot_groups(timed, OVERALL_KEYS, hot_rows) is None:
+        hot_rows = None
+    ranked = timed
     for keys, prefix in ((COHORT_KEYS, "event"), (SEASON_KEYS, "season"), (OVERALL_KEYS, "overall")):
         ranked = rank_in_group(ranked, keys, "total_time_min", "result_id", prefix, hot_rows)
     return ranked.drop(*COHORT_KEYS, "total_time_min")

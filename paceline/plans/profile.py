@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,39 +59,55 @@ def metric_percentiles(rows: DataFrame, results: DataFrame, hot_rows: int = HOT_
     return answered.withColumn("percentile", F.when(share.isNotNull(), inside)).drop("below", "equal", "total")
 
 
-@dataclass
 class Profiles:
-    """One row per athlete, or per athlete and what the name says."""
-
-    athletes: DataFrame
-    divisions: DataFrame
-    summary: DataFrame
-    bests: DataFrame
-    averages: DataFrame
-    seasons: DataFrame
-    races: DataFrame
-
-
-def profiles(rows: DataFrame, results: DataFrame, division: str | None = None, hot_rows: int = HOT_ROWS) -> Profiles:
-    """Profiles of the athletes in `rows` (from `athlete_races`), measured against all `results`."""
-    everything = rows
-    if given(division):
-        rows = rows.where(text_is("division", division))
-    ranked = age_group_ranks(rows, results, hot_rows)
-    metrics = metric_percentiles(
-        metric_rows(rows, ["athlete_id", "division", "gender", "result_id", "location", "year"]), results, hot_rows
-    )
-    return Profiles(
-        athletes=headers(rows, one_division_only=not given(division)),
-        divisions=divisions_of(everything),
-        summary=summary_of(ranked),
-        bests=personal_bests(metrics),
-        averages=metrics.groupBy("athlete_id", "metric").agg(
+    """Profiles of the athletes in `rows` (from `athlete_races`), measured against all `results`.
+
+    Each part is planned when it is asked for.
+    """
+
+    def __init__(self, rows: DataFrame, results: DataFrame, division: str | None = None, hot_rows: int = HOT_ROWS):
+        self.all_rows, self.results, self.hot_rows = rows, results, hot_rows
+        self.filtered = given(division) is not None
+        self.rows = rows.where(text_is("division", division)) if self.filtered else rows
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return age_group_ranks(self.rows, self.results, self.hot_rows)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        ids = ["athlete_id", "division", "gender", "result_id", "location", "year"]
+        return metric_percentiles(metric_rows(self.rows, ids), self.results, self.hot_rows)
+
+    @cached_property
+    def athletes(self) -> DataFrame:
+        return headers(self.rows, one_division_only=not self.filtered)
+
+    @cached_property
+    def divisions(self) -> DataFrame:
+        return divisions_of(self.all_rows)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary_of(self.ranked)
+
+    @cached_property
+    def bests(self) -> DataFrame:
+        return personal_bests(self.metrics)
+
+    @cached_property
+    def averages(self) -> DataFrame:
+        return self.metrics.groupBy("athlete_id", "metric").agg(
             F.avg("minutes").alias("time"), F.avg("percentile").alias("percentile")
-        ),
-        seasons=seasons_of(rows),
-        races=race_progress(ranked),
-    )
+        )
+
+    @cached_property
+    def seasons(self) -> DataFrame:
+        return seasons_of(self.rows)
+
+    @cached_property
+    def races(self) -> DataFrame:
+        return race_progress(self.ranked)
 
 
 def age_group_ranks(rows: DataFrame, results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -204,7 +220,7 @@ def profile(
     if matching.isEmpty():
         where = f" in division {division!r}" if given(division) else ""
         raise NotFound(f"no races for athlete_id {wanted!r}{where}")
-    return profiles(rows, results, division)
+    return Profiles(rows, results, division)
 
 
 def _races_of(results, links, index, athlete_id):

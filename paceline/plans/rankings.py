@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paceline.errors import InvalidRequest
 from paceline.operators.filters import cohort_filter, gender_is, given, name_contains, text_is
-from paceline.operators.ordering import HOT_ROWS, count_below, running_total
+from paceline.operators.ordering import HOT_ROWS, count_below, hot_groups, running_total
 from paceline.operators.stats import facets
 
 SHOWN = [
@@ -39,7 +39,8 @@ def ranking_cohort(results: DataFrame, season: int, division: str, gender: str,
 def placements(cohort: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row with its place in the whole cohort by time, then id."""
     numbered = cohort.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
-    placed = running_total(numbered, ["_all"], ["total_time_min", "result_id"], "_one", "placement", hot_rows)
+    hot = hot_groups(numbered, ["_all"], hot_rows)
+    placed = running_total(numbered, ["_all"], ["total_time_min", "result_id"], "_one", "placement", hot)
     return placed.drop("_all", "_one")
 
 

@@ -14,7 +14,7 @@ from paceline.functions.text import plain
 from paceline.operators.cohorts import demographic_cohort, pick_result, time_window_cohort
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
-from paceline.operators.ordering import HOT_ROWS, rank_in_group, standing
+from paceline.operators.ordering import HOT_ROWS, local_table, rank_in_group, standing
 from paceline.operators.stats import describe, histogram, marker_standing, segment_table
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 
@@ -149,9 +149,8 @@ def bounded_report(
     for scope, rows, column, _ in scopes:
         part = rows.where(F.col(column).isNotNull()).select(F.lit(scope).alias("scope"), F.col(column).alias("minutes"))
         values = part if values is None else values.unionByName(part)
-    markers = results.sparkSession.createDataFrame(
-        [(scope, None if mark is None else float(mark)) for scope, _, _, mark in scopes], "scope string, marker double"
-    )
+    marks = [{"scope": scope, "marker": None if mark is None else float(mark)} for scope, _, _, mark in scopes]
+    markers = local_table(results, marks, "scope string, marker double")
     previews = {}
     if cohort_preview is not None:
         previews["cohort"] = preview(full.cohort, ["total_time_min", "result_id"], cohort_preview)

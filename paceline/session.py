@@ -23,17 +23,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pac
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that outlive an executor.
 
-    The folder is the one the session names. Only a local master may fall back to a temporary
+    It is the checkpoint folder the session names. Only a local master may fall back to a temporary
     folder: on a cluster that folder would vanish with the machine that holds it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="paceline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

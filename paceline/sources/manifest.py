@@ -8,6 +8,7 @@ from heapq import nlargest
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceline.errors import NotFound
 from paceline.operators.filters import has, text_is
@@ -120,7 +121,12 @@ def _closest(wanted: str, candidates: list[str]) -> list[tuple[float, str]]:
     return nlargest(SUGGESTIONS, scored)
 
 
-@F.pandas_udf("array<struct<score:double,suggestion:string>>")
+_SCORED = T.ArrayType(
+    T.StructType([T.StructField("score", T.DoubleType()), T.StructField("suggestion", T.StringType())])
+)
+
+
+@F.pandas_udf(_SCORED)
 def _closest_of(wanted: pd.Series, candidates: pd.Series) -> pd.Series:
     return pd.Series(
         [

@@ -10,16 +10,15 @@ TABLES = ["race_results", "race_rankings", "split_percentiles", "athletes", "ath
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
     """Replace a table. Rows of one season are spread over several files of like size."""
-    writer = df.write.mode("overwrite").option("compression", "snappy")
-    if "season" in df.columns:
-        spread = df.hint("rebalance", "season")
-        spread.write.mode("overwrite").option("compression", "snappy").partitionBy("season").parquet(f"{root}/{name}")
-    else:
-        writer.parquet(f"{root}/{name}")
+    by_season = "season" in df.columns
+    rows = df.hint("rebalance", "season") if by_season else df
+    writer = rows.write.mode("overwrite").option("compression", "snappy")
+    (writer.partitionBy("season") if by_season else writer).parquet(f"{root}/{name}")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(f"{root}/{name}")
+def read_table(spark: SparkSession, root: str, name: str, merge: bool = True) -> DataFrame:
+    """A table of the warehouse. Seasons may differ in their columns unless the caller knows better."""
+    return spark.read.option("mergeSchema", merge).parquet(f"{root}/{name}")
 
 
 def register(spark: SparkSession, root: str, names: list[str] | None = None) -> list[str]:
