@@ -56,9 +56,8 @@ def finite(value: Column) -> Column:
 def _clock(seconds: Column) -> Column:
     hours, rest = F.floor(seconds / 3600), seconds % 3600
     minutes, left = F.floor(rest / 60), rest % 60
-    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, left)).otherwise(
-        F.format_string("%d:%02d", minutes, left)
-    )
+    long, short = F.format_string("%d:%02d:%02d", hours, minutes, left), F.format_string("%d:%02d", minutes, left)
+    return F.when(hours > 0, long).when(hours == 0, short)
 
 
 def _rounded_seconds(minutes: Column) -> Column:
@@ -67,8 +66,8 @@ def _rounded_seconds(minutes: Column) -> Column:
 
 def clock_text(minutes: Column) -> Column:
     """`H:MM:SS` or `M:SS`; below zero shows zero, a missing value shows a dash."""
-    value = finite(minutes)
-    return F.coalesce(_clock(F.greatest(_rounded_seconds(value), F.lit(0))), F.lit("-"))
+    seconds = _rounded_seconds(finite(minutes))
+    return F.coalesce(_clock(F.when(seconds < 0, 0).otherwise(seconds)), F.lit("-"))
 
 
 def length_text(minutes: Column) -> Column:

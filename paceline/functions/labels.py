@@ -9,7 +9,9 @@ from paceline.functions.durations import finite
 
 
 def percent_text(share: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", finite(share) * 100), F.lit("-"))
+    """A missing share reads as zero, one that is no number as a dash."""
+    value = finite(F.coalesce(share, F.lit(0.0)))
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", value * 100)).otherwise("-")
 
 
 def percentile_band(percentile: Column) -> Column:
@@ -25,12 +27,13 @@ def percentile_band(percentile: Column) -> Column:
 def top_percent(percentile: Column) -> Column:
     """`Top N%`, never better than `Top 1%`."""
     top = F.floor((1 - finite(percentile)) * 100 + 0.5).cast("long")
-    return F.concat(F.lit("Top "), F.greatest(top, F.lit(1)).cast("string"), F.lit("%"))
+    return F.concat(F.lit("Top "), F.when(top < 1, 1).otherwise(top).cast("string"), F.lit("%"))
 
 
 def percent_fill(percentile: Column) -> Column:
     """The percentile on a 0 to 100 scale, kept inside it."""
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), finite(percentile) * 100))
+    value = finite(percentile) * 100
+    return F.when(value < 0, 0.0).when(value > 100, 100.0).otherwise(value)
 
 
 def month_label(moment: Column, with_year: bool = True) -> Column:
