@@ -379,9 +379,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {ks} ORDER BY minutes, result_id
 
     timed = "timed AS (SELECT *, total_time_min AS minutes FROM results)"
     q["location_stats"] = with_(RESULTS, timed) + places_sql("timed", ["division", "location"])
-    dive = """dive AS (SELECT r.result_id, r.location, r.season, r.year, r.run1_time_min AS minutes FROM wide r
+    dive = """dive AS (SELECT r.result_id, r.location, r.season, r.year, r.total_time_min AS minutes FROM wide r
   JOIN (SELECT * FROM wide WHERE result_id = 7) p ON lower(r.division) = lower(p.division) AND lower(r.gender) = lower(p.gender)
-  WHERE r.season = 1997 AND lower(r.age_group) = 'building' AND r.run1_time_min >= 1.0)"""
+  WHERE r.season = 1997 AND lower(r.age_group) = 'building')"""
     tags = """cut AS (SELECT quantile_cont(minutes,0.05) AS p05, quantile_cont(minutes,0.9) AS p90 FROM dive),
 tagged AS (SELECT *, 'all' AS grp FROM dive UNION ALL SELECT dive.*, 'top' FROM dive, cut WHERE minutes <= p05
   UNION ALL SELECT dive.*, 'bottom' FROM dive, cut WHERE minutes >= p90
@@ -395,14 +395,14 @@ tagged AS (SELECT *, 'all' AS grp FROM dive UNION ALL SELECT dive.*, 'top' FROM
     q["deepdive_groups"] = f"{dives}SELECT grp, {FIVE.format(v='minutes')} FROM tagged GROUP BY grp"
     q["deepdive_bins"] = dives[:-1] + histogram_sql("tagged", ["grp"], "minutes", 22, label="location")
     q["deepdive_markers"] = f"""{dives[:-1]},
-mine AS (SELECT run1_time_min AS x FROM wide WHERE result_id = 7),
+mine AS (SELECT total_time_min AS x FROM wide WHERE result_id = 7),
 marks AS (SELECT grp, CASE WHEN grp = 'all' THEN x
    WHEN grp = 'podium' THEN CASE WHEN bool_or(abs(minutes - x) <= 1e-8 + 1e-5 * abs(x)) THEN x END
    WHEN min(minutes) <= x AND x <= max(minutes) THEN x END AS marker, count(*) AS n, count(*) FILTER (WHERE minutes < x) AS below
   FROM tagged, mine GROUP BY grp, x)
 SELECT grp, round(marker,6) AS marker, round(CASE WHEN marker IS NULL THEN NULL WHEN n = 1 THEN 1.0 ELSE 1 - below / (n - 1) END,6)
   AS marker_percentile FROM marks"""
-    q["deepdive_deltas"] = f"""{with_(RESULTS, TIMES, WIDE, dive)}, mine AS (SELECT run1_time_min AS x FROM wide WHERE result_id = 7)
+    q["deepdive_deltas"] = f"""{with_(RESULTS, TIMES, WIDE, dive)}, mine AS (SELECT total_time_min AS x FROM wide WHERE result_id = 7)
 SELECT location, round(avg(minutes),6) AS stat_value, round(max(x) - avg(minutes),6) AS delta, round(max(x) - min(minutes),6) AS delta_fastest
 FROM dive, mine GROUP BY location""".replace(")\n, mine", "),\nmine")
     q["tagged_groups"] = f"""{with_(RESULTS, timed)}, cut AS (

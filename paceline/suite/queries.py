@@ -427,7 +427,7 @@ def location_stats(spark, sf):
 
 
 def _dive(spark, sf):
-    return deepdive.deep_dive(_wide(spark, sf), ONE, 1997, metric="run1", age_group="Building")
+    return deepdive.deep_dive(_wide(spark, sf), ONE, 1997, metric="total", age_group="Building")
 
 
 @query
