@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.errors import InvalidRequest, NotFound
 from paceline.operators.joins import key_condition, key_join
-from paceline.operators.ordering import HOT_ROWS, count_below, standing
+from paceline.operators.ordering import HOT_ROWS, hot_groups, running_total, standing, value_counts
 from paceline.schema import COHORT_KEYS
 
 
@@ -59,25 +59,28 @@ def time_window_standing(
     """
     keys = list(keys)
     timed = results.where(F.col(value).isNotNull())
+    hot = hot_groups(timed, keys, hot_rows)
+    counted = value_counts(timed.select(*keys, value), keys, value)
+    own, half = F.col(value), float(minutes)
+    # At one place in the order a lower end comes first, then the values, then an upper end.
     marks = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), (F.col(value) + shift).alias("at"))
-            for kind, shift in (("self", 0.0), ("low", -float(minutes)), ("high", float(minutes)))
-        ]
+        F.struct((own - half).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_w")),
+        F.struct(own.alias("_at"), F.lit(1).alias("_kind"), F.col("_n").alias("_w")),
+        F.struct((own + half).alias("_at"), F.lit(2).alias("_kind"), F.lit(0).cast("long").alias("_w")),
     )
-    asked = timed.select(*keys, value).distinct().select(*keys, F.col(value).alias("_own"), F.inline(marks))
-    placed = count_below(timed.withColumnRenamed(value, "at"), asked, keys, "at", hot_rows)
+    events = counted.select(*keys, value, F.inline(marks))
+    placed = running_total(events, keys, ["_at", "_kind", value], "_w", "_upto", hot)
 
-    def of(kind: str, count: Column) -> Column:
-        return F.max(F.when(F.col("kind") == kind, count))
+    def at(kind: int, count: Column) -> Column:
+        return F.max(F.when(F.col("_kind") == kind, count))
 
-    ends = placed.groupBy(*keys, "_own").agg(
-        of("self", F.col("below")).alias("_below"),
-        of("low", F.col("below")).alias("_from"),
-        of("high", F.col("below") + F.col("equal")).alias("_to"),
+    ends = placed.groupBy(*keys, value).agg(
+        at(0, F.col("_upto")).alias("_from"),
+        at(1, F.col("_upto") - F.col("_w")).alias("_below"),
+        at(2, F.col("_upto")).alias("_to"),
     )
     size, faster = F.col("_to") - F.col("_from"), F.col("_below") - F.col("_from")
-    return key_join(timed, ends.withColumnRenamed("_own", value), [*keys, value]).select(
+    return key_join(timed, ends, [*keys, value]).select(
         *results.columns,
         size.alias("window_size"),
         faster.alias("window_faster"),

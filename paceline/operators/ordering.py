@@ -74,7 +74,7 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, hot: HotGroups | None
 ) -> DataFrame:
-    """Add `out`: the sum of `weight` from the start of the group to this row.
+    """Add `out`, the sum of `weight` from the start of the group to this row, and `<out>_all`, that of the group.
 
     `keys + order` must identify a row, or the order among equal rows is arbitrary.
     """
@@ -87,8 +87,9 @@ def running_total(
 
 
 def _windowed_total(df, keys, order, weight, out):
-    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_UP_TO_HERE)
-    return df.withColumn(out, F.sum(weight).over(here))
+    group = Window.partitionBy(*keys)
+    here = group.orderBy(*order).rowsBetween(*_UP_TO_HERE)
+    return df.withColumns({out: F.sum(weight).over(here), f"{out}_all": F.sum(weight).over(group)})
 
 
 def _ranged_total(df, hot, order, weight, out):
@@ -111,14 +112,16 @@ def _ranged_total(df, hot, order, weight, out):
     )
     per_group = ranged.groupBy(*keys).agg(F.sum(weight).alias("_w"))
     before_group = per_group.select(
-        *keys, F.coalesce(F.sum("_w").over(Window.orderBy(*keys).rowsBetween(*_BEFORE_HERE)), F.lit(0)).alias("_skip")
+        *keys,
+        F.coalesce(F.sum("_w").over(Window.orderBy(*keys).rowsBetween(*_BEFORE_HERE)), F.lit(0)).alias("_skip"),
+        F.col("_w").alias(f"{out}_all"),
     )
     inside = Window.partitionBy("_part").orderBy(*keys, *order).rowsBetween(*_UP_TO_HERE)
     local = ranged.withColumn("_local", F.sum(weight).over(inside)).join(F.broadcast(before_part), "_part")
     return (
         key_join(local, before_group, keys, "inner", broadcast=True)
         .withColumn(out, F.col("_lead") + F.col("_local") - F.col("_skip"))
-        .select(*df.columns, out)
+        .select(*df.columns, out, f"{out}_all")
     )
 
 
@@ -152,16 +155,13 @@ def _windowed_rank(df, keys, value, tiebreak, names):
 
 def _ranged_rank(df, hot, value, tiebreak, names):
     keys = hot.keys
-    placed = _ranged_total(df.withColumn("_one", F.lit(1)), hot, [value, tiebreak], "_one", names[0])
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(names[1]))
-    leaders = placed.groupBy(*keys, value).agg(F.min(names[0]).alias("_first"))
-    sized = key_join(placed, sizes, keys, "inner", broadcast=True)
+    rank, size, percentile = names
+    placed = _ranged_total(df.withColumn("_one", F.lit(1)), hot, [value, tiebreak], "_one", rank)
+    leaders = placed.groupBy(*keys, value).agg(F.min(rank).alias("_first"))
+    share = 1 - (F.col("_first") - 1) / (F.col(size) - 1)
     return (
-        key_join(sized, leaders, [*keys, value])
-        .withColumn(
-            names[2],
-            F.when(F.col(names[1]) == 1, 1.0).otherwise(1 - (F.col("_first") - 1) / (F.col(names[1]) - 1)),
-        )
+        key_join(placed.withColumnRenamed(f"{rank}_all", size), leaders, [*keys, value])
+        .withColumn(percentile, F.when(F.col(size) == 1, 1.0).otherwise(share))
         .drop("_one", "_first")
     )
 
@@ -172,31 +172,34 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def count_below(
-    values: DataFrame, probes: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS
+    values: DataFrame, probes: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS, few: bool = False
 ) -> DataFrame:
     """For each probe: `below` and `equal` (values of its group under it, and on it) and `total`.
 
-    Works by sorting values and probes together, so no value is paired with a probe. A probe whose
-    group has no values gets zeros.
+    Works by sorting values and probes together, so no value is paired with a probe; equal ones become
+    one row before the shuffle. A probe whose group has no values gets zeros. With `few` probes the
+    values of other groups are left out first.
     """
+    if few:
+        values = key_join(values, probes.select(*keys).distinct(), keys, "left_semi")
     hot = hot_groups(values.select(*keys).unionAll(probes.select(*keys)), keys, hot_rows)
-    asked = probes.select(*keys, value).where(F.col(value).isNotNull()).distinct()
-    wanted = key_join(values, asked.select(*keys).distinct(), keys, "left_semi")
-    known = value_counts(wanted.where(F.col(value).isNotNull()), keys, value)
-    marks = known.select(*keys, value, "_n", F.lit(False).alias("_asked")).unionByName(
-        asked.select(*keys, value, F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_asked"))
+    marks = values.select(*keys, value, F.lit(1).alias("_n"), F.lit(False).alias("_asked")).unionAll(
+        probes.select(*keys, value, F.lit(0).alias("_n"), F.lit(True).alias("_asked"))
+    )
+    merged = (
+        marks.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
     )
-    # A probe and a known value that are equal become one row, so the rows stay unique in value.
-    merged = marks.groupBy(*keys, value).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
-    summed = running_total(merged, keys, [value], "_n", "_upto", hot).where("_asked")
-    totals = known.groupBy(*keys).agg(F.sum("_n").alias("total"))
-    answers = key_join(
-        summed.select(*keys, value, (F.col("_upto") - F.col("_n")).alias("below"), F.col("_n").alias("equal")),
-        totals,
-        keys,
+    answers = running_total(merged, keys, [value], "_n", "total", hot).where("_asked")
+    return key_join(
+        probes,
+        answers.select(
+            *keys, value, (F.col("total") - F.col("_n")).alias("below"), F.col("_n").alias("equal"), F.col("total_all").alias("total")
+        ),
+        [*keys, value],
         "left",
-    ).withColumn("total", F.coalesce("total", F.lit(0)))
-    return key_join(probes, answers, [*keys, value], "left")
+    )
 
 
 def standing(below: Column, total: Column) -> Column:
@@ -238,7 +241,7 @@ def _ranged_quantiles(df, hot, value, points):
     summary = df.groupBy(*keys).agg(
         F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean")
     )
-    placed = key_join(counted, summary.select(*keys, "count"), keys, "inner", broadcast=True)
+    placed = counted.withColumnRenamed("_upto_all", "count")
 
     def at(position: Column) -> Column:
         covers = (F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position)

@@ -15,40 +15,40 @@ from paceline.schema import RUN_COLUMNS, STATION_COLUMNS
 def compare_results(results: DataFrame, splits: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of a comparison per pair (`pair_id`, `base_id`, `other_id`): totals first, then every split.
 
-    A split that only one side has stays, without a difference.
+    Both sides are fetched in one join and meet in one aggregation. A split that only one side has
+    stays, without a difference.
     """
-    base, other = (_side(results, splits, pairs, column) for column in ("base_id", "other_id"))
-    left = base.select("pair_id", "key", F.col("label").alias("_a"), F.col("minutes").alias("primary_value"))
-    right = other.select("pair_id", "key", F.col("label").alias("_b"), F.col("minutes").alias("compare_value"))
-    return left.join(right, ["pair_id", "key"], "full_outer").select(
-        "pair_id",
-        "key",
-        F.coalesce("_a", "_b").alias("label"),
-        "primary_value",
-        "compare_value",
-        (F.col("primary_value") - F.col("compare_value")).alias("delta"),
+    sides = F.array(
+        F.struct(F.col("base_id").alias("result_id"), F.lit(True).alias("_base")),
+        F.struct(F.col("other_id").alias("result_id"), F.lit(False).alias("_base")),
     )
-
-
-def _side(results, splits, pairs, column):
-    chosen = pairs.select("pair_id", F.col(column).alias("result_id"))
+    wanted = pairs.select("pair_id", F.inline(sides))
+    run_total = finite(F.col("run_time_min")) + finite(F.col("roxzone_time_min"))
     totals = F.array(
-        F.struct(F.lit("total_time").alias("key"), F.lit("Total time").alias("label"), finite(F.col("total_time_min")).alias("minutes")),
-        F.struct(
-            F.lit("run_roxzone").alias("key"),
-            F.lit("Run + Roxzone").alias("label"),
-            (finite(F.col("run_time_min")) + finite(F.col("roxzone_time_min"))).alias("minutes"),
-        ),
+        _line(F.lit("total_time"), F.lit("Total time"), finite(F.col("total_time_min"))),
+        _line(F.lit("run_roxzone"), F.lit("Run + Roxzone"), run_total),
     )
-    heads = results.join(chosen, "result_id").select("pair_id", F.inline(totals))
-    key = plain(F.col("split_name"))
-    named = splits.join(chosen, "result_id").select(
-        "pair_id", key.alias("_key"), F.col("split_name").alias("label"), finite(F.col("split_time_min")).alias("minutes")
+    name = plain(F.col("split_name"))
+    lines = results.select("result_id", F.inline(totals)).unionByName(
+        splits.where(name != "").select(
+            "result_id",
+            F.inline(F.array(_line(F.concat(F.lit("split-"), name), F.col("split_name"), finite(F.col("split_time_min"))))),
+        )
     )
-    single = named.where("_key <> ''").groupBy("pair_id", "_key").agg(
-        F.max("label").alias("label"), F.max("minutes").alias("minutes")
+
+    def of(base: bool, column: str):
+        return F.max(F.when(F.col("_base") == base, F.col(column)))
+
+    met = lines.join(wanted, "result_id").groupBy("pair_id", "key").agg(
+        F.coalesce(of(True, "label"), of(False, "label")).alias("label"),
+        of(True, "minutes").alias("primary_value"),
+        of(False, "minutes").alias("compare_value"),
     )
-    return heads.unionByName(single.select("pair_id", F.concat(F.lit("split-"), "_key").alias("key"), "label", "minutes"))
+    return met.withColumn("delta", F.col("primary_value") - F.col("compare_value"))
+
+
+def _line(key, label, minutes):
+    return F.struct(key.alias("key"), label.alias("label"), minutes.alias("minutes"))
 
 
 def segment_values(results: DataFrame, splits: DataFrame, fill: float | None = None) -> DataFrame:

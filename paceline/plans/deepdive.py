@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +22,6 @@ CLOSE_ABSOLUTE, CLOSE_RELATIVE = 1e-8, 1e-5
 THRESHOLDS = {"median": 0.5, "p05": TOP_SHARE, "p90": BOTTOM_SHARE}
 
 
-@dataclass
-class DeepDive:
-    race: dict
-    athlete_value: float
-    filters: dict
-    summary: DataFrame
-    locations: DataFrame
-    groups: DataFrame
-    bins: DataFrame
-    markers: DataFrame
-
-
 def location_stats(cohort: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per location (missing ones count as one): times, quantiles, third best, and the seasons and years seen."""
     points = {"p05": TOP_SHARE, "p50": 0.5, "p90": BOTTOM_SHARE}
@@ -60,58 +48,75 @@ def tagged_groups(cohort: DataFrame, scope: list[str], value: str, tiebreak: str
     return tagged.unionByName(podium)
 
 
-def deep_dive(
-    results: DataFrame,
-    result_id,
-    season: int,
-    metric: str = "total_time_min",
-    bins: int = DEFAULT_BINS,
-    division=None,
-    gender=None,
-    age_group=None,
-    location=None,
-) -> DeepDive:
-    """Compare one result with its cohort of a season, place by place and group by group."""
-    if season is None:
-        raise InvalidRequest("season is required")
-    column = time_column(metric)
-    race = pick_result(results, result_id)
-    if race[column] is None:
-        raise InvalidRequest(f"the result has no {column}")
-    mine = float(race[column])
-    filters = {
-        "season": int(season),
-        "division": override(division, race["division"]),
-        "gender": override(gender, race["gender"]),
-        "age_group": override(age_group, race["age_group"]),
-        "location": override(location, None),
-    }
-    cohort = results.where(cohort_filter(**filters) & believable(column)).select(
-        F.lit(0).alias("_all"), "result_id", "location", "season", "year", F.col(column).alias("minutes")
-    )
-    tagged = tagged_groups(cohort, ["_all"], "minutes", "result_id")
-    # Four groups at most: their ranges decide which of them show the athlete.
-    groups, _ = bounded(describe(tagged, ["grp"], "minutes", FIVE_NUMBERS))
-    ranges = {row["grp"]: row for row in groups.collect()}
-    if "all" not in ranges:
-        raise NotFound("no results match the filters")
-    close = F.abs(F.col("minutes") - mine) <= CLOSE_ABSOLUTE + CLOSE_RELATIVE * abs(mine)
-    on_podium = not tagged.where((F.col("grp") == "podium") & close).isEmpty()
-    inside = {name: name == "all" or row["min"] <= mine <= row["max"] for name, row in ranges.items()}
-    inside["podium"] = on_podium
-    marks = [{"grp": name, "marker": mine if inside[name] else None} for name in ranges]
-    markers = local_table(results, marks, "grp string, marker double")
-    places = location_stats(cohort, ["location"], "minutes")
-    return DeepDive(
-        race=race,
-        athlete_value=mine,
-        filters=filters,
-        summary=describe(cohort, ["_all"], "minutes", THRESHOLDS).drop("_all"),
-        locations=places,
-        groups=groups,
-        bins=histogram(tagged, ["grp"], "minutes", bins, label="location"),
-        markers=marker_standing(tagged, ["grp"], "minutes", markers),
-    )
+class DeepDive:
+    """One result against its cohort of a season, place by place and group by group.
+
+    Each part is planned when it is asked for.
+    """
+
+    def __init__(
+        self,
+        results: DataFrame,
+        result_id,
+        season: int,
+        metric: str = "total_time_min",
+        n_bins: int = DEFAULT_BINS,
+        division=None,
+        gender=None,
+        age_group=None,
+        location=None,
+    ):
+        if season is None:
+            raise InvalidRequest("season is required")
+        column = time_column(metric)
+        self.race = pick_result(results, result_id)
+        if self.race[column] is None:
+            raise InvalidRequest(f"the result has no {column}")
+        self.athlete_value, self.n_bins = float(self.race[column]), n_bins
+        self.filters = {
+            "season": int(season),
+            "division": override(division, self.race["division"]),
+            "gender": override(gender, self.race["gender"]),
+            "age_group": override(age_group, self.race["age_group"]),
+            "location": override(location, None),
+        }
+        self.cohort = results.where(cohort_filter(**self.filters) & believable(column)).select(
+            F.lit(0).alias("_all"), "result_id", "location", "season", "year", F.col(column).alias("minutes")
+        )
+        if self.cohort.isEmpty():
+            raise NotFound("no results match the filters")
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        return tagged_groups(self.cohort, ["_all"], "minutes", "result_id")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return describe(self.cohort, ["_all"], "minutes", THRESHOLDS).drop("_all")
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        return location_stats(self.cohort, ["location"], "minutes")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Five numbers of each group. There are four groups, so the table is kept at hand."""
+        return bounded(describe(self.tagged, ["grp"], "minutes", FIVE_NUMBERS))[0]
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return histogram(self.tagged, ["grp"], "minutes", self.n_bins, label="location")
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        """The athlete's value in the groups whose range holds it; on the podium only if it is one of its times."""
+        mine = self.athlete_value
+        close = F.abs(F.col("minutes") - mine) <= CLOSE_ABSOLUTE + CLOSE_RELATIVE * abs(mine)
+        inside = {r["grp"]: r["grp"] == "all" or r["min"] <= mine <= r["max"] for r in self.groups.collect()}
+        inside["podium"] = not self.tagged.where((F.col("grp") == "podium") & close).isEmpty()
+        marks = [{"grp": name, "marker": mine if shown else None} for name, shown in inside.items()]
+        table = local_table(self.cohort, marks, "grp string, marker double")
+        return marker_standing(self.tagged, ["grp"], "minutes", table)
 
 
 def location_deltas(locations: DataFrame, athlete_value: float, stat: str = "mean") -> DataFrame:

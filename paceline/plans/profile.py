@@ -13,7 +13,7 @@ from paceline.functions.text import present, shown_name
 from paceline.operators.cohorts import cohorts_of
 from paceline.operators.filters import given, has, positive, text_is
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_ROWS, count_below, standing
+from paceline.operators.ordering import HOT_ROWS, count_below, hot_groups, standing
 from paceline.operators.stats import bounded, first_n_in_group
 from paceline.plans.report import with_event_ranks
 from paceline.schema import COHORT_KEYS, PROFILE_METRICS, RUN_PLUS_ROXZONE, TIME_COLUMNS
@@ -48,15 +48,20 @@ def metric_rows(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.select(*ids, F.inline(F.array(*cells))).where(F.col("minutes").isNotNull())
 
 
-def metric_percentiles(rows: DataFrame, results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def metric_percentiles(
+    rows: DataFrame, results: DataFrame, hot_rows: int | None = HOT_ROWS, few: bool = False
+) -> DataFrame:
     """Percentile of each metric row among all results of the same division and gender, within [0, 1]."""
-    keys = ["division", "gender", "metric"]
-    if not has(results, "division", "gender"):
+    group = ["division", "gender"]
+    if not has(results, *group):
         return rows.withColumn("percentile", F.lit(None).cast("double"))
-    answered = count_below(metric_rows(results, keys[:2]), rows, keys, "minutes", hot_rows)
+    # A group has each metric at most once per result, so counting results is enough to rule out large ones.
+    if hot_groups(results, group, hot_rows) is None:
+        hot_rows = None
+    answered = count_below(metric_rows(results, group), rows, [*group, "metric"], "minutes", hot_rows, few)
     share = standing(F.col("below"), F.col("total"))
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    return answered.withColumn("percentile", F.when(share.isNotNull(), inside)).drop("below", "equal", "total")
+    inside = F.when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)
+    return answered.withColumn("percentile", inside).drop("below", "equal", "total")
 
 
 class Profiles:
@@ -65,8 +70,10 @@ class Profiles:
     Each part is planned when it is asked for.
     """
 
-    def __init__(self, rows: DataFrame, results: DataFrame, division: str | None = None, hot_rows: int = HOT_ROWS):
-        self.all_rows, self.results, self.hot_rows = rows, results, hot_rows
+    def __init__(
+        self, rows: DataFrame, results: DataFrame, division: str | None = None, few: bool = False, hot_rows: int = HOT_ROWS
+    ):
+        self.all_rows, self.results, self.few, self.hot_rows = rows, results, few, hot_rows
         self.filtered = given(division) is not None
         self.rows = rows.where(text_is("division", division)) if self.filtered else rows
 
@@ -77,7 +84,7 @@ class Profiles:
     @cached_property
     def metrics(self) -> DataFrame:
         ids = ["athlete_id", "division", "gender", "result_id", "location", "year"]
-        return metric_percentiles(metric_rows(self.rows, ids), self.results, self.hot_rows)
+        return metric_percentiles(metric_rows(self.rows, ids), self.results, self.hot_rows, self.few)
 
     @cached_property
     def athletes(self) -> DataFrame:
@@ -220,7 +227,7 @@ def profile(
     if matching.isEmpty():
         where = f" in division {division!r}" if given(division) else ""
         raise NotFound(f"no races for athlete_id {wanted!r}{where}")
-    return Profiles(rows, results, division)
+    return Profiles(rows, results, division, few=True)
 
 
 def _races_of(results, links, index, athlete_id):

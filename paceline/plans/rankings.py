@@ -41,7 +41,7 @@ def placements(cohort: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     numbered = cohort.withColumns({"_all": F.lit(0), "_one": F.lit(1)})
     hot = hot_groups(numbered, ["_all"], hot_rows)
     placed = running_total(numbered, ["_all"], ["total_time_min", "result_id"], "_one", "placement", hot)
-    return placed.drop("_all", "_one")
+    return placed.drop("_all", "_one", "placement_all")
 
 
 def top_rows(cohort: DataFrame, limit: int) -> DataFrame:

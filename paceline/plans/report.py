@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from paceline.errors import InvalidRequest
 from paceline.functions.durations import finite
 from paceline.functions.labels import percent_fill
 from paceline.functions.text import plain
-from paceline.operators.cohorts import demographic_cohort, pick_result, time_window_cohort
+from paceline.operators.cohorts import demographic_cohort, pick_result, time_band, time_window_cohort
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
 from paceline.operators.ordering import HOT_ROWS, local_table, rank_in_group, standing
@@ -19,6 +20,7 @@ from paceline.operators.stats import describe, histogram, marker_standing, segme
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 
 STORED_RANKS = ["season_rank", "season_size", "season_percentile", "overall_rank", "overall_size", "overall_percentile"]
+SPLIT_ORDER = ["split_name", "split_time_min", "result_id"]
 SPLIT_SHOWN = ["split_name", "split_time_min", "split_rank", "split_size", "split_percentile"]
 
 
@@ -99,78 +101,107 @@ def split_window_standing(own: DataFrame, near_splits: DataFrame) -> DataFrame:
     return joined.select(*own.columns, value.alias("split_percentile_time_window"))
 
 
-@dataclass
 class BoundedReport:
-    """The report as statistics: nothing in it grows with the cohort."""
+    """The report of one result as statistics: nothing in it grows with the cohort.
 
-    race: DataFrame
-    splits: DataFrame
-    stats: DataFrame
-    bins: DataFrame
-    markers: DataFrame
-    work_run: DataFrame
-    run_change: DataFrame
-    previews: dict[str, tuple[DataFrame, DataFrame]]
-
-
-def bounded_report(
-    results: DataFrame,
-    rankings: DataFrame,
-    splits: DataFrame,
-    result_id,
-    window_min: float | None = 5.0,
-    split_name: str | None = None,
-    cohort_preview: int | None = None,
-    splits_preview: int | None = None,
-    bins: int = DEFAULT_BINS,
-) -> BoundedReport:
-    """Distributions around one result. All scopes are tagged and summarised together.
-
-    Scopes: `cohort`, `time_window`, and with a split name `split_cohort` and `split_time_window`.
+    Distributions are kept per `scope`: `cohort`, `time_window`, and with a split name `split_cohort`
+    and `split_time_window`. Each part is planned when it is asked for.
     """
-    window_min = window_min if window_min and window_min > 0 else None
-    picked = pick_result(results, result_id)
-    full = result_report(results, rankings, splits, result_id, window_min)
-    total = picked["total_time_min"]
-    scopes = [("cohort", demographic_cohort(results, picked), "total_time_min", total)]
-    if window_min is not None:
-        scopes.append(("time_window", time_window_cohort(results, picked, window_min), "total_time_min", total))
-    wanted = given(split_name)
-    if wanted is not None:
-        chosen = F.lower("split_name") == wanted.lower()
-        mine = full.splits.where(chosen).select("split_time_min").limit(1).collect()
-        mine = mine[0][0] if mine else None
-        floor = floor_of(wanted)
-        mine = None if mine is not None and floor is not None and mine < floor else mine
-        for scope, rows in (("split_cohort", full.cohort_splits), ("split_time_window", full.time_window_splits)):
-            if rows is not None:
-                scopes.append((scope, rows.where(chosen & believable("split_time_min", wanted)), "split_time_min", mine))
-    values = None
-    for scope, rows, column, _ in scopes:
-        part = rows.where(F.col(column).isNotNull()).select(F.lit(scope).alias("scope"), F.col(column).alias("minutes"))
-        values = part if values is None else values.unionByName(part)
-    marks = [{"scope": scope, "marker": None if mark is None else float(mark)} for scope, _, _, mark in scopes]
-    markers = local_table(results, marks, "scope string, marker double")
-    previews = {}
-    if cohort_preview is not None:
-        previews["cohort"] = preview(full.cohort, ["total_time_min", "result_id"], cohort_preview)
-    if splits_preview is not None:
-        order = ["split_name", "split_time_min", "result_id"]
-        previews["cohort_splits"] = preview(full.cohort_splits, order, splits_preview)
-        if full.time_window_splits is not None:
-            previews["time_window_splits"] = preview(full.time_window_splits, order, splits_preview)
-    own = results.where(F.col("result_id") == F.lit(result_id))
-    own_splits = splits.where(F.col("result_id") == F.lit(result_id))
-    return BoundedReport(
-        race=full.race,
-        splits=full.splits,
-        stats=describe(values, ["scope"], "minutes"),
-        bins=histogram(values, ["scope"], "minutes", bins),
-        markers=marker_standing(values, ["scope"], "minutes", markers),
-        work_run=own.select("result_id", *work_run_split(own)),
-        run_change=run_change(own, own_splits),
-        previews=previews,
-    )
+
+    def __init__(
+        self,
+        results: DataFrame,
+        rankings: DataFrame,
+        splits: DataFrame,
+        result_id,
+        window_min: float | None = 5.0,
+        split_name: str | None = None,
+        n_bins: int = DEFAULT_BINS,
+    ):
+        self.results, self.rankings, self.all_splits, self.result_id = results, rankings, splits, result_id
+        self.window_min = window_min if window_min and window_min > 0 else None
+        self.split_name, self.n_bins = given(split_name), n_bins
+        self.picked = pick_result(results, result_id)
+        if self.window_min is not None:
+            time_band(self.picked, self.window_min)
+
+    @cached_property
+    def full(self) -> ResultReport:
+        return result_report(self.results, self.rankings, self.all_splits, self.result_id, self.window_min)
+
+    @property
+    def race(self) -> DataFrame:
+        return self.full.race
+
+    @property
+    def splits(self) -> DataFrame:
+        return self.full.splits
+
+    @cached_property
+    def scopes(self) -> list[tuple[str, DataFrame, str, float | None]]:
+        """Name, rows, value column and own value of each distribution."""
+        total, picked = self.picked["total_time_min"], self.picked
+        found = [("cohort", demographic_cohort(self.results, picked), "total_time_min", total)]
+        near = None
+        if self.window_min is not None:
+            near = time_window_cohort(self.results, picked, self.window_min)
+            found.append(("time_window", near, "total_time_min", total))
+        if self.split_name is not None:
+            chosen = F.lower("split_name") == self.split_name.lower()
+            kept = self.all_splits.where(chosen & believable("split_time_min", self.split_name))
+            own = kept.where(F.col("result_id") == F.lit(self.result_id)).agg(F.max("split_time_min")).first()[0]
+            keys = {k: picked[k] for k in COHORT_KEYS}
+            found.append(("split_cohort", kept.where(key_condition(keys)), "split_time_min", own))
+            if near is not None:
+                rows = kept.join(near.select("result_id"), "result_id", "left_semi")
+                found.append(("split_time_window", rows, "split_time_min", own))
+        return found
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """All distributions below each other, so that one job summarises them."""
+        stacked = None
+        for scope, rows, column, _ in self.scopes:
+            there = rows.where(F.col(column).isNotNull())
+            part = there.select(F.lit(scope).alias("scope"), F.col(column).alias("minutes"))
+            stacked = part if stacked is None else stacked.unionByName(part)
+        return stacked
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return describe(self.values, ["scope"], "minutes")
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return histogram(self.values, ["scope"], "minutes", self.n_bins)
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        marks = [{"scope": scope, "marker": None if own is None else float(own)} for scope, _, _, own in self.scopes]
+        table = local_table(self.results, marks, "scope string, marker double")
+        return marker_standing(self.values, ["scope"], "minutes", table)
+
+    @property
+    def _own(self) -> DataFrame:
+        return self.results.where(F.col("result_id") == F.lit(self.result_id))
+
+    @property
+    def work_run(self) -> DataFrame:
+        return self._own.select("result_id", *work_run_split(self._own))
+
+    @property
+    def run_change(self) -> DataFrame:
+        return run_change(self._own, self.all_splits.where(F.col("result_id") == F.lit(self.result_id)))
+
+    def cohort_preview(self, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+        return preview(self.full.cohort, ["total_time_min", "result_id"], limit)
+
+    def cohort_splits_preview(self, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+        return preview(self.full.cohort_splits, SPLIT_ORDER, limit)
+
+    def window_splits_preview(self, limit: int = 500) -> tuple[DataFrame, DataFrame] | None:
+        rows = self.full.time_window_splits
+        return None if rows is None else preview(rows, SPLIT_ORDER, limit)
 
 
 def preview(df: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:

@@ -358,7 +358,7 @@ def report_splits(spark, sf):
 def _bounded_report(spark, sf):
     rows = _wide(spark, sf)
     splits = star.stored(spark, sf, "split_percentiles")
-    return report.bounded_report(rows, star.stored(spark, sf, "race_rankings"), splits, ONE, WINDOW * 4, split_name="Run1")
+    return report.BoundedReport(rows, star.stored(spark, sf, "race_rankings"), splits, ONE, WINDOW * 4, split_name="Run1")
 
 
 @query
@@ -427,7 +427,7 @@ def location_stats(spark, sf):
 
 
 def _dive(spark, sf):
-    return deepdive.deep_dive(_wide(spark, sf), ONE, 1997, metric="total", age_group="Building")
+    return deepdive.DeepDive(_wide(spark, sf), ONE, 1997, metric="total", age_group="Building")
 
 
 @query
