@@ -172,16 +172,13 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def count_below(
-    values: DataFrame, probes: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS, few: bool = False
+    values: DataFrame, probes: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """For each probe: `below` and `equal` (values of its group under it, and on it) and `total`.
 
     Works by sorting values and probes together, so no value is paired with a probe; equal ones become
-    one row before the shuffle. A probe whose group has no values gets zeros. With `few` probes the
-    values of other groups are left out first.
+    one row before the shuffle. A probe whose group has no values gets zeros.
     """
-    if few:
-        values = key_join(values, probes.select(*keys).distinct(), keys, "left_semi")
     hot = hot_groups(values.select(*keys).unionAll(probes.select(*keys)), keys, hot_rows)
     marks = values.select(*keys, value, F.lit(1).alias("_n"), F.lit(False).alias("_asked")).unionAll(
         probes.select(*keys, value, F.lit(0).alias("_n"), F.lit(True).alias("_asked"))
@@ -192,14 +189,48 @@ def count_below(
         .agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
     )
     answers = running_total(merged, keys, [value], "_n", "total", hot).where("_asked")
-    return key_join(
-        probes,
-        answers.select(
-            *keys, value, (F.col("total") - F.col("_n")).alias("below"), F.col("_n").alias("equal"), F.col("total_all").alias("total")
-        ),
-        [*keys, value],
-        "left",
+    found = answers.select(
+        *keys, value, (F.col("total") - F.col("_n")).alias("below"), F.col("_n").alias("equal"), F.col("total_all").alias("total")
     )
+    return key_join(probes, found, [*keys, value], "left")
+
+
+#: Most probes that `count_below_few` carries to every task.
+FEW_PROBES = 1_000
+
+
+def count_below_few(
+    values: DataFrame, probes: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """`count_below` for a handful of probes: the values are only counted, not moved.
+
+    The probes of a group travel as one sorted list. Each value is counted under its position in
+    that list, which is combined before the shuffle, so what is shuffled is as small as the probes.
+    """
+    asked = probes.select(*keys, value).where(F.col(value).isNotNull()).distinct().limit(FEW_PROBES + 1)
+    listed = asked.toArrow()
+    if listed.num_rows > FEW_PROBES:
+        return count_below(values, probes, keys, value, hot_rows)
+    table = local_table(values, listed, asked.schema)
+    lists = table.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_list"))
+    at = F.size(F.filter("_list", lambda probe: probe <= F.col(value)))
+    counts = (
+        key_join(values.where(F.col(value).isNotNull()), lists, keys, broadcast=True)
+        .select(*keys, at.alias("_at"), (F.get("_list", at - 1) == F.col(value)).alias("_on"))
+        .groupBy(*keys, "_at")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if("_on").alias("_equal"))
+    )
+    places = lists.select(*keys, F.posexplode("_list").alias("_place", value))
+    found = (
+        key_join(places, counts, keys, "left", broadcast=False)
+        .groupBy(*keys, value)
+        .agg(
+            F.sum(F.when(F.col("_at") <= F.col("_place"), F.col("_n")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col("_at") == F.col("_place") + 1, F.col("_equal")).otherwise(0)).alias("equal"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
+        )
+    )
+    return key_join(probes, found, [*keys, value], "left")
 
 
 def standing(below: Column, total: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.errors import Ambiguous, InvalidRequest, NotFound
@@ -13,7 +13,7 @@ from paceline.functions.text import present, shown_name
 from paceline.operators.cohorts import cohorts_of
 from paceline.operators.filters import given, has, positive, text_is
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_ROWS, count_below, hot_groups, standing
+from paceline.operators.ordering import HOT_ROWS, count_below, count_below_few, hot_groups, running_total, standing
 from paceline.operators.stats import bounded, first_n_in_group
 from paceline.plans.report import with_event_ranks
 from paceline.schema import COHORT_KEYS, PROFILE_METRICS, RUN_PLUS_ROXZONE, TIME_COLUMNS
@@ -55,10 +55,13 @@ def metric_percentiles(
     group = ["division", "gender"]
     if not has(results, *group):
         return rows.withColumn("percentile", F.lit(None).cast("double"))
-    # A group has each metric at most once per result, so counting results is enough to rule out large ones.
-    if hot_groups(results, group, hot_rows) is None:
-        hot_rows = None
-    answered = count_below(metric_rows(results, group), rows, [*group, "metric"], "minutes", hot_rows, few)
+    values, keys = metric_rows(results, group), [*group, "metric"]
+    if few:
+        answered = count_below_few(values, rows, keys, "minutes", hot_rows)
+    else:
+        # A group has each metric at most once per result, so counting results is enough to rule out large ones.
+        limit = None if hot_groups(results, group, hot_rows) is None else hot_rows
+        answered = count_below(values, rows, keys, "minutes", limit)
     share = standing(F.col("below"), F.col("total"))
     inside = F.when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)
     return answered.withColumn("percentile", inside).drop("below", "equal", "total")
@@ -204,15 +207,15 @@ def race_progress(ranked: DataFrame) -> DataFrame:
     ).orderBy("athlete_id", *newest_first())
 
 
-def progression(races: DataFrame, metric: str = "total_time_min") -> DataFrame:
+def progression(races: DataFrame, metric: str = "total_time_min", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Starts that have the metric, in time order: by date, else at the turn of their year."""
     when = F.coalesce(F.col("start_date").try_cast("timestamp"), F.make_timestamp(
         F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     timed = races.withColumns({"moment": when, "minutes": finite(F.col(metric))}).where(F.col("minutes").isNotNull())
     order = [F.asc_nulls_last("moment"), F.asc_nulls_last("year"), F.asc_nulls_last("location"), F.col("result_id")]
-    return timed.withColumn("step", F.row_number().over(Window.partitionBy("athlete_id").orderBy(*order))).select(
-        "athlete_id", "result_id", "moment", "minutes", "step"
-    )
+    counted = timed.withColumn("_one", F.lit(1))
+    steps = running_total(counted, ["athlete_id"], order, "_one", "step", hot_groups(counted, ["athlete_id"], hot_rows))
+    return steps.select("athlete_id", "result_id", "moment", "minutes", "step")
 
 
 def profile(

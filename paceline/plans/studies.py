@@ -197,7 +197,7 @@ class Regression:
         return self.model.transform(self.design(df)).drop("features")
 
 
-MAX_TERMS = 500
+MAX_TERMS = 200
 
 
 def regression(df: DataFrame, target: str, event: str, slope: str, others: list[str], reference: str) -> Regression:

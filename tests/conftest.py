@@ -11,7 +11,9 @@ from paceline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=4)
+    # Hundreds of tiny queries: compiling each plan would take most of the time.
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.default.parallelism": "2"}
+    session = local_session("8", shuffle_partitions=2, settings=quick)
     yield session
     session.stop()
 

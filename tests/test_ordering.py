@@ -8,10 +8,11 @@ import pytest
 from fixtures import rows
 from pyspark.sql import functions as F
 
-from paceline.operators import cohorts, stats
+from paceline.operators import cohorts, ordering, stats
 from paceline.operators.ordering import (
     HOT_ROWS,
     count_below,
+    count_below_few,
     hot_groups,
     quantiles_in_group,
     rank_in_group,
@@ -87,10 +88,11 @@ def test_quantiles(skewed, frame, limit):
     assert found["count"].tolist() == frame.groupby("g").v.count().loc[found.index].tolist()
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_count_below(spark, skewed, frame, limit):
+@pytest.mark.parametrize("ways", [(count_below, HOT_ROWS), (count_below, 100), (count_below, 5), (count_below_few, HOT_ROWS)])
+def test_count_below(spark, skewed, frame, ways):
+    way, limit = ways
     probes = rows(spark, "g string, v double", [("hot", 50.0), ("hot", 50.05), ("hot", 0.0), ("hot", 1e9), (None, 40.0), ("none such", 1.0)])
-    found = count_below(skewed, probes, ["g"], "v", limit).collect()
+    found = way(skewed, probes, ["g"], "v", limit).collect()
     assert len(found) == 6
     for r in found:
         values = frame[frame.g == ("<none>" if r.g is None else r.g)].v
@@ -109,6 +111,15 @@ def test_time_window_standing(skewed, frame, limit):
         assert r.window_percentile == pytest.approx(share)
 
 
+def test_many_probes_are_not_carried_around(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW_PROBES", 3)
+    probes = skewed.select("g", "v").distinct()
+    few, many = (
+        {(r.g, r.v): (r.below, r.equal, r.total) for r in way(skewed, probes, ["g"], "v").collect()} for way in (count_below_few, count_below)
+    )
+    assert few == many and len(few) > 3
+
+
 def test_histogram_counts_every_value(skewed, frame):
     found = as_frame(stats.histogram(skewed, ["g"], "v", 7), "g", "bin")
     assert found.groupby("g")["count"].sum().to_dict() == frame.groupby("g").size().to_dict()
