@@ -337,6 +337,19 @@ marks AS (SELECT scope, CASE WHEN scope LIKE 'split%'
 SELECT m.scope, round(m.marker,6) AS marker, round(CASE WHEN m.marker IS NULL THEN NULL WHEN count(s.minutes) = 1 THEN 1.0
   WHEN count(s.minutes) > 1 THEN 1 - count(*) FILTER (WHERE s.minutes < m.marker) / (count(s.minutes) - 1) END, 6) AS marker_percentile
 FROM marks m LEFT JOIN scopes s USING (scope) GROUP BY m.scope, m.marker"""
+    q["report_time_window"] = (
+        f"{with_(RESULTS, TIMES, WIDE, near, ranks)}SELECT result_id, round(total_time_min,6) AS total_time_min, event_rank, "
+        "event_size, event_percentile FROM ranks WHERE result_id IN (SELECT result_id FROM near)"
+    )
+    q["report_cohort_splits"] = (
+        f"{with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, split_ranks)}SELECT r.result_id, r.split_name, round(r.split_time_min,6) AS split_time_min, "
+        f"r.split_rank FROM sp r JOIN (SELECT * FROM results WHERE result_id = 7) p ON {same5}"
+    )
+    near_splits = "SELECT result_id, split_name, round(split_time_min,6) AS split_time_min FROM splits WHERE result_id IN (SELECT result_id FROM near)"
+    q["report_window_splits"] = with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, near) + near_splits
+    q["report_preview"] = with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, near) + (
+        near_splits.replace(" FROM splits", ", count(*) OVER () AS total FROM splits") + " ORDER BY splits.split_name, splits.split_time_min, splits.result_id LIMIT 50"
+    )
     q["work_run_split"] = f"""{FULL}SELECT result_id, round(m,6) AS run_time_with_roxzone_min, round(w + m,6) AS work_run_total_min,
   round(CASE WHEN w + m > 0 THEN w / (w + m) END,6) AS work_pct, round(CASE WHEN w + m > 0 THEN m / (w + m) END,6) AS run_pct
 FROM (SELECT result_id, work_time_min AS w, coalesce(run_time_min + roxzone_time_min, run_time_min, roxzone_time_min) AS m FROM wide)"""
@@ -618,4 +631,13 @@ FROM (SELECT value AS v FROM events) WHERE v > 0 AND v <= 999 GROUP BY 1"""
     q["column_means"] = FULL + " UNION ALL ".join(
         f"SELECT '{c}' AS metric, round(avg({c}),6) AS mean, round(median({c}),6) AS median FROM wide" for c in studied
     )
+    four = "four AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS metric, {c} AS minutes FROM wide WHERE {c} IS NOT NULL" for c in studied
+    ) + ")"
+    q["column_histograms"] = with_(RESULTS, TIMES, WIDE, four)[:-1] + histogram_sql("four", ["metric"], "minutes", 30)
+    q["season_series"] = q["profile_seasons"]
+    q["profile_by_name"] = (
+        f"{career}SELECT metric, round(avg(minutes),6) AS time, round(avg(percentile),6) AS percentile FROM scored "
+        "WHERE athlete_id = 11 GROUP BY metric"
+    )
     return q

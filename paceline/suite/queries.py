@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from paceline.functions import durations, labels, text
 from paceline.operators import cohorts, filters, ordering, stats
+from paceline.operators.joins import key_condition
 from paceline.plans import compare, deepdive, derived, menus, profile, rankings, report, search, segments, studies
 from paceline.schema import COHORT_KEYS, OVERALL_KEYS, SEASON_KEYS, STATION_COLUMNS
 from paceline.sources import contract, manifest, races, warehouse
@@ -355,6 +356,28 @@ def report_splits(spark, sf):
     return _result_report(spark, sf).splits
 
 
+@query
+def report_time_window(spark, sf):
+    return _result_report(spark, sf).time_window.select("result_id", "total_time_min", "event_rank", "event_size", "event_percentile")
+
+
+@query
+def report_cohort_splits(spark, sf):
+    return _result_report(spark, sf).cohort_splits.select("result_id", "split_name", "split_time_min", "split_rank")
+
+
+@query
+def report_window_splits(spark, sf):
+    return _result_report(spark, sf).time_window_splits.select("result_id", "split_name", "split_time_min")
+
+
+@query
+def report_preview(spark, sf):
+    """The first 50 rows of the time window by split, with the full count beside them."""
+    rows, total = _bounded_report(spark, sf).window_splits_preview(50)
+    return rows.select("result_id", "split_name", "split_time_min").crossJoin(F.broadcast(total))
+
+
 def _bounded_report(spark, sf):
     rows = _wide(spark, sf)
     splits = star.stored(spark, sf, "split_percentiles")
@@ -623,9 +646,8 @@ def partners(spark, sf):
         .otherwise(F.concat(name, F.lit(" a, "), other, F.lit(" b")))
     )
     # A single word after the comma is a first name, two words are another person.
-    one_word = F.replace(name, F.lit("#"), F.lit(""))
-    found = text.partners(F.when(kind == 2, F.concat(name, F.lit(", "), other)).otherwise(pair))
-    return people.select("c_custkey", F.size(found).alias("people"), found.alias("parts")).where(one_word.isNotNull())
+    found = text.partners(pair)
+    return people.select("c_custkey", F.size(found).alias("people"), found.alias("parts"))
 
 
 # Comparison
@@ -747,8 +769,6 @@ def cohort_filter(spark, sf):
 
 @query
 def null_safe_filter(spark, sf):
-    from paceline.operators.joins import key_condition
-
     return star.results(spark, sf).where(key_condition({"age_group": None, "location": "ASIA"})).select("result_id")
 
 
@@ -918,10 +938,29 @@ def column_means(spark, sf):
     return studies.column_distributions(_wide(spark, sf), STUDIED)[0]
 
 
+@query
+def column_histograms(spark, sf):
+    return studies.column_distributions(_wide(spark, sf), STUDIED)[1]
+
+
+@query
+def season_series(spark, sf):
+    return profile.season_series(_profiles(spark, sf).seasons)
+
+
+@query
+def profile_by_name(spark, sf):
+    rows = _wide(spark, sf)
+    text_links = star.links(rows).withColumn("athlete_id", F.col("athlete_id").cast("string"))
+    people = star.stored(spark, sf, "athlete_index").withColumn("athlete_id", F.col("athlete_id").cast("string"))
+    found = profile.profile_by_name(rows.drop("athlete_id", "nationality"), text_links, people, "customer#000000011")
+    return found.averages.drop("athlete_id")
+
+
 def _regression(spark, sf):
     rows = _wide(spark, sf)
     return rows, studies.regression(
-        rows, "run_time_min", "location", "sledPush_time_min", ["burpeeBroadJump_time_min", "wallBalls_time_min"][:1], "ASIA"
+        rows, "run_time_min", "location", "sledPush_time_min", ["burpeeBroadJump_time_min"], "ASIA"
     )
 
 
