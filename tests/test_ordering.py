@@ -20,7 +20,7 @@ from paceline.operators.ordering import (
 )
 
 SCHEMA = "id int, g string, h int, v double, w long"
-LIMITS = [HOT_ROWS, 100, 5]
+LIMITS = [HOT_ROWS, 50]
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +88,7 @@ def test_quantiles(skewed, frame, limit):
     assert found["count"].tolist() == frame.groupby("g").v.count().loc[found.index].tolist()
 
 
-@pytest.mark.parametrize("ways", [(count_below, HOT_ROWS), (count_below, 100), (count_below, 5), (count_below_few, HOT_ROWS)])
+@pytest.mark.parametrize("ways", [(count_below, HOT_ROWS), (count_below, 50), (count_below_few, HOT_ROWS)])
 def test_count_below(spark, skewed, frame, ways):
     way, limit = ways
     probes = rows(spark, "g string, v double", [("hot", 50.0), ("hot", 50.05), ("hot", 0.0), ("hot", 1e9), (None, 40.0), ("none such", 1.0)])
