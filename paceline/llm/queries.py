@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import bpe, exact_dedup, sharding
+from paceline.llm import bpe, exact_dedup, packing, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), length=4096, last=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_bpe": op5_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
 }
 
 SQL: dict[str, str] = {
