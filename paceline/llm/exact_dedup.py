@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import text_or_empty
+from paceline.llm.common import text_or_empty, written
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,7 +40,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     # Repeated rows are counted, so that exactly one of them can stay.
     rows = rows.groupBy("doc_id", "content", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    found = rows.join(groups(docs, id_col, text_col), ["content", "digest"], "left")
+    # Read back as a table, the groups are joined by a plain exchange, whose partition of a hot group Spark can split.
+    found = rows.join(written(groups(docs, id_col, text_col), "copy-groups"), ["content", "digest"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
