@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paceline.llm.common import chunks, ragged, texts_of, written
+from paceline.llm.common import chunks, texts_of, written
 
 DIMS, BITS = 4, 10
 #: Hashed document vectors have so many cells.
@@ -29,7 +30,7 @@ CELLS = 256
 #: Bits of the id's hash below the curve position; with it a key fills a long.
 TIE_BITS = 63 - DIMS * BITS
 #: Parts of texts whose tokens a worker keeps for later batches.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 250_000
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -95,29 +96,38 @@ class WordTokenizer:
         hidden = iter(range(256, 512))
         self.shown = str.maketrans({b: c or chr(next(hidden)) for b, c in enumerate(shown)})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, np.ndarray] = {}
-        self.of_piece: dict[str, list[int]] = {}
-
-    def part(self, text: str) -> np.ndarray:
-        if not self.plain(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = []
-            for piece in self.pieces(text.lower()):
-                found = self.of_piece.get(piece)
-                if found is None:
-                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-                    found = [token.id for token in self.model.tokenize(letters)]
-                    if len(self.of_piece) < KEPT_PARTS:
-                        self.of_piece[piece] = found
-                ids += found
-        return np.array(ids, dtype=self.dtype)
-
-    def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, `last` after each text's own, and where each text begins and ends among them."""
+        self.kept: dict[str, bytes] = {}
+        self.of_piece: dict[str, bytes] = {}
+        # Most parts: one word of plain letters, and one mark behind it at most.
+        self.simple = re.compile(r"([a-zß-öø-ÿ]+)([.,!]?)").fullmatch
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        found = self.of_piece.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+            found = self.packed([token.id for token in self.model.tokenize(letters)])
+            if len(self.of_piece) < KEPT_PARTS:
+                self.of_piece[piece] = found
+        return found
+
+    def part(self, text: str) -> bytes:
+        lower = text.lower()
+        simple = self.simple(lower)
+        if simple:
+            word, mark = simple.groups()
+            return self.piece(word) + self.piece(mark) if mark else self.piece(word)
+        if self.plain(text):
+            return b"".join(map(self.piece, self.pieces(lower)))
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode(self, texts: pa.Array, last: int) -> list[bytes]:
+        """The packed ids of each text, followed by `last`."""
         lists = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(lists.offsets, dtype=np.int64)
-        offsets = offsets - offsets[0]
+        offsets = (offsets - offsets[0]).tolist()
         words = lists.flatten().dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
         known, rows = self.kept, []
@@ -128,14 +138,8 @@ class WordTokenizer:
                 if len(known) < KEPT_PARTS:
                     known[part] = ids
             rows.append(ids)
-        # The last row is what follows each text.
-        rows.append(np.array([last], dtype=self.dtype))
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat, starts = np.concatenate(rows), np.cumsum(sizes) - sizes
-        codes = np.insert(codes, offsets[1:], len(rows) - 1)
-        lengths = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return flat[ragged(starts[codes], lengths)], ends[np.concatenate([[0], offsets[1:] + np.arange(1, len(offsets))])]
+        row, end = rows.__getitem__, self.packed([last])
+        return [b"".join(map(row, codes[a:b].tolist())) + end for a, b in zip(offsets, offsets[1:])]
 
 
 def tokenized(
@@ -146,18 +150,16 @@ def tokenized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = steps = None
-        for batch in chunks(batches, 2):
+        for batch in chunks(batches, 2, 12_000_000):
             if words is None:
                 words = _worker_tokenizer(sent.value)
                 steps = projection(words.tokenizer.get_vocab_size(), seed)
-            ids, at = words.encode(texts_of(batch.column(2)), last)
-            place = curve_keys(ids, at[:-1], steps)
+            rows = words.encode(texts_of(batch.column(2)), last)
+            sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // words.dtype.itemsize
+            place = curve_keys(np.frombuffer(b"".join(rows), dtype=words.dtype), np.cumsum(sizes) - sizes, steps)
             tie = batch.column(1).to_numpy(zero_copy_only=False) & (1 << TIE_BITS) - 1
-            data = memoryview(ids.tobytes())
-            width = ids.dtype.itemsize
-            rows = [data[a * width : b * width].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(place << TIE_BITS | tie), pa.array(np.diff(at)), pa.array(rows, pa.binary())],
+                [batch.column(0), pa.array(place << TIE_BITS | tie), pa.array(sizes), pa.array(rows, pa.binary())],
                 ["doc_id", "key", "doc_tokens", "ids"],
             )
 
