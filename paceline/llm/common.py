@@ -50,6 +50,20 @@ def crc32_of_id(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """Texts of at most `rows` labelled documents: those with the smallest hashed ids. Columns: doc_id, text, label.
+
+    Only the ids drawn travel to the texts; their number is the bound, so they may be broadcast.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    drawn = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
+    return texts.join(F.broadcast(drawn), "doc_id")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of the text in `column`, and at least one row."""
     for batch in batches:

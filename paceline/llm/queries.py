@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paceline.llm import bpe, exact_dedup, packing, sharding
+from paceline.llm import bpe, exact_dedup, packing, quality, sharding, toxicity
+from paceline.llm.common import crc32_of_id
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +20,33 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir), n_shards=16)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc32_of_id("doc_id") % 5 == 0
+    lexicon = toxicity.fit(docs, labels(spark, sf_dir).where(~held_out))
+    return toxicity.scored(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc32_of_id("doc_id") % 4 == 2
+    trees = quality.fit(docs, labels(spark, sf_dir).where(~held_out))
+    return quality.scored(docs, trees).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -33,7 +57,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
 }
