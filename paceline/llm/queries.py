@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, exact_dedup, packing, quality, sharding, toxicity
+from paceline.llm import bpe, exact_dedup, minhash, packing, quality, sharding, toxicity
 from paceline.llm.common import crc32_of_id
 
 
@@ -55,6 +55,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), length=4096, last=2)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(documents(spark, sf_dir), shingle=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_toxicity": op3_toxicity,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
 }
 
 SQL: dict[str, str] = {
