@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, exact_dedup, minhash, packing, quality, sharding, toxicity
+from paceline.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, sharding, toxicity
 from paceline.llm.common import crc32_of_id
 
 
@@ -24,6 +24,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc32_of_id("doc_id") % 5 == 0
@@ -61,6 +65,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
