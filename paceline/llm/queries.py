@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, sharding, toxicity
+from paceline.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, sharding, token_counts, toxicity
 from paceline.llm.common import crc32_of_id
 
 
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoded(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
