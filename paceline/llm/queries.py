@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, embedding_dedup, exact_dedup, minhash, packing, quality, sharding, token_counts, toxicity
+from paceline.llm import bpe, embedding_dedup, exact_dedup, lm_scoring, minhash, packing, quality, sharding, token_counts, toxicity
 from paceline.llm.common import crc32_of_id
 
 
@@ -67,6 +68,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), labels(spark, sf_dir), label="quality")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -77,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
+    "op10_lm_scoring": op10_lm_scoring,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
