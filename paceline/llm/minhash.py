@@ -4,15 +4,18 @@
    functions. Equal sets form one class, so copies cost nothing further on.
 2. A class is posted under each pair of coordinate and value. Two sets of similarity s agree in a coordinate with
    probability s, so similar ones share at least `matches` of them but for a negligible chance (at 64 coordinates and 32
-   matches below 1e-7 for similarity 0.8 itself). Values of one class only are dropped; a class left with fewer than
-   `matches` shared values has no partner. Of the others only the rarest values are merged: two classes with `matches`
-   in common meet in the first (shared - matches + 1) of each in order of frequency. The long lists are skipped and
-   only looked up, through the signatures, when a pair is counted.
-3. Within a list no pairs are formed at first. Each list names a leader, its members are compared with that one only, and
+   matches below 1e-7 for similarity 0.8 itself). A class with fewer shared values has no partner.
+3. For the others the full sets are made, and the shingles counted that no other candidate holds. They bound how large a
+   partner can be; where none can be large enough the class is done. This takes out texts that share a long passage, and
+   the less faithful members of large groups of near copies.
+4. What is left is posted anew, under its rarest values only: two classes with `matches` in common meet in the first
+   (shared - matches + 1) of each in order of frequency. The long lists are skipped and only looked up, through the
+   signatures, when the agreements of a pair are counted.
+5. Within a list no pairs are formed at first. Each list names a leader, its members are compared with that one only, and
    classes found similar become one component. A few rounds with other leaders join large groups of near copies at a cost
-   in proportion to the postings. Then all pairs of a list that lie in different components are compared. So each pair
-   above the threshold is either compared, or already in one component.
-4. A pair counts when its signatures agree often enough and its full sets confirm it.
+   in proportion to the postings. Then the pairs of a list that lie in different components, and whose bounds allow it,
+   are compared. So each pair above the threshold is either compared, or already in one component.
+6. A pair counts when its signatures agree often enough and its full sets confirm it.
 """
 
 from __future__ import annotations
@@ -133,11 +136,41 @@ def signatures(docs: DataFrame, shingle: int, coords: int, seed: int, id_col: st
     )
 
 
-def shared_postings(classes: DataFrame, matches: int) -> DataFrame:
-    """token, node: each class under the rarest of the values it shares with others, as many as the threshold needs."""
-    tokens = classes.select("node", F.posexplode("signature").alias("place", "value")).select(
-        "node", F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token")
-    )
+def coordinate_values(classes: DataFrame) -> DataFrame:
+    """node, token: each class under each of its coordinates and values, packed into one number."""
+    place, value = F.col("place").cast("long"), F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)
+    rows = classes.select("node", F.posexplode("signature").alias("place", "value"))
+    return rows.select("node", F.shiftleft(place, 32).bitwiseOR(value).alias("token"))
+
+
+def alone(rows: DataFrame, item: str) -> DataFrame:
+    """node, n_alone: how many of a node's items no other node holds. An item stands once per node at most."""
+    holders = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    return holders.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("n_alone"))
+
+
+def candidates(classes: DataFrame, coords: int, matches: int) -> DataFrame:
+    """The classes that share at least `matches` values with others."""
+    lonely = alone(coordinate_values(classes), "token").where(F.col("n_alone") > coords - matches)
+    return classes.join(lonely, "node", "left_anti")
+
+
+def bounded(signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds `high`, the largest partner a class can have; classes that can have none are left out.
+
+    With c common of n and m shingles, similar sets have c * (100 + percent) >= percent * (n + m); c is at most what
+    the class shares with any other. And m is at least n * percent / 100.
+    """
+    lonely = alone(sets.select("node", F.explode("shingles").alias("shingle")), "shingle")
+    shared = F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))
+    high = F.floor(shared * (100 + percent) / percent - F.col("n_shingles"))
+    rows = signs.join(lonely, "node", "left").select("node", "signature", "n_shingles", high.alias("high"))
+    return rows.where(F.col("high") * 100 >= F.col("n_shingles") * percent)
+
+
+def rare_postings(signs: DataFrame, matches: int) -> DataFrame:
+    """node, token: each class under the rarest of the values it shares with others, as many as the threshold needs."""
+    tokens = coordinate_values(signs)
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-values")
     # At most one entry per coordinate.
     held = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
@@ -156,8 +189,7 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, matches: int,
     """The pairs (a, b) whose signatures agree in `matches` coordinates and whose full sets reach the similarity."""
     one = signs.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     two = signs.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    likely = pairs.join(one, "a").join(two, "b").where(near & (agreeing("sa", "sb") >= matches)).select("a", "b", "na", "nb")
+    likely = pairs.join(one, "a").join(two, "b").where(agreeing("sa", "sb") >= matches).select("a", "b", "na", "nb")
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
     common = F.size(F.array_intersect("xa", "xb"))
@@ -198,9 +230,7 @@ def near_dedup(
     one = F.struct(F.col("doc_id").isNull().alias("none"), *rest)
     classes = rows.where("n_shingles > 0").groupBy("digest", "n_shingles", "signature").agg(F.min(one).alias("first"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    postings = written(shared_postings(classes, matches), "postings")
-    nodes = postings.select("node").distinct()
-    signs = written(classes.join(nodes, "node", "left_semi"), "candidates")
+    signs = written(candidates(classes, coords, matches), "candidates")
 
     # The texts of the candidates, and their full sets.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -216,27 +246,35 @@ def near_dedup(
 
     sets = written(found.mapInArrow(full, "node bigint, shingles array<bigint>"), "candidate-sets")
 
+    signs = written(bounded(signs, sets, percent), "bounded-candidates")
+    postings = rare_postings(signs, matches).join(signs.select("node", "n_shingles", "high"), "node")
+    postings = written(postings, "postings")
+
     members = signs.select("node", F.col("node").alias("comp"))
     for turn in range(rounds):
         lists = postings.join(members, "node")
-        priority = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "comp")
-        leaders = lists.groupBy("token").agg(
-            F.min(priority).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        )
-        leaders = leaders.where("low < high").select("token", F.col("leader.node").alias("b"), F.col("leader.comp").alias("cb"))
-        pairs = lists.join(written(leaders, "leaders"), "token").where("comp != cb").select(F.col("node").alias("a"), "b")
-        members = merged(members, confirmed(pairs.distinct(), signs, sets, matches, percent))
-
-    lists = postings.join(members, "node").join(signs.select("node", "n_shingles"), "node")
-    mixed_lists = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    lists = written(lists.join(mixed_lists.select("token"), "token", "left_semi"), "mixed-lists")
-    x, y = lists.alias("x"), lists.alias("y")
-    near = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * percent) & (
-        F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * percent
-    )
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & near)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    members = merged(members, confirmed(pairs, signs, sets, matches, percent))
+        # First the member that can have the largest partners: the most faithful one of a group.
+        order = -F.col("high") if turn == 0 else F.lit(0)
+        leader = F.struct(order.alias("first"), F.xxhash64("node", F.lit(turn)).alias("order"), "node", "comp", "n_shingles", "high")
+        named = lists.groupBy("token").agg(F.min(leader).alias("leader"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+        named = written(named.where("low < top").select("token", "leader"), "leaders")
+        if named.isEmpty():
+            break
+        pairs = lists.join(named, "token").where(F.col("comp") != F.col("leader.comp"))
+        pairs = pairs.where((F.col("n_shingles") <= F.col("leader.high")) & (F.col("leader.n_shingles") <= F.col("high")))
+        pairs = pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
+        members = merged(members, confirmed(pairs, signs, sets, matches, percent))
+
+    lists = postings.join(members, "node")
+    open_lists = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.min("n_shingles").alias("least"))
+    lists = lists.join(written(open_lists.where("low < top").select("token", "least"), "open-lists"), "token")
+    lists = written(lists.where("least <= high").drop("least"), "open-postings")
+    if not lists.isEmpty():
+        x, y = lists.alias("x"), lists.alias("y")
+        fits = (F.col("x.n_shingles") <= F.col("y.high")) & (F.col("y.n_shingles") <= F.col("x.high"))
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits)
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        members = merged(members, confirmed(pairs, signs, sets, matches, percent))
 
     firsts = classes.select("node", "digest", F.col("first.doc_id").alias("first_id")).join(members, "node", "left")
     firsts = written(firsts.withColumn("comp", F.coalesce("comp", "node")), "class-components")
