@@ -113,14 +113,15 @@ def probability(text: str | None, lexicon: Lexicon) -> float:
     return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def counted_terms(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """For each word, beginning of a word, and pair of words: documents with and without the label that hold it."""
+def counted_terms(sample: DataFrame, shortest: int, longest: int, exceptions: tuple[str, ...]) -> DataFrame:
+    """For each word and beginning of a word, outside exceptions: documents with and without the label that hold it."""
+    phrases = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(exceptions))) + r")\b") if exceptions else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                folded = fold(text)
+                folded = fold(text) if phrases is None else phrases.sub(" ", fold(text))
                 words = set(WORD.findall(folded))
                 terms = {("word", w) for w in words if len(w) >= shortest}
                 terms |= {("start", w[:k]) for w in words for k in range(shortest, min(longest, len(w)) + 1)}
@@ -166,9 +167,23 @@ def fit(
     positive, negative = sizes.get(True, 0), sizes.get(False, 0)
     if not positive or not negative:
         return Lexicon({}, exceptions=tuple(map(fold, exceptions)), intercept=-2.0 if not positive else 2.0)
+    lexicon = _chosen(sample, positive, negative, max_entries, least_docs, least_odds, shortest, longest, tuple(map(fold, exceptions)))
+    phrases = _exceptions(sample, lexicon, least_docs, positive, negative)
+    if phrases:
+        # The entries are weighed anew without what stands in a phrase.
+        every = tuple(sorted({*lexicon.exceptions, *phrases}))
+        lexicon = _chosen(sample, positive, negative, max_entries, least_docs, least_odds, shortest, longest, every)
+    slope, intercept = _calibrated(sample, lexicon)
+    return Lexicon(lexicon.weights, lexicon.whole, lexicon.exceptions, slope, intercept)
+
+
+def _chosen(
+    sample: DataFrame, positive: int, negative: int, max_entries: int, least_docs: int, least_odds: float, shortest: int,
+    longest: int, exceptions: tuple[str, ...],
+) -> Lexicon:
     odds = ((F.col("with") + 0.1) / positive) / ((F.col("without") + 0.1) / negative)
     chosen = (
-        counted_terms(sample, shortest, longest)
+        counted_terms(sample, shortest, longest, exceptions)
         .where((F.col("with") >= least_docs) & (odds >= least_odds))
         .select("kind", "term", "with", F.log(odds).alias("weight"))
         .orderBy(F.desc("with"), "term", "kind")
@@ -177,11 +192,14 @@ def fit(
     )
     starts = {r["term"]: r for r in chosen if r["kind"] == "start"}
     words = {r["term"]: r for r in chosen if r["kind"] == "word"}
+    longer: dict[str, list[int]] = {}
+    for term, row in starts.items():
+        longer.setdefault(term[:-1], []).append(row["with"])
     weights: dict[str, float] = {}
     whole = set()
     for term, row in starts.items():
         # A beginning that always goes on in one way is the longer one; where it is always one word, it is that word.
-        if any(starts[t]["with"] == row["with"] for t in (longer for longer in starts if longer[:-1] == term)):
+        if row["with"] in longer.get(term, ()):
             continue
         parent = starts.get(term[:-1])
         if parent is not None and parent["weight"] >= row["weight"] and parent["with"] > 1.5 * row["with"]:
@@ -195,12 +213,7 @@ def fit(
             weights[term] = row["weight"]
             whole.add(term)
     weights = dict(list(weights.items())[:max_entries])
-    whole &= weights.keys()
-    lexicon = Lexicon(weights, frozenset(whole), tuple(map(fold, exceptions)))
-    phrases = _exceptions(sample, lexicon, least_docs, positive, negative)
-    lexicon = Lexicon(weights, frozenset(whole), tuple({*lexicon.exceptions, *phrases}))
-    slope, intercept = _calibrated(sample, lexicon)
-    return Lexicon(weights, frozenset(whole), lexicon.exceptions, slope, intercept)
+    return Lexicon(weights, frozenset(whole & weights.keys()), exceptions)
 
 
 def _exceptions(sample: DataFrame, lexicon: Lexicon, least_docs: int, positive: int, negative: int) -> list[str]:
