@@ -14,7 +14,7 @@
 5. Within a list no pairs are formed at first. Each list names a leader, its members are compared with that one only, and
    classes found similar become one component. A few rounds with other leaders join large groups of near copies at a cost
    in proportion to the postings. Then the pairs of a list that lie in different components, and whose bounds allow it,
-   are compared. So each pair above the threshold is either compared, or already in one component.
+   are compared; see `open_pairs`. So each pair above the threshold is compared, or already in one component.
 6. A pair counts when its signatures agree often enough and its full sets confirm it.
 """
 
@@ -197,6 +197,35 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, matches: int,
     return held.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
+def open_pairs(lists: DataFrame, sets: DataFrame, rare: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of open lists that lie in different components and may be similar.
+
+    Either two classes share a shingle that at most `rare` open classes hold: then the short list of that shingle
+    brings them together. Or they share none: then such shingles do not count for what they can have in common, which
+    leaves few members of a large group of near copies, and these meet in their common lists.
+    """
+    nodes = lists.select("node", "comp", "n_shingles", "high").distinct()
+    held = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    seldom = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare), "rare-shingles")
+    held = written(held.join(seldom, "shingle"), "rare-holders")
+    few = held.groupBy("node").agg(F.count(F.lit(1)).alias("n_rare"))
+    common = F.col("n_shingles") - F.coalesce("n_rare", F.lit(0))
+    nodes = nodes.join(few, "node", "left").withColumn("high_common", F.floor(common * (100 + percent) / percent - F.col("n_shingles")))
+    nodes = written(nodes, "open-nodes")
+
+    def met(rows: DataFrame, key: str, bound: str) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        fits = (F.col("x.n_shingles") <= F.col(f"y.{bound}")) & (F.col("y.n_shingles") <= F.col(f"x.{bound}"))
+        pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.comp") < F.col("y.comp")) & fits)
+        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    able = nodes.where(F.col("high_common") * 100 >= F.col("n_shingles") * percent)
+    rows = lists.select("token", "node").join(able, "node")
+    ends = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.min("n_shingles").alias("least"))
+    rows = rows.join(ends.where("low < top"), "token").where(F.col("least") <= F.col("high_common"))
+    return met(rows, "token", "high_common").union(met(held.where("n > 1").join(nodes, "node"), "shingle", "high")).distinct()
+
+
 def merged(members: DataFrame, links: DataFrame) -> DataFrame:
     """node, comp after the links between nodes are added."""
     of_a = members.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
@@ -213,6 +242,7 @@ def near_dedup(
     coords: int = 64,
     matches: int = 32,
     rounds: int = 3,
+    rare: int = 16,
     seed: int = 9,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -223,7 +253,8 @@ def near_dedup(
     full sets of 64-bit hashes. Returns doc_id, n_shingles, component_id, kept, text_hash; kept holds where the id is the
     component's. A null text or one without words has no shingles, is linked with nothing and stays. A null id is never the
     component's unless all of its ids are null. Rows that share an id are told apart by their texts. No rows give no rows;
-    other columns are not read. `rounds` changes the plan only, never the result.
+    other columns are not read. `rounds` and `rare` change the plan only, never the
+    result.
     """
     rows = written(signatures(docs, shingle, coords, seed, id_col, text_col), "signatures")
     rest = [c for c in ("doc_id", "text_hash")]
@@ -270,10 +301,7 @@ def near_dedup(
     lists = lists.join(written(open_lists.where("low < top").select("token", "least"), "open-lists"), "token")
     lists = written(lists.where("least <= high").drop("least"), "open-postings")
     if not lists.isEmpty():
-        x, y = lists.alias("x"), lists.alias("y")
-        fits = (F.col("x.n_shingles") <= F.col("y.high")) & (F.col("y.n_shingles") <= F.col("x.high"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits)
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        pairs = written(open_pairs(lists, sets, rare, percent), "open-pairs")
         members = merged(members, confirmed(pairs, signs, sets, matches, percent))
 
     firsts = classes.select("node", "digest", F.col("first.doc_id").alias("first_id")).join(members, "node", "left")

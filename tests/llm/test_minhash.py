@@ -78,9 +78,9 @@ def family():
     return [(i, t, None, None, None) for i, t in zip(order, texts)]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_family(spark, family, rounds):
-    agrees(spark, family, rounds=rounds)
+@pytest.mark.parametrize("rounds, rare", [(0, 4), (2, 16), (0, 0), (1, 1000)])
+def test_family(spark, family, rounds, rare):
+    agrees(spark, family, rounds=rounds, rare=rare)
 
 
 def test_documents(spark, sf):
