@@ -198,7 +198,8 @@ def cross_entropy_difference(
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(known.where("label = 1"), "doc_id", "left").select("text", F.col("label").isNotNull().alias("target"))
+    # Labels grow with the documents, so they are never broadcast: the plan is the same at every size.
+    marked = rows.join(known.where("label = 1").hint("merge"), "doc_id", "left").select("text", F.col("label").isNotNull().alias("target"))
     vocabulary = fit_vocabulary(rows, vocabulary_size)
     target, background = fit(marked, "target", vocabulary, bits)
     return scored(rows, vocabulary, target, background)
