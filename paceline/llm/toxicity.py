@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import labelled_sample, written
+from paceline.llm.common import chunks, labelled_sample, written
 
 # Letters of other scripts by the Latin letter they look like.
 HOMOGLYPHS = {
@@ -113,32 +114,54 @@ def probability(text: str | None, lexicon: Lexicon) -> float:
     return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def counted_terms(sample: DataFrame, shortest: int, longest: int, exceptions: tuple[str, ...]) -> DataFrame:
-    """For each word and beginning of a word, outside exceptions: documents with and without the label that hold it."""
-    phrases = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(exceptions))) + r")\b") if exceptions else None
+#: Terms that the documents with the label may bring up; a million would still fit a task.
+MAX_TERMS = 200_000
+_FIELDS = "kind string, term string, n bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], list[int]] = {}
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                folded = fold(text) if phrases is None else phrases.sub(" ", fold(text))
-                words = set(WORD.findall(folded))
-                terms = {("word", w) for w in words if len(w) >= shortest}
-                terms |= {("start", w[:k]) for w in words for k in range(shortest, min(longest, len(w)) + 1)}
-                for term in terms:
-                    counts.setdefault(term, [0, 0])[label != 0] += 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in counts], pa.string()),
-                pa.array([k[1] for k in counts], pa.string()),
-                pa.array([v[0] for v in counts.values()], pa.int64()),
-                pa.array([v[1] for v in counts.values()], pa.int64()),
-            ],
-            ["kind", "term", "without", "with"],
-        )
 
-    found = sample.select("text", "label").mapInArrow(run, "kind string, term string, without bigint, with bigint")
-    return found.groupBy("kind", "term").agg(F.sum("without").alias("without"), F.sum("with").alias("with"))
+def _as_rows(counts: Counter) -> pa.RecordBatch:
+    keys = list(counts)
+    kinds, terms = pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string())
+    return pa.RecordBatch.from_arrays([kinds, terms, pa.array([counts[k] for k in keys], pa.int64())], ["kind", "term", "n"])
+
+
+def counted_terms(sample: DataFrame, shortest: int, longest: int, least_docs: int, exceptions: tuple[str, ...]) -> DataFrame:
+    """kind, term, with, without: words and beginnings of words, outside exceptions, by the documents that hold them.
+
+    Only terms that `least_docs` documents with the label hold are looked for in the others; they are at most
+    `MAX_TERMS`, the most frequent first, so they travel to the tasks.
+    """
+    phrases = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(exceptions))) + r")\b") if exceptions else None
+
+    def terms_of(text: str) -> set[tuple[str, str]]:
+        folded = fold(text)
+        words = {w for w in WORD.findall(folded if phrases is None else phrases.sub(" ", folded)) if len(w) >= shortest}
+        return {("word", w) for w in words} | {("start", w[:k]) for w in words for k in range(shortest, min(longest, len(w)) + 1)}
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 0, 500_000):
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(terms_of(text))
+            yield _as_rows(counts)
+
+    total = F.sum("n").alias("n")
+    held = sample.where("label <> 0").select("text").mapInArrow(first, _FIELDS).groupBy("kind", "term").agg(total)
+    held = held.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "kind", "term").limit(MAX_TERMS)
+    held = written(held.withColumnRenamed("n", "with"), "labelled-terms")
+    found = held.select("kind", "term").toArrow()
+    sent = sample.sparkSession.sparkContext.broadcast(set(zip(found["kind"].to_pylist(), found["term"].to_pylist())))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in chunks(batches, 0, 500_000):
+            for text in batch.column(0).to_pylist():
+                counts.update(terms_of(text) & sent.value)
+        yield _as_rows(counts)
+
+    others = sample.where("label = 0").select("text").mapInArrow(second, _FIELDS).groupBy("kind", "term").agg(total)
+    joined = held.join(others, ["kind", "term"], "left")
+    return joined.select("kind", "term", "with", F.coalesce("n", F.lit(0)).alias("without"))
 
 
 def fit(
@@ -183,8 +206,8 @@ def _chosen(
 ) -> Lexicon:
     odds = ((F.col("with") + 0.1) / positive) / ((F.col("without") + 0.1) / negative)
     chosen = (
-        counted_terms(sample, shortest, longest, exceptions)
-        .where((F.col("with") >= least_docs) & (odds >= least_odds))
+        counted_terms(sample, shortest, longest, least_docs, exceptions)
+        .where(odds >= least_odds)
         .select("kind", "term", "with", F.log(odds).alias("weight"))
         .orderBy(F.desc("with"), "term", "kind")
         .limit(max_entries * 8)
