@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, shingle: int, coords: int, seed: int, id_col: st
     a, b = coordinate_functions(coords, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 2, 4_000_000):
+        for batch in chunks(batches, 2, 1_500_000):
             sets = shingle_sets(texts_of(batch.column(2)), shingle)
             full = [s for s in sets if len(s)]
             flat = np.concatenate([signature(s, a, b) for s in full]) if full else np.zeros(0, np.uint32)
@@ -271,7 +271,7 @@ def near_dedup(
     found = texts.alias("t").join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 1, 4_000_000):
+        for batch in chunks(batches, 1, 1_500_000):
             sets = [s.view(np.int64) for s in shingle_sets(texts_of(batch.column(1)), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
