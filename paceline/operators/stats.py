@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_GROUPS, HOT_ROWS, local_table, quantiles_in_group
+from paceline.operators.ordering import HOT_ROWS, SHORT_LIST, local_table, quantiles_in_group
 from paceline.schema import AGGREGATE_SEGMENTS, DEFAULT_BINS, RUN_FLOOR_MIN, SEGMENTS
 
 SEVEN_NUMBERS = {"median": 0.5, "p10": 0.1, "p90": 0.9}
@@ -18,6 +18,15 @@ def describe(df: DataFrame, keys: list[str], value: str, points=None, hot_rows:
     return quantiles_in_group(df, keys, value, SEVEN_NUMBERS if points is None else points, hot_rows)
 
 
+def describe_columns(df: DataFrame, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Count, mean, standard deviation, extremes and quartiles of each column, all in one table."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    spread = long.groupBy("column").agg(F.stddev_samp("value").alias("sd"))
+    numbers = quantiles_in_group(long, ["column"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows)
+    return key_join(numbers, spread, ["column"]).select("column", "count", "mean", "sd", "min", "q1", "median", "q3", "max")
+
+
 def long_segments(df: DataFrame, ids: list[str], columns: list[str], floors: bool = False) -> DataFrame:
     """One row per segment that has a time. Columns the table lacks are left out."""
     there = [c for c in columns if c in df.columns]
@@ -44,8 +53,8 @@ def bounded(df: DataFrame) -> tuple[DataFrame, bool]:
 
     Returns the table and whether it is short; a long one stays distributed.
     """
-    rows = df.limit(HOT_GROUPS + 1).toArrow()
-    if rows.num_rows > HOT_GROUPS:
+    rows = df.limit(SHORT_LIST + 1).toArrow()
+    if rows.num_rows > SHORT_LIST:
         return df, False
     return local_table(df, rows, df.schema), True
 
@@ -63,17 +72,31 @@ def histogram(
     bins: int = DEFAULT_BINS,
     shared: list[str] | None = None,
     label: str | None = None,
+    described: DataFrame | None = None,
+    counted: Column | None = None,
+    at_least: int = 0,
 ) -> DataFrame:
     """Equal-width histogram per group, empty bins included: `bin, start, end, count`.
 
     `shared` names the keys that share their edges; by default every group has its own.
     `label` names a text column whose distinct values are listed per bin as `labels`.
+    `described` is the same groups' table from `describe`, whose ends then need no pass of their own.
+    `counted` says which values fall into bins, where not all that set the edges do; groups with fewer than
+    `at_least` of these are left out.
     """
     clean = df.where(F.col(value).isNotNull())
-    groups, short = bounded(clean.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
+    if described is not None:
+        groups, short = bounded(described.select(*keys, F.col("min").alias("_low"), F.col("max").alias("_high")))
+    else:
+        inside = F.lit(True) if counted is None else counted
+        ends = (F.min(value).alias("_low"), F.max(value).alias("_high"), F.count_if(inside).alias("_counted"))
+        groups, short = bounded(clean.groupBy(*keys).agg(*ends))
     if shared is not None:
         ends = groups.groupBy(*shared).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
-        groups = key_join(groups.select(*keys), ends, shared, broadcast=short)
+        groups = key_join(groups.drop("_low", "_high"), ends, shared, broadcast=short)
+    if counted is not None:
+        clean = clean.where(counted)
+        groups = groups.where(F.col("_counted") >= at_least)
     placed = key_join(clean, groups, keys, broadcast=short).withColumn(
         "bin", bin_index(F.col(value), F.col("_low"), F.col("_high"), bins)
     )

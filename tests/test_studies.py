@@ -17,7 +17,7 @@ def test_fastest_part(spark):
     assert ids(studies.fastest_part(df, "v")) == [0, 1, 2, 3, 4]
 
 
-def test_clean_times_cuts_one_column_after_the_other(spark):
+def test_clean_times_cuts_one_column_after_the_other(spark, monkeypatch):
     rng = np.random.default_rng(5)
     a, b = rng.uniform(1, 10, 300), rng.uniform(1, 10, 300)
     b[:3], a[3] = [0.0, 500.0, np.nan], 30.0
@@ -28,9 +28,45 @@ def test_clean_times_cuts_one_column_after_the_other(spark):
         column = [r[k] for r in kept]
         low, high = np.quantile(column, 0.05), np.quantile(column, 0.9)
         kept = [r for r in kept if low <= r[k] <= high]
-    for limit in (1_000_000, 50):
-        found = studies.clean_times(df, ["a", "b", "total_time"], low=0.05, high=0.9, hot_rows=limit)
-        assert ids(found) == [r[0] for r in kept]
+    found = studies.clean_times(df, ["a", "b", "total_time"], low=0.05, high=0.9)
+    assert ids(found) == [r[0] for r in kept]
+    # Coarse buckets that are soon too full take more passes and find the same.
+    monkeypatch.setattr(studies, "BUCKETS", 3)
+    monkeypatch.setattr(studies, "LISTED", 4)
+    assert ids(studies.clean_times(df, ["a", "b", "total_time"], low=0.05, high=0.9)) == [r[0] for r in kept]
+
+
+def jobs_of(spark, action):
+    """How many jobs an action runs."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        action()
+        return len(context.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        context._jsc.clearJobGroup()
+
+
+def test_clean_times_takes_two_passes_a_column(spark):
+    rng = np.random.default_rng(6)
+    columns = [f"c{k}" for k in range(6)]
+    data = [(i, *map(float, rng.uniform(1, 9, 6)), 60.0) for i in range(500)]
+    df = rows(spark, "result_id int, " + ", ".join(f"{c} double" for c in columns) + ", total_time double", data)
+    few, many = (jobs_of(spark, lambda n=n: studies.clean_times(df, columns[:n], low=0.01, high=0.99)) for n in (2, 6))
+    # A collected aggregate may count as two jobs, one per stage.
+    assert many - few <= 4 * 4
+
+
+def test_cut_points(spark, monkeypatch):
+    values = [5.0] * 40 + [1.0, 2.0, 2.0, 9.0, 1e9, None]
+    df = numbers(spark, values)
+    known = [v for v in values if v is not None]
+    for buckets, listed in ((4096, 50_000), (2, 1)):
+        monkeypatch.setattr(studies, "BUCKETS", buckets)
+        monkeypatch.setattr(studies, "LISTED", listed)
+        found = studies.cut_points(df, "v", [0.0, 0.05, 0.5, 0.99, 1.0], 1.0, 1e9)
+        assert found == pytest.approx(list(np.quantile(known, [0.0, 0.05, 0.5, 0.99, 1.0])))
+    assert studies.cut_points(df.where("v is null"), "v", [0.5], 0.0, 1.0) is None
 
 
 def test_faster_than_mean(spark):
@@ -83,6 +119,17 @@ def test_shared_histograms_have_common_edges(spark):
     assert {g: [r["count"] for r in sorted(found, key=lambda r: r.bin) if r.gender == g] for g in "fm"} == {"f": [2, 1, 0, 0], "m": [0, 0, 0, 3]}
 
 
+def test_groups_are_gated_twice(spark):
+    data = [("x", "f", 2.0, 1.0), ("x", "f", 4.0, 1.0), ("x", "f", -9.0, 2.0), ("x", "m", 6.0, None), ("x", "m", 8.0, 1.0), ("x", "n", 5.0, 5.0), ("x", "n", -1.0, 7.0)]
+    df = rows(spark, "event string, gender string, t double, w double", data)
+    used = {r.gender: r.n_used for r in studies.large_groups(df, ["event", "gender"], 2, ["t", "w"]).collect()}
+    assert used == {"f": 3, "n": 2}
+    found = studies.shared_histograms(df, "event", "gender", ["t", "w"], 2, at_least=2).collect()
+    # Group m has one complete row; n has one positive t. The edges hold every value of f and n.
+    assert {(r.gender, r.metric) for r in found} == {("f", "t"), ("f", "w"), ("n", "w")}
+    assert [(r.start, r.end, r["count"]) for r in sorted(found, key=lambda r: r.bin) if (r.gender, r.metric) == ("f", "t")] == [(-9.0, -2.0, 0), (-2.0, 5.0, 2)]
+
+
 def test_column_distributions(spark):
     stats, bins = studies.column_distributions(rows(spark, "a double, b double", [(1.0, 10.0), (3.0, None), (8.0, 20.0)]), ["a", "b"], 5)
     assert {r.metric: (r.mean, r.median) for r in stats.collect()} == {"a": (4.0, 3.0), "b": (15.0, 15.0)}
@@ -105,7 +152,7 @@ def field(spark):
 def test_regression_with_robust_errors(spark, field):
     data, df = field
     fitted = studies.regression(df, "run", "event", "sled", ["burpee", "wall"], reference="london")
-    assert fitted.terms == ["intercept", "berlin", "rome", "sled", "burpee", "wall", "berlin:sled", "rome:sled"]
+    terms = ["intercept", "berlin", "rome", "sled", "burpee", "wall", "berlin:sled", "rome:sled"]
     x = np.array([[1, e == "berlin", e == "rome", s, b, w, (e == "berlin") * s, (e == "rome") * s] for e, s, b, w, _ in data], float)
     y = np.array([r[-1] for r in data])
     inverse = np.linalg.inv(x.T @ x)
@@ -113,13 +160,31 @@ def test_regression_with_robust_errors(spark, field):
     weight = ((y - x @ beta) / (1 - np.einsum("ij,jk,ik->i", x, inverse, x))) ** 2
     errors = np.sqrt(np.diag(inverse @ (x.T * weight) @ x @ inverse))
     found = by(fitted.coefficients, "term")
-    assert np.allclose([found[t].coefficient for t in fitted.terms], beta, rtol=1e-6, atol=1e-6)
-    assert np.allclose([found[t].robust_error for t in fitted.terms], errors, rtol=1e-6)
+    assert np.allclose([found[t].coefficient for t in terms], beta, rtol=1e-6, atol=1e-6)
+    assert np.allclose([found[t].robust_error for t in terms], errors, rtol=1e-6)
     assert found["sled"].p_value < 1e-6
     with pytest.raises(InvalidRequest):
         studies.regression(df, "run", "event", "sled", ["burpee"], reference="paris")
 
 
+def test_regression_with_many_events(spark):
+    rng = np.random.default_rng(12)
+    data = [(f"e{i % 400}", float(rng.uniform(2, 5)), float(rng.uniform(3, 6))) for i in range(2400)]
+    data = [(e, s, b, 3.0 + int(e[1:]) + (1 + int(e[1:]) % 3) * s + 0.5 * b) for e, s, b in data]
+    # An event of one start and one without spread: their slope is zero, and their rows are met exactly.
+    data += [("single", 3.0, 4.0, 50.0), ("flat", 2.0, 4.0, 8.0), ("flat", 2.0, 6.0, 9.0)]
+    df = rows(spark, "event string, sled double, burpee double, run double", data)
+    fitted = studies.regression(df, "run", "event", "sled", ["burpee"], reference="e399")
+    found = by(fitted.coefficients, "term")
+    assert len(found) == 2 * 402 + 1
+    assert found["burpee"].coefficient == pytest.approx(0.5)
+    assert found["e7"].coefficient == pytest.approx(7 - 399) and found["e7:sled"].coefficient == pytest.approx(1.0)
+    assert fitted.predict(df).where("abs(prediction - run) > 1e-6").count() == 0
+    none = studies.regression(df, "run", "event", "sled", [], reference="e399")
+    assert none.coefficients.count() == 2 * 402
+    assert fitted.predict(rows(spark, "event string, sled double, burpee double", [("new", 1.0, 1.0)])).first().prediction is None
+
+
 def test_prediction_grid(spark, field):
     data, df = field
     fitted = studies.regression(df, "run", "event", "sled", ["burpee", "wall"], reference="london")
@@ -130,6 +195,9 @@ def test_prediction_grid(spark, field):
     assert np.allclose([r.sled for r in found[:5]], np.linspace(np.quantile(sleds, 0.1), np.quantile(sleds, 0.9999), 5))
     assert found[0].burpee == pytest.approx(np.quantile([r[2] for r in data if r[0] == "berlin"], 0.1))
     assert found[4].prediction > found[0].prediction
+    apart = studies.prediction_grid(df, "event", "sled", ["burpee", "wall"], ["rome"], low_percent={"burpee": 10, "wall": 40}, steps=2).first()
+    assert apart.burpee == pytest.approx(np.quantile([r[2] for r in data if r[0] == "rome"], 0.1))
+    assert apart.wall == pytest.approx(np.quantile([r[3] for r in data if r[0] == "rome"], 0.4))
 
 
 def test_remainders(spark):
