@@ -14,11 +14,11 @@ def listing(spark):
         spark,
         MANIFEST,
         [
-            (7, "Liverpool", "liverpool", None, "2025-02-01"),
-            (7, "London", "london-2024", 2024, "2024-10-01"),
-            (7, "London", "london-2025", 2025, "2025-01-15"),
-            (7, "Manchester", "manchester", None, "2025-03-10"),
-            (6, "Cardiff", "cardiff", None, "2024-08-20"),
+            (4, "Tallinn", "tll", None, "2031-05-11"),
+            (4, "Riga", "riga-spring", 2030, "2030-12-03"),
+            (4, "Riga", "riga-autumn", 2031, "2031-09-27"),
+            (4, "Oslo", "oslo", None, "2031-06-01"),
+            (3, "Graz", "graz", None, "2029-11-30"),
         ],
     )
 
@@ -28,58 +28,61 @@ def ragged(spark):
     return rows(
         spark,
         "season int, location string, year int, path string",
-        [(8, "London", 2026, "a"), (7, "Berlin", 2025, "b"), (8, "london", 2025, "c"), (8, "Manchester", None, "d"), (None, None, None, "e")],
+        [(5, "Porto", 2033, "1"), (4, "Bern", 2031, "2"), (5, "PORTO", 2032, "3"), (None, None, None, "4"), (5, "Lyon", None, "5"), (5, " ", 2032, "6")],
     )
 
 
 def test_races_of_manifest(listing, ragged):
-    assert [tuple(r) for r in manifest.races(listing, 6).collect()] == [(6, "Cardiff", "2024-08-20")]
-    assert by(manifest.races(listing, 7), "location")["London"].file_last_modified == "2025-01-15"
-    assert [tuple(r) for r in manifest.races(ragged, 7).collect()] == [(7, "Berlin")]
+    assert [tuple(r) for r in manifest.races(listing, 3).collect()] == [(3, "Graz", "2029-11-30")]
+    assert by(manifest.races(listing, 4), "location")["Riga"].file_last_modified == "2031-09-27"
+    assert [tuple(r) for r in manifest.races(ragged, 4).collect()] == [(4, "Bern")]
 
 
 def test_menus_of_manifest(ragged):
     def first(df):
         return [r[0] for r in df.collect()]
 
-    assert first(manifest.seasons(ragged)) == [7, 8]
-    assert first(manifest.locations(ragged, 8)) == ["London", "Manchester"]
-    assert first(manifest.locations(ragged, 999)) == []
-    assert first(manifest.years(ragged, 8, "LONDON")) == [2025, 2026]
-    assert first(manifest.years(ragged, 999, "london")) == []
+    assert first(manifest.seasons(ragged)) == [4, 5]
+    assert first(manifest.locations(ragged, 5)) == ["Lyon", "PORTO"]
+    assert first(manifest.locations(ragged, 77)) == []
+    assert first(manifest.years(ragged, 5, "porto")) == [2032, 2033]
+    assert first(manifest.years(ragged, 77, "porto")) == []
+    assert [tuple(r) for r in manifest.race_menus(ragged.where("season = 5 and location <> ' '")).orderBy("location").collect()] == [
+        (5, "Lyon", []), (5, "PORTO", [2032, 2033]),
+    ]
 
 
 def test_find_race(listing):
-    assert manifest.find_race(listing, 7, "london", 2025)["path"] == "london-2025"
-    assert manifest.find_race(listing, 7, "London")["path"] == "london-2024"
-    assert manifest.find_race(listing, 7, "liverpool")["path"] == "liverpool"
+    assert manifest.find_race(listing, 4, "riga", 2031)["path"] == "riga-autumn"
+    assert manifest.find_race(listing, 4, "RIGA")["path"] == "riga-spring"
+    assert manifest.find_race(listing, 4, "tallinn")["path"] == "tll"
 
 
 def test_not_found_says_what_exists(spark, listing):
-    with pytest.raises(NotFound, match="Available seasons: 6, 7") as error:
-        manifest.find_race(listing, 9, "London")
-    assert error.value.context["available_seasons"] == [6, 7] and error.value.context["suggestions"] == []
-    with pytest.raises(NotFound, match="Did you mean: London") as error:
-        manifest.find_race(listing, 7, "londn")
-    assert error.value.context["suggestions"] == ["London"]
-    with pytest.raises(NotFound, match="Available years: 2024, 2025") as error:
-        manifest.find_race(listing, 7, "London", 1999)
-    assert error.value.context["available_years"] == [2024, 2025]
+    with pytest.raises(NotFound, match="Available seasons: 3, 4") as error:
+        manifest.find_race(listing, 6, "Riga")
+    assert error.value.context["available_seasons"] == [3, 4] and error.value.context["suggestions"] == []
+    with pytest.raises(NotFound, match="Did you mean: Tallinn") as error:
+        manifest.find_race(listing, 4, "talin")
+    assert error.value.context["suggestions"] == ["Tallinn"]
+    with pytest.raises(NotFound, match="Available years: 2030, 2031") as error:
+        manifest.find_race(listing, 4, "Riga", 2044)
+    assert error.value.context["available_years"] == [2030, 2031]
 
 
 def test_missing_races_as_a_table(spark, listing):
     wanted = rows(
         spark,
         "season int, location string, year int",
-        [(7, "londn", None), (9, "London", None), (7, "London", 1999), (7, "London", 2024), (7, "zzzzzz", None)],
+        [(4, "talin", None), (6, "Riga", None), (4, "Riga", 2044), (4, "Riga", 2030), (4, "qqqqqq", None)],
     )
     found = {(r.season, r.location, r.year): r for r in manifest.missing_races(wanted, listing).collect()}
     assert len(found) == 5
-    assert found[7, "londn", None].status == "no such location" and found[7, "londn", None].suggestions == ["london"]
-    assert found[9, "London", None].status == "no such season"
-    assert found[7, "London", 1999].status == "no such year" and found[7, "London", 1999].available_years == [2024, 2025]
-    assert found[7, "London", 2024].status == "found"
-    assert found[7, "zzzzzz", None].suggestions is None
+    assert found[4, "talin", None].status == "no such location" and found[4, "talin", None].suggestions == ["tallinn"]
+    assert found[6, "Riga", None].status == "no such season"
+    assert found[4, "Riga", 2044].status == "no such year" and found[4, "Riga", 2044].available_years == [2030, 2031]
+    assert found[4, "Riga", 2030].status == "found" and found[4, "Riga", 2030].available_years is None
+    assert found[4, "qqqqqq", None].suggestions is None
 
 
 def test_close_matches_agree_with_a_plain_search(spark):
@@ -107,16 +110,16 @@ def files(spark, tmp_path_factory):
         spark,
         "name string, gender string, division string, total_time string, work_1 string, run_1 string",
         [
-            ("Alex Atherton", "M", "pro", "00:54:30", "4:30", "5:00"),
-            ("Blake Brown", "M", "open", "00:56:30", "4:45", "bad"),
-            ("Casey Clark", "F", "pro", "01:02:00", "5:00", "5:30"),
+            ("Kaia Berg", "F", "elite", "01:10:45", "5:15", "6:30"),
+            ("Tomas Okafor", "M", "elite", "01:02:30", "4:00", "n/a"),
+            ("Wim Korda", "M", "solo", "01:25:00", "6:45", "7:15"),
+            ("Nora Eide", "F", "elite", "01:31:15", "7:30", "8:00"),
         ],
     )
-    raw.coalesce(1).write.parquet(f"{base}/season=5/London.parquet")
-    raw.drop("run_1").withColumn("bib", F.lit(1)).coalesce(1).write.parquet(f"{base}/season=5/Paris.parquet")
-    spark.range(1).select(
-        F.lit("season,location,path,year\n5,London,s3://b/season=5/London.parquet,2024\n5,Paris,s3://b/season=5/Paris.parquet,x").alias("value")
-    ).coalesce(1).write.text(f"{base}/manifest")
+    raw.coalesce(1).write.parquet(f"{base}/season=4/Riga.parquet")
+    raw.drop("run_1").where("division = 'elite'").withColumn("bib", F.lit(9)).coalesce(1).write.parquet(f"{base}/season=4/Oslo.parquet")
+    lines = ["season,location,path,year", "4,Riga,s3://b/season=4/Riga.parquet,2031", "4,Oslo,s3://b/season=4/Oslo.parquet,?"]
+    spark.range(1).select(F.lit("\n".join(lines)).alias("value")).coalesce(1).write.text(f"{base}/manifest")
     return base, manifest.read_manifest(spark, f"{base}/manifest")
 
 
@@ -126,44 +129,47 @@ def names(df):
 
 def test_get_race(spark, files):
     base, listing = files
-    race = races.get_race(spark, listing, 5, "london", base=base)
-    first = by(race, "name")
-    assert first["Alex Atherton"].total_time == 54.5 and first["Alex Atherton"].skiErg_time == 4.5
-    assert first["Blake Brown"].run1_time is None
-    assert names(races.get_race(spark, listing, 5, "London", total_time=60, base=base)) == ["Alex Atherton", "Blake Brown"]
-    assert names(races.get_race(spark, listing, 5, "London", total_time=(55, 60), base=base)) == ["Blake Brown"]
-    assert names(races.get_race(spark, listing, 5, "London", total_time=(55, None), base=base)) == ["Blake Brown", "Casey Clark"]
-    assert names(races.get_race(spark, listing, 5, "London", gender="M", division="pro", base=base)) == ["Alex Atherton"]
+
+    def found(**options):
+        return names(races.get_race(spark, listing, 4, "riga", base=base, **options))
+
+    first = by(races.get_race(spark, listing, 4, "RIGA", base=base), "name")
+    assert first["Kaia Berg"].total_time == 70.75 and first["Kaia Berg"].skiErg_time == 5.25
+    assert first["Tomas Okafor"].run1_time is None
+    assert found(total_time=85) == ["Kaia Berg", "Tomas Okafor"]
+    assert found(total_time=(62.5, 85.5)) == ["Kaia Berg", "Wim Korda"]
+    assert found(total_time=(80, None)) == ["Nora Eide", "Wim Korda"]
+    assert found(gender="M", division="elite") == ["Tomas Okafor"]
     with pytest.raises(NotFound):
-        races.get_race(spark, listing, 5, "London", gender="m", base=base)
+        found(gender="f")
     with pytest.raises(InvalidRequest):
-        races.get_race(spark, listing, 5, "London", total_time=(1, 2, 3), base=base)
+        found(total_time=(1, 2, 3))
 
 
 def test_get_race_pushes_filters(spark, files):
     base, listing = files
-    race = races.get_race(spark, listing, 5, "London", gender="M", base=base)
+    race = races.get_race(spark, listing, 4, "Riga", gender="M", base=base)
     plan = race._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gender,M)" in plan
 
 
 def test_get_season(spark, files):
     base, listing = files
-    season = races.get_season(spark, listing, 5, base=base)
-    assert season.count() == 6 and {"run1_time", "bib"} <= set(season.columns)
-    assert races.get_season(spark, listing, 5, locations=["PARIS"], base=base).count() == 3
-    assert races.get_season(spark, listing, 5, division="pro", base=base).count() == 4
-    assert races.get_season(spark, listing, 5, base=base, first_only=True).count() == 6
+    season = races.get_season(spark, listing, 4, base=base)
+    assert season.count() == 7 and {"run1_time", "bib"} <= set(season.columns)
+    assert races.get_season(spark, listing, 4, locations=["OSLO"], base=base).count() == 3
+    assert races.get_season(spark, listing, 4, division="solo", base=base).count() == 1
+    assert races.get_season(spark, listing, 4, base=base, first_only=True).count() == 7
     with pytest.raises(NotFound):
-        races.get_season(spark, listing, 4, base=base)
+        races.get_season(spark, listing, 8, base=base)
 
 
 def test_athlete_in_race(spark, files):
     base, listing = files
-    race = races.get_race(spark, listing, 5, "London", base=base)
-    assert names(races.athlete_in_race(race, "atherton")) == ["Alex Atherton"]
+    race = races.get_race(spark, listing, 4, "Riga", base=base)
+    assert names(races.athlete_in_race(race, "OKA")) == ["Tomas Okafor"]
     with pytest.raises(NotFound):
-        races.athlete_in_race(race, "missing")
+        races.athlete_in_race(race, "nobody")
     with pytest.raises(InvalidRequest):
         races.athlete_in_race(race, " ")
 
