@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.errors import InvalidRequest, NotFound
-from paceline.operators.joins import key_condition, key_join
+from paceline.operators.joins import all_of, key_condition, key_join
 from paceline.operators.ordering import HOT_ROWS, hot_groups, running_total, standing, value_counts
 from paceline.schema import COHORT_KEYS
 
@@ -32,6 +34,29 @@ def cohorts_of(results: DataFrame, requests: DataFrame, keys=COHORT_KEYS) -> Dat
     return key_join(results, requests.select(*keys).distinct(), keys, "left_semi")
 
 
+def override_sizes(results: DataFrame, base: DataFrame, overridden: dict[str, str | None]) -> DataFrame:
+    """How large the cohort of each base row is, when some filters are set and the others are its own.
+
+    `base` has one row per request: `result_id`, `season` and the text filters division, gender, age_group. A filter in
+    `overridden` takes the given value for all of them; a null filter is open. Text is compared without case. Sizes are
+    counted per combination first, so a request meets combinations of its season and never rows.
+    """
+    texts = ["division", "gender", "age_group"]
+    folded = {f"_{c}": F.lower(F.col(c)) for c in texts}
+    sizes = results.withColumns(folded).groupBy("season", *folded).agg(F.count(F.lit(1)).alias("_n"))
+    asked = base.select("result_id", "season", *[F.lower(F.lit(overridden[c]) if c in overridden else F.col(c)).alias(f"_ask_{c}") for c in texts])
+    open_ = [F.col(f"_ask_{c}").isNull() for c in texts]
+    found = []
+    # One equi-join per set of filters that are given: every given filter is a key of the join.
+    for mask in range(1 << len(texts)):
+        given_ = [c for k, c in enumerate(texts) if mask >> k & 1]
+        rows = asked.where(all_of([~o if c in given_ else o for c, o in zip(texts, open_)]))
+        part = sizes.groupBy("season", *[f"_{c}" for c in given_]).agg(F.sum("_n").alias("cohort_size"))
+        part = part.withColumnsRenamed({f"_{c}": f"_ask_{c}" for c in given_})
+        found.append(rows.join(part, ["season", *[f"_ask_{c}" for c in given_]]).select("result_id", "cohort_size"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def time_band(picked: dict, minutes: float) -> tuple[float, float]:
     if minutes is None or float(minutes) <= 0:
         raise InvalidRequest("the time window must be a positive number")

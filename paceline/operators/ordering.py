@@ -4,7 +4,7 @@ A window or a `percentile` aggregate puts each group into one task. That is righ
 small groups and wrong for a group that holds a large part of the table. So the group sizes are
 counted first (one narrow pass, combined before the shuffle) and only the large groups take the
 other way: their rows are sorted by range over all tasks and numbered across partitions. Both ways
-give the same result, so the limit only decides where work is done.
+give the same result, so the limits below choose a plan and nothing else.
 """
 
 from __future__ import annotations
@@ -21,11 +21,8 @@ from paceline.session import checkpointed
 
 #: A group with more rows than this is not given to a single task.
 HOT_ROWS = 1_000_000
-#: At most this many large groups are listed, the largest first. The list travels through the driver
-#: and is broadcast, so this is its size bound; any group left out has less than 1/100,000 of the rows.
-HOT_GROUPS = 100_000
-#: Most partitions a range sort is cut into.
-MAX_PARTS = 20_000
+#: A list of groups is broadcast if it has at most this many rows; a longer one is joined by a shuffle.
+SHORT_LIST = 100_000
 
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE_HERE = (Window.unboundedPreceding, -1)
@@ -39,21 +36,31 @@ class HotGroups:
     table: DataFrame
     rows: int
     limit: int
+    short: bool = True
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = HOT_ROWS) -> HotGroups | None:
-    """List the groups with more than `hot_rows` rows, or None if there are none.
+    """The groups with more than `hot_rows` rows, or None if there are none.
 
+    All of them are kept. Each holds more than `hot_rows` rows, so the list is that much shorter than the
+    table; a short one is brought to the driver and broadcast, a longer one is written and joined by a shuffle.
     A caller that has counted already, and knows that no group is large, passes `hot_rows=None`.
     """
     if hot_rows is None:
         return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    listed = sizes.orderBy(F.desc("_n")).limit(HOT_GROUPS).toArrow()
+    return hot_among(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, hot_rows)
+
+
+def hot_among(sizes: DataFrame, keys: list[str], hot_rows: int) -> HotGroups | None:
+    """The same from a table of group sizes (`keys`, `_n`) that a caller has already."""
+    large = sizes.where(F.col("_n") > hot_rows)
+    listed = large.limit(SHORT_LIST + 1).toArrow()
     if listed.num_rows == 0:
         return None
-    table = local_table(df, listed, sizes.schema).drop("_n")
-    return HotGroups(keys, table, sum(listed["_n"].to_pylist()), hot_rows)
+    if listed.num_rows <= SHORT_LIST:
+        return HotGroups(keys, local_table(sizes, listed, large.schema).drop("_n"), sum(listed["_n"].to_pylist()), hot_rows)
+    large = checkpointed(large)
+    return HotGroups(keys, large.drop("_n"), large.agg(F.sum("_n")).first()[0], hot_rows, short=False)
 
 
 def local_table(df: DataFrame, rows, schema) -> DataFrame:
@@ -66,8 +73,8 @@ def local_table(df: DataFrame, rows, schema) -> DataFrame:
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary groups, rows of large groups."""
     return (
-        key_join(df, hot.table, hot.keys, "left_anti", broadcast=True),
-        key_join(df, hot.table, hot.keys, "left_semi", broadcast=True),
+        key_join(df, hot.table, hot.keys, "left_anti", broadcast=hot.short),
+        key_join(df, hot.table, hot.keys, "left_semi", broadcast=hot.short),
     )
 
 
@@ -101,11 +108,11 @@ def _ranged_total(df, hot, order, weight, out):
     """
     keys = hot.keys
     spark = df.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * hot.rows / hot.limit))
-    parts = min(wanted, MAX_PARTS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * hot.rows / hot.limit))
     ranged = checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
 
-    # One row per partition and one row per large group: both bounded, so they may be summed in one task.
+    # One row per partition and one per large group: each stands for at least half of `limit` rows, so they
+    # may be summed in one task.
     per_part = ranged.groupBy("_part").agg(F.sum(weight).alias("_w"))
     before_part = per_part.select(
         "_part", F.coalesce(F.sum("_w").over(Window.orderBy("_part").rowsBetween(*_BEFORE_HERE)), F.lit(0)).alias("_lead")
@@ -119,21 +126,22 @@ def _ranged_total(df, hot, order, weight, out):
     inside = Window.partitionBy("_part").orderBy(*keys, *order).rowsBetween(*_UP_TO_HERE)
     local = ranged.withColumn("_local", F.sum(weight).over(inside)).join(F.broadcast(before_part), "_part")
     return (
-        key_join(local, before_group, keys, "inner", broadcast=True)
+        key_join(local, before_group, keys, "inner", broadcast=hot.short)
         .withColumn(out, F.col("_lead") + F.col("_local") - F.col("_skip"))
         .select(*df.columns, out, f"{out}_all")
     )
 
 
 def rank_in_group(
-    df: DataFrame, keys: list[str], value: str, tiebreak: str, prefix: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], value: str, tiebreak: str, prefix: str, hot_rows: int | HotGroups | None = HOT_ROWS
 ) -> DataFrame:
     """Add `<prefix>_rank`, `_size` and `_percentile` (1 is fastest, equal values share one percentile).
 
-    Rows without a value must be removed by the caller; they take no part in a ranking.
+    Rows without a value must be removed by the caller; they take no part in a ranking. A caller that
+    has the large groups already passes them in place of the limit.
     """
     names = [f"{prefix}_rank", f"{prefix}_size", f"{prefix}_percentile"]
-    hot = hot_groups(df, keys, hot_rows)
+    hot = hot_rows if isinstance(hot_rows, HotGroups) else hot_groups(df, keys, hot_rows)
     if hot is None:
         return _windowed_rank(df, keys, value, tiebreak, names)
     ordinary, large = split_hot(df, hot)
@@ -283,9 +291,11 @@ def _ranged_quantiles(df, hot, value, points):
         position = (F.col("count") - 1) * F.lit(share)
         picks += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}")]
     picked = placed.groupBy(*keys).agg(*picks) if picks else placed.select(*keys).distinct()
-    result = key_join(summary, picked, keys, "inner", broadcast=True)
+    result = key_join(summary, picked, keys, "inner", broadcast=hot.short)
     for name, share in points.items():
         position = (F.col("count") - 1) * F.lit(share)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        result = result.withColumn(name, low + (high - low) * (position - F.floor(position)))
+        # Written as Spark's `percentile` does it, so that both ways agree to the last bit.
+        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        result = result.withColumn(name, F.when(low == high, low).otherwise(between))
     return result.select(*keys, "count", "min", "max", "mean", *points)

@@ -13,7 +13,7 @@ from paceline.operators.filters import believable, cohort_filter, override
 from paceline.operators.joins import key_join
 from paceline.operators.ordering import HOT_ROWS, local_table
 from paceline.operators.stats import FIVE_NUMBERS, bounded, describe, first_n_in_group, histogram, marker_standing
-from paceline.schema import DEFAULT_BINS, time_column
+from paceline.schema import DEFAULT_BINS, floor_of, time_column
 
 # What the groups of a deep dive are.
 TOP_SHARE, BOTTOM_SHARE, PODIUM = 0.05, 0.9, 3
@@ -68,7 +68,7 @@ class DeepDive:
     ):
         if season is None:
             raise InvalidRequest("season is required")
-        column = time_column(metric)
+        column = self.column = time_column(metric)
         self.race = pick_result(results, result_id)
         if self.race[column] is None:
             raise InvalidRequest(f"the result has no {column}")
@@ -109,12 +109,17 @@ class DeepDive:
 
     @cached_property
     def markers(self) -> DataFrame:
-        """The athlete's value in the groups whose range holds it; on the podium only if it is one of its times."""
+        """The athlete's value in the groups whose range holds it; on the podium only if it is one of its times.
+
+        A value below what is believable for the metric stands in no group.
+        """
         mine = self.athlete_value
         close = F.abs(F.col("minutes") - mine) <= CLOSE_ABSOLUTE + CLOSE_RELATIVE * abs(mine)
         inside = {r["grp"]: r["grp"] == "all" or r["min"] <= mine <= r["max"] for r in self.groups.collect()}
         inside["podium"] = not self.tagged.where((F.col("grp") == "podium") & close).isEmpty()
-        marks = [{"grp": name, "marker": mine if shown else None} for name, shown in inside.items()]
+        floor = floor_of(self.column)
+        counts = floor is None or mine >= floor
+        marks = [{"grp": name, "marker": mine if shown and counts else None} for name, shown in inside.items()]
         table = local_table(self.cohort, marks, "grp string, marker double")
         return marker_standing(self.tagged, ["grp"], "minutes", table)
 

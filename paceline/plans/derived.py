@@ -7,24 +7,36 @@ from pyspark.sql import functions as F
 
 from paceline.functions.text import stable_id
 from paceline.operators.filters import has
-from paceline.operators.ordering import HOT_ROWS, hot_groups, rank_in_group
+from paceline.operators.ordering import HOT_ROWS, HotGroups, hot_among, rank_in_group
 from paceline.schema import COHORT_KEYS, OVERALL_KEYS, RUN_COLUMNS, SEASON_KEYS, STATION_COLUMNS
+from paceline.session import checkpointed
 
 
 def race_rankings(results: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Event, season and overall ranks of every timed result.
 
     Only ids, keys and times are carried. The narrowest cohorts go first: in the other order Spark
-    would keep the few overall cohorts together and rank everything in a handful of tasks.
+    would keep the few overall cohorts together and rank everything in a handful of tasks. Group sizes are counted
+    once, for the narrowest cohorts; each family of cohorts splits the next, so the wider ones are sums of these.
     """
     timed = results.where(F.col("total_time_min").isNotNull()).select("result_id", *COHORT_KEYS, "total_time_min")
-    # Each family of cohorts splits the next one, so if no overall cohort is large, none is.
-    if hot_groups(timed, OVERALL_KEYS, hot_rows) is None:
-        hot_rows = None
+    families = ((COHORT_KEYS, "event"), (SEASON_KEYS, "season"), (OVERALL_KEYS, "overall"))
+    hot: dict[str, HotGroups | None] = dict.fromkeys(prefix for _, prefix in families)
+    if hot_rows is not None:
+        sizes = checkpointed(timed.groupBy(*COHORT_KEYS).agg(F.count(F.lit(1)).alias("_n")))
+        for keys, prefix in families[::-1]:
+            hot[prefix] = hot_among(sizes.groupBy(*keys).agg(F.sum("_n").alias("_n")), keys, hot_rows)
+            if hot[prefix] is None:
+                # If no wider cohort is large, no narrower one is.
+                break
     ranked = timed
-    for keys, prefix in ((COHORT_KEYS, "event"), (SEASON_KEYS, "season"), (OVERALL_KEYS, "overall")):
-        ranked = rank_in_group(ranked, keys, "total_time_min", "result_id", prefix, hot_rows)
-    return ranked.drop(*COHORT_KEYS, "total_time_min")
+    for keys, prefix in families:
+        ranked = rank_in_group(ranked, keys, "total_time_min", "result_id", prefix, hot[prefix])
+        if hot[prefix] is not None:
+            # Ranked over range-sorted data: written once, or the next family would sort it again.
+            ranked = checkpointed(ranked)
+    # The season stays: the table is partitioned by it.
+    return ranked.drop(*[k for k in COHORT_KEYS if k != "season"], "total_time_min")
 
 
 def splits_of(results: DataFrame) -> DataFrame:

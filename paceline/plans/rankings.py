@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paceline.errors import InvalidRequest
 from paceline.operators.filters import cohort_filter, gender_is, given, name_contains, text_is
-from paceline.operators.ordering import HOT_ROWS, count_below, hot_groups, running_total
+from paceline.operators.ordering import HOT_ROWS, count_below, count_below_few, hot_groups, local_table, running_total
 from paceline.operators.stats import facets
 
 SHOWN = [
@@ -50,6 +50,30 @@ def top_rows(cohort: DataFrame, limit: int) -> DataFrame:
     return first.withColumn("placement", F.row_number().over(Window.orderBy("total_time_min", "result_id")).cast("long"))
 
 
+def named_rows(cohort: DataFrame, athlete_name: str, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The first rows of a name with their places in the whole cohort, which itself is only counted.
+
+    A place is the number of rows before it: those with a smaller time, and of the same time those with a smaller id.
+    """
+    named = cohort.where(name_contains(athlete_name)).orderBy("total_time_min", "result_id").limit(int(limit))
+    # `limit` rows, kept so that both counts below see the same ones.
+    named = local_table(cohort, named.toArrow(), named.schema)
+    times = cohort.withColumn("_all", F.lit(0))
+    asked = named.select(F.lit(0).alias("_all"), "total_time_min").distinct()
+    below = count_below_few(times, asked, ["_all"], "total_time_min", hot_rows).select("total_time_min", "below")
+    same = named.select("total_time_min", F.col("result_id").alias("_id"))
+    ties = (
+        cohort.select("total_time_min", F.col("result_id").alias("_other"))
+        .join(F.broadcast(same), "total_time_min")
+        .groupBy("total_time_min", "_id")
+        .agg(F.count_if(F.col("_other") <= F.col("_id")).alias("_upto"))
+    )
+    placed = named.join(below, "total_time_min").join(
+        ties.withColumnsRenamed({"_id": "result_id"}), ["total_time_min", "result_id"]
+    )
+    return placed.withColumn("placement", F.col("below") + F.col("_upto")).select(*named.columns, "placement").orderBy("placement")
+
+
 def location_bests(cohort: DataFrame) -> DataFrame:
     return (
         cohort.groupBy("location")
@@ -94,8 +118,7 @@ def rankings(
     cohort = ranking_cohort(results, season, division, gender, age_group)
     shown = cohort.select(*[c for c in SHOWN if c in cohort.columns])
     if given(athlete_name):
-        named = placements(shown).where(name_contains(athlete_name))
-        rows = named.orderBy("placement").limit(int(limit))
+        rows = named_rows(shown, athlete_name, limit)
     else:
         rows = top_rows(shown, limit)
     return Rankings(

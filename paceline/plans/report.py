@@ -12,11 +12,11 @@ from paceline.errors import InvalidRequest
 from paceline.functions.durations import finite
 from paceline.functions.labels import percent_fill
 from paceline.functions.text import plain
-from paceline.operators.cohorts import demographic_cohort, pick_result, time_band, time_window_cohort
+from paceline.operators.cohorts import demographic_cohort, pick_result, time_band, time_window_cohort, time_window_standing
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
-from paceline.operators.ordering import HOT_ROWS, local_table, rank_in_group, standing
-from paceline.operators.stats import describe, histogram, marker_standing, segment_table
+from paceline.operators.ordering import HOT_ROWS, count_below, local_table, rank_in_group, standing
+from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 
 STORED_RANKS = ["season_rank", "season_size", "season_percentile", "overall_rank", "overall_size", "overall_percentile"]
@@ -34,8 +34,15 @@ def with_event_ranks(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def with_stored_ranks(results: DataFrame, rankings: DataFrame) -> DataFrame:
     """Season and overall ranks from the rankings table; what it lacks is null."""
-    stored = rankings.select("result_id", *[c for c in STORED_RANKS if has(rankings, c)])
-    return results.join(stored, "result_id", "left")
+    keys = ["result_id", *(["season"] if has(rankings, "season") else [])]
+    stored = rankings.select(*keys, *[c for c in STORED_RANKS if has(rankings, c)])
+    return results.join(stored, keys, "left")
+
+
+def _of_race(table: DataFrame, picked: dict, location: bool = True) -> DataFrame:
+    """The rows of a table that lie in the season, and the place, of the picked result: what its scan can skip by."""
+    keys = {k: picked[k] for k in ("season", *(["location"] if location else [])) if has(table, k)}
+    return table.where(key_condition(keys))
 
 
 @dataclass
@@ -59,8 +66,10 @@ def result_report(
     """
     picked = pick_result(results, result_id, COHORT_KEYS + ["total_time_min"])
     cohort = with_event_ranks(demographic_cohort(results, picked))
+    rankings = _of_race(rankings, picked)
+    here = _of_race(splits, picked)
     race = with_stored_ranks(cohort.where(F.col("result_id") == F.lit(result_id)), rankings)
-    own = splits.where(F.col("result_id") == F.lit(result_id)).select(*SPLIT_SHOWN)
+    own = here.where(F.col("result_id") == F.lit(result_id)).select(*SPLIT_SHOWN)
     keys = {k: picked[k] for k in COHORT_KEYS}
     cohort_splits = splits.where(key_condition(keys))
     if window_min is None:
@@ -68,7 +77,7 @@ def result_report(
     near = time_window_cohort(results, picked, window_min)
     # The window frame shows the stored event ranks, unlike the race and the cohort.
     stored = rankings.select("result_id", *[c for c in ("event_rank", "event_size", "event_percentile") if has(rankings, c)])
-    near_splits = splits.join(near.select("result_id"), "result_id", "left_semi")
+    near_splits = here.join(near.select("result_id"), "result_id", "left_semi")
     return ResultReport(
         race=race,
         cohort=_by_time(cohort),
@@ -148,7 +157,7 @@ class BoundedReport:
             found.append(("time_window", near, "total_time_min", total))
         if self.split_name is not None:
             chosen = F.lower("split_name") == self.split_name.lower()
-            kept = self.all_splits.where(chosen & believable("split_time_min", self.split_name))
+            kept = _of_race(self.all_splits, picked).where(chosen & believable("split_time_min", self.split_name))
             own = kept.where(F.col("result_id") == F.lit(self.result_id)).agg(F.max("split_time_min")).first()[0]
             keys = {k: picked[k] for k in COHORT_KEYS}
             found.append(("split_cohort", kept.where(key_condition(keys)), "split_time_min", own))
@@ -169,11 +178,12 @@ class BoundedReport:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return describe(self.values, ["scope"], "minutes")
+        """There are four scopes at most, so the table is kept at hand; the bins take their ends from it."""
+        return bounded(describe(self.values, ["scope"], "minutes"))[0]
 
     @cached_property
     def bins(self) -> DataFrame:
-        return histogram(self.values, ["scope"], "minutes", self.n_bins)
+        return histogram(self.values, ["scope"], "minutes", self.n_bins, described=self.stats)
 
     @cached_property
     def markers(self) -> DataFrame:
@@ -183,7 +193,7 @@ class BoundedReport:
 
     @property
     def _own(self) -> DataFrame:
-        return self.results.where(F.col("result_id") == F.lit(self.result_id))
+        return _of_race(self.results, self.picked).where(F.col("result_id") == F.lit(self.result_id))
 
     @property
     def work_run(self) -> DataFrame:
@@ -191,7 +201,8 @@ class BoundedReport:
 
     @property
     def run_change(self) -> DataFrame:
-        return run_change(self._own, self.all_splits.where(F.col("result_id") == F.lit(self.result_id)))
+        own = _of_race(self.all_splits, self.picked).where(F.col("result_id") == F.lit(self.result_id))
+        return run_change(self._own, own)
 
     def cohort_preview(self, limit: int = 200) -> tuple[DataFrame, DataFrame]:
         return preview(self.full.cohort, ["total_time_min", "result_id"], limit)
@@ -204,6 +215,90 @@ class BoundedReport:
         return None if rows is None else preview(rows, SPLIT_ORDER, limit)
 
 
+class BatchReports:
+    """The statistics, bins, markers and window splits of many results at once.
+
+    `requests` is a table of result ids. Numbers of a demographic cohort are computed once per cohort and joined by its
+    keys; numbers of a time window are differences of positions in sorted order. No two results are ever paired, but
+    for `window_stats` and `window_bins`, whose quantiles need the window's values: there a result is sent to the
+    requests of its race that lie within the window, found by buckets of the window's width.
+    """
+
+    def __init__(
+        self, results: DataFrame, splits: DataFrame, requests: DataFrame, window_min: float = 5.0, n_bins: int = DEFAULT_BINS,
+        hot_rows: int = HOT_ROWS,
+    ):
+        self.results, self.splits, self.window_min, self.n_bins, self.hot_rows = results, splits, float(window_min), n_bins, hot_rows
+        self.requests = requests.select("result_id").distinct()
+        self.picked = results.join(self.requests, "result_id", "left_semi").select("result_id", *COHORT_KEYS, "total_time_min")
+
+    @cached_property
+    def cohort_stats(self) -> DataFrame:
+        """Seven numbers of each asked cohort, one row per request."""
+        return key_join(self.picked.select("result_id", *COHORT_KEYS), self._cohort_numbers, COHORT_KEYS).drop(*COHORT_KEYS)
+
+    @cached_property
+    def _cohort_rows(self) -> DataFrame:
+        timed = self.results.where(F.col("total_time_min").isNotNull()).select(*COHORT_KEYS, "total_time_min")
+        return key_join(timed, self.picked.select(*COHORT_KEYS).distinct(), COHORT_KEYS, "left_semi")
+
+    @cached_property
+    def _cohort_numbers(self) -> DataFrame:
+        return describe(self._cohort_rows, COHORT_KEYS, "total_time_min", hot_rows=self.hot_rows)
+
+    @cached_property
+    def cohort_bins(self) -> DataFrame:
+        """The histogram of each asked cohort, once per cohort: keys, bin, start, end, count."""
+        return histogram(self._cohort_rows, COHORT_KEYS, "total_time_min", self.n_bins)
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        """Per request its total time and its standing in cohort and window, 1 is fastest."""
+        timed = self.picked.where(F.col("total_time_min").isNotNull())
+        cohort = count_below(self._cohort_rows, timed, COHORT_KEYS, "total_time_min", self.hot_rows).select(
+            "result_id", F.col("total_time_min").alias("marker"), standing(F.col("below"), F.col("total")).alias("cohort_percentile")
+        )
+        race = ["location", "season"]
+        here = key_join(
+            self.results.where(F.col("total_time_min").isNotNull()).select("result_id", *race, "total_time_min"),
+            timed.select(*race).distinct(), race, "left_semi",
+        )
+        near = time_window_standing(here, self.window_min, race, hot_rows=self.hot_rows)
+        return cohort.join(near.select("result_id", "window_size", "window_percentile"), "result_id", "left")
+
+    @cached_property
+    def window_splits(self) -> DataFrame:
+        """Each split of a request with its standing among the same split of the time window.
+
+        Per request and split the window is a range of total times, and the faster ones are a range of split times
+        within it: two sorted orders. Splits of a race meet the requests of that race whose bucket of total times is
+        near, and are only counted.
+        """
+        own = self.splits.join(self.requests, "result_id", "left_semi").select("result_id", "split_name", "split_time_min")
+        asked = own.join(self.picked.select("result_id", "location", "season", "total_time_min"), "result_id")
+        timed = self.results.where(F.col("total_time_min").isNotNull()).select("result_id", "location", "season", "total_time_min")
+        race = ["location", "season", "split_name", "_bucket"]
+        others = self.splits.where(F.col("split_time_min").isNotNull()).select("result_id", "split_name", "split_time_min")
+        values = timed.join(others, "result_id").withColumn("_bucket", F.floor(F.col("total_time_min") / self.window_min))
+        values = values.select(*race, F.col("total_time_min").alias("_total"), F.col("split_time_min").alias("_other"))
+        bucket = F.floor(F.col("total_time_min") / self.window_min)
+        spread = asked.where("total_time_min is not null and split_time_min is not null").withColumn(
+            "_bucket", F.explode(F.sequence(bucket - 1, bucket + 1))
+        )
+        inside = F.abs(F.col("_total") - F.col("total_time_min")) <= self.window_min
+        # The condition stands after the join, the counts are combined in the task that joined.
+        counted = (
+            key_join(spread, values, race)
+            .where(inside)
+            .groupBy("result_id", "split_name", "split_time_min")
+            .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_other") < F.col("split_time_min")).alias("_below"))
+        )
+        joined = key_join(own, counted, ["result_id", "split_name", "split_time_min"], "left")
+        return joined.select(
+            "result_id", "split_name", "split_time_min", standing(F.col("_below"), F.col("_n")).alias("split_percentile_time_window")
+        )
+
+
 def preview(df: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """The first rows and the full row count."""
     rows = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(int(limit))

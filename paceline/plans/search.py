@@ -30,11 +30,17 @@ def find_athletes(index: DataFrame, name: str, match: str = "best", gender=None,
         wanted &= F.col("gender") == gender
     if nationality is not None:
         wanted &= F.col("nationality") == nationality
-    candidates = index.where(wanted).orderBy(F.desc_nulls_last("race_count"), "canonical_name")
-    exact, containing = (candidates.where(f(F.col("canonical_name"), words)) for f in (same_words, has_words))
-    if match == "contains" or (match == "best" and exact.isEmpty()):
-        return containing
-    return exact
+    candidates = index.where(wanted)
+    # Every exact match also contains the words, so one column tells both.
+    name_of = F.col("canonical_name")
+    if match == "best":
+        marked = candidates.where(has_words(name_of, words)).withColumn("_exact", same_words(name_of, words))
+        marked, _ = bounded(marked)
+        exact = marked.where("_exact")
+        found = (marked if exact.isEmpty() else exact).drop("_exact")
+    else:
+        found = candidates.where((same_words if match == "exact" else has_words)(name_of, words))
+    return found.orderBy(F.desc_nulls_last("race_count"), "canonical_name")
 
 
 def search_races(
@@ -51,18 +57,18 @@ def search_races(
     """All results of the athletes matching a name."""
     if division is not None and given(division) is None:
         raise InvalidRequest("the division must not be blank")
-    found = find_athletes(index, name, match, gender, nationality)
+    found, short = bounded(find_athletes(index, name, match, gender, nationality))
     if require_unique:
         first = found.limit(6).collect()
         if len(first) > 1:
             shown = [f"{r.canonical_name} ({r.gender or 'unknown'}, {r.nationality or 'unknown'})" for r in first[:5]]
             raise Ambiguous(f"several athletes match {name!r}: {', '.join(shown)}", shown)
-    ids, short = bounded(found.select("athlete_id").where("athlete_id is not null").distinct())
+    ids = found.select("athlete_id").where("athlete_id is not null").distinct()
     own = key_join(links, ids, ["athlete_id"], "left_semi", broadcast=short)
     races = athlete_races(results if division is None else results.where(text_is("division", division)), own, index)
-    races = races.orderBy(*[F.asc_nulls_last(c) for c in ("season", "year", "location", "event_id")])
     if races.isEmpty():
         raise NotFound(f"no races for {name!r}")
+    races = races.orderBy(*[F.asc_nulls_last(c) for c in ("season", "year", "location", "event_id")])
     return races
 
 
@@ -76,7 +82,8 @@ def resolve_names(queries: DataFrame, index: DataFrame, match: str = "best") ->
     """Athletes for a table of names (`query_id`, `query`): `query_id, athlete_id, matched`.
 
     Exact matches meet on the sorted words of a partner. For the rest each name looks only among
-    partners that hold its rarest word, so a common word never pulls its whole list.
+    partners that hold its rarest word. Equal queries and equal partners are looked up once; a query of
+    common words alone pulls the list of the rarest of them, as that list is its answer's superset.
     """
     people = index.select("athlete_id", F.explode(partner_tokens(F.col("canonical_name"))).alias("words"))
     asked = queries.select("query_id", tokens(F.col("query")).alias("asked")).where(F.size("asked") > 0)

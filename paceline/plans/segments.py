@@ -67,9 +67,9 @@ def distribution(
     if season is not None:
         cohort = cohort.where(F.col("season") == int(season))
     values = cohort.where(believable(column)).select(F.lit(column).alias("segment"), F.col(column).alias("minutes"))
-    return Distribution(
-        season, column, hide_tails(describe(values, ["segment"], "minutes")), histogram(values, ["segment"], "minutes", bins)
-    )
+    # One row, kept at hand: the histogram takes its ends from it.
+    stats, _ = bounded(describe(values, ["segment"], "minutes"))
+    return Distribution(season, column, hide_tails(stats), histogram(values, ["segment"], "minutes", bins, described=stats))
 
 
 @dataclass
@@ -79,6 +79,7 @@ class SegmentReport:
     bins: DataFrame | None = None
     groups: DataFrame | None = None
     threshold: float | None = None
+    total_count: int | None = None
 
 
 def planner(
@@ -96,10 +97,12 @@ def planner(
     wanted = cohort_filter(season=season, location=location, year=year, division=division, gender=gender)
     cohort = results.where(wanted & closed_bounds("total_time_min", min_total_time, max_total_time))
     long = long_segments(cohort, [], SEGMENT_COLUMNS, floors=True)
+    # One row per segment, kept at hand: the histogram takes its ends from it.
+    stats, _ = bounded(describe(long, ["segment"], "minutes"))
     return SegmentReport(
         count=cohort.agg(F.count(F.lit(1)).alias("count")),
-        stats=with_segment_labels(describe(long, ["segment"], "minutes")).orderBy("position"),
-        bins=with_segment_labels(histogram(long, ["segment"], "minutes", bins)).orderBy("position", "bin"),
+        stats=with_segment_labels(stats).orderBy("position"),
+        bins=with_segment_labels(histogram(long, ["segment"], "minutes", bins, described=stats)).orderBy("position", "bin"),
     )
 
 
@@ -115,17 +118,25 @@ def fastest_share(cohort: DataFrame, keys: list[str], percent: float, hot_rows:
 def race_summary(
     results: DataFrame, season: int, location: str, gender=None, division=None, age_group=None, top_percentile=None
 ) -> SegmentReport:
-    """Seven numbers for every segment of one race; optionally of its fastest share only."""
+    """Seven numbers for every segment of one race; optionally of its fastest share only.
+
+    `count` is what the numbers rest on, `total_count` the whole race under the filters.
+    """
     cohort = _one_race(results, season, location, gender, division, age_group)
+    total, timed = cohort.agg(F.count(F.lit(1)), F.count("total_time_min")).first()
     threshold = None
     if top_percentile is not None:
-        cohort = fastest_share(cohort.withColumn("_all", F.lit(0)), ["_all"], top_percentile)
+        share = fastest_share(cohort.withColumn("_all", F.lit(0)), ["_all"], top_percentile)
+        if not timed:
+            raise NotFound(f"no result of season={season}, location={location!r} has a total time")
+        cohort = share
         threshold = cohort.agg(F.max("threshold")).first()[0]
     stats = describe(long_segments(cohort, [], SUMMARY_COLUMNS), ["segment"], "minutes")
     return SegmentReport(
         count=cohort.agg(F.count(F.lit(1)).alias("count")),
         stats=with_segment_labels(stats).orderBy("position"),
         threshold=threshold,
+        total_count=total,
     )
 
 

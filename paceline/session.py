@@ -42,6 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; call it when its results are written.
+
+    `DataFrame.checkpoint` also follows `spark.cleaner.referenceTracking.cleanCheckpoints`, which drops files that no
+    table refers to any more.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back."""
     shared_folder(df.sparkSession)

@@ -164,22 +164,36 @@ def close_matches(unmatched: DataFrame, known: DataFrame, block: list[str], colu
     return best.withColumn("place", F.row_number().over(place))
 
 
+def race_menus(manifest: DataFrame) -> DataFrame:
+    """What exists, once per season and location: `season, location, years`."""
+    known = manifest.where("season is not null and location is not null")
+    named = known.groupBy("season", F.lower("location").alias("_fold")).agg(
+        F.min("location").alias("location"), F.array_sort(F.collect_set("year")).alias("years")
+    )
+    return named.drop("_fold")
+
+
 def missing_races(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
-    """A table of wanted races (`season, location, year`) with what is wrong and what exists instead."""
+    """A table of wanted races (`season, location, year`) with what is wrong and what comes close.
+
+    What exists instead is the same for all rows of a season, so it is a table of its own: `race_menus`. A row that
+    asks for a year no race has carries the years of its place, which are few.
+    """
     known = manifest.where("season is not null and location is not null")
     folded = wanted.withColumn("_fold", F.lower("location"))
-    by_season = known.groupBy("season").agg(F.array_sort(F.collect_set(F.lower("location"))).alias("available_locations"))
+    by_season = known.groupBy("season").agg(F.lit(True).alias("_any"))
     by_place = known.groupBy("season", F.lower("location").alias("_fold")).agg(
         F.array_sort(F.collect_set("year")).alias("available_years")
     )
     joined = key_join(key_join(folded, by_season, ["season"], "left"), by_place, ["season", "_fold"], "left")
     status = (
-        F.when(F.col("available_locations").isNull(), "no such season")
+        F.when(F.col("_any").isNull(), "no such season")
         .when(F.col("available_years").isNull(), "no such location")
         .when(F.col("year").isNotNull() & ~F.array_contains("available_years", F.col("year")), "no such year")
         .otherwise("found")
     )
-    near = close_matches(wanted, known, ["season"], "location").groupBy("season", F.col("location").alias("_fold")).agg(
+    lost = joined.withColumn("status", status).where("status = 'no such location'")
+    near = close_matches(lost, known, ["season"], "location").groupBy("season", F.col("location").alias("_fold")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "suggestion"))), lambda s: s["suggestion"]).alias(
             "suggestions"
         )
@@ -187,7 +201,8 @@ def missing_races(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     return (
         key_join(joined.withColumn("status", status), near, ["season", "_fold"], "left")
         .withColumn("suggestions", F.when(F.col("status") == "no such location", F.col("suggestions")))
-        .drop("_fold")
+        .withColumn("available_years", F.when(F.col("status") == "no such year", F.col("available_years")))
+        .drop("_fold", "_any")
     )
 
 

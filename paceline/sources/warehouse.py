@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = ["race_results", "race_rankings", "split_percentiles", "athletes", "athlete_results", "athlete_index", "build_info"]
 
@@ -16,15 +17,20 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
     (writer.partitionBy("season") if by_season else writer).parquet(f"{root}/{name}")
 
 
-def read_table(spark: SparkSession, root: str, name: str, merge: bool = True) -> DataFrame:
-    """A table of the warehouse. Seasons may differ in their columns unless the caller knows better."""
-    return spark.read.option("mergeSchema", merge).parquet(f"{root}/{name}")
+def read_table(spark: SparkSession, root: str, name: str, schema: StructType | None = None, merge: bool = False) -> DataFrame:
+    """A table of the warehouse.
 
+    With a declared schema (`paceline.schema.RESULTS_SCHEMA`) no file is opened to learn one, and columns that a
+    season lacks are null. `merge` opens every file instead, for tables whose columns are not known.
+    """
+    reader = spark.read.option("mergeSchema", merge)
+    return (reader if schema is None else reader.schema(schema)).parquet(f"{root}/{name}")
 
-def register(spark: SparkSession, root: str, names: list[str] | None = None) -> list[str]:
+
+def register(spark: SparkSession, root: str, names: list[str] | None = None, merge: bool = False) -> list[str]:
     """Make the tables known to SQL."""
     for name in names or TABLES:
-        read_table(spark, root, name).createOrReplaceTempView(name)
+        read_table(spark, root, name, merge=merge).createOrReplaceTempView(name)
     return [row.tableName for row in spark.sql("SHOW TABLES").collect()]
 
 
