@@ -108,8 +108,9 @@ SEGMENT_NAMES = (
 )
 
 
-def histogram_sql(source: str, keys, value, bins, shared=None, label=None) -> str:
-    """Histogram rows of `source`, to follow a WITH list."""
+def histogram_sql(source: str, keys, value, bins, shared=None, label=None, edges=None) -> str:
+    """Histogram rows of `source`, to follow a WITH list; `edges` sets the ends, where not `source` does."""
+    edges = edges or "hv"
     shared = keys if shared is None else shared
 
     def same(a, b, ks):
@@ -127,7 +128,7 @@ hl AS (SELECT {ks}, bin, array_to_string(list(t ORDER BY lower(t), t), '|') AS l
     join = "" if label is None else f" LEFT JOIN hl ON {same('hg', 'hl', keys)} AND hl.bin = b.bin"
     return f""",
 hv AS (SELECT * FROM {source} WHERE {value} IS NOT NULL),
-he AS (SELECT {', '.join(shared)}, min({value}) AS lo, max({value}) AS hi FROM hv GROUP BY {', '.join(shared)}),
+he AS (SELECT {', '.join(shared)}, min({value}) AS lo, max({value}) AS hi FROM {edges} GROUP BY {', '.join(shared)}),
 hg AS (SELECT DISTINCT {', '.join('hv.' + k for k in keys)}, he.lo, he.hi FROM hv JOIN he ON {same('hv', 'he', shared)}),
 hb AS (SELECT hv.*, CASE WHEN he.hi > he.lo
          THEN CAST(least(floor((hv.{value} - he.lo) / (he.hi - he.lo) * {bins}), {bins - 1}) AS BIGINT) ELSE 0 END AS bin
@@ -149,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         q[f"rank_{name}"] = f"{BASE}SELECT result_id, {rank_sql(keys, name)} FROM results"
     q["rank_overall_ranged"] = q["rank_overall"]
     q["race_rankings"] = (
-        f"{BASE}SELECT result_id, {rank_sql(K5, 'event')}, {rank_sql([K5[0], *K5[2:]], 'season')}, "
+        f"{BASE}SELECT result_id, season, {rank_sql(K5, 'event')}, {rank_sql([K5[0], *K5[2:]], 'season')}, "
         f"{rank_sql(K5[2:], 'overall')} FROM results"
     )
     q["split_percentiles"] = (
@@ -222,7 +223,11 @@ FROM r""".replace("\n, r AS", ",\nr AS")
     q["describe_seven"] = f"{BASE}SELECT season, location, {SEVEN.format(v=v)} FROM results GROUP BY season, location"
     q["describe_ranged"] = f"{BASE}SELECT age_group, {SEVEN.format(v=v)} FROM results GROUP BY age_group"
     q["describe_five"] = f"{BASE}SELECT division, {FIVE.format(v=v)} FROM results GROUP BY division"
-    q["column_summary"] = f"SELECT {SEVEN.format(v='value')} FROM events"
+    q["column_summary"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}),6) AS mean, round(stddev_samp({c}),6) AS sd, round(min({c}),6) AS min, "
+        f"round(quantile_cont({c},0.25),6) AS q1, round(median({c}),6) AS median, round(quantile_cont({c},0.75),6) AS q3, round(max({c}),6) AS max FROM lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+    )
     q["histogram"] = f"{with_(RESULTS)[:-1]}{histogram_sql('results', ['location', 'age_group'], v, 22)}"
     q["histogram_labels"] = f"{with_(RESULTS)[:-1]}{histogram_sql('results', ['season'], v, 30, label='nationality')}"
     open_f = "lower(division) = '5-low' AND lower(gender) IN ('f','female')"
@@ -369,7 +374,8 @@ SELECT result_id, run, round(t,6) AS run_time_min, round(t - m,6) AS delta_min F
     )
     q["percentile_series"] = f"""{with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, split_ranks, SEGMENT_NAMES)}
 SELECT result_id, label, segment_group, CAST(position AS BIGINT) AS position,
-  round(least(100.0, greatest(0.0, (1 - pr) * 100)), 6) AS cohort
+  round(least(100.0, greatest(0.0, (1 - pr) * 100)), 6) AS cohort,
+  round(CASE WHEN result_id % 3 <> 0 THEN least(100.0, greatest(0.0, ((1 - pr) * 1.5 - 0.2) * 100)) END, 6) AS "window"
 FROM (SELECT *, percent_rank() OVER (PARTITION BY {', '.join(K5)}, split_name ORDER BY split_time_min) AS pr FROM splits) s
 JOIN names n ON n.segment = s.split_name || '_time_min'"""
     q["cohort_distribution"] = (
@@ -413,6 +419,17 @@ marks AS (SELECT grp, CASE WHEN grp = 'all' THEN x
    WHEN grp = 'podium' THEN CASE WHEN bool_or(abs(minutes - x) <= 1e-8 + 1e-5 * abs(x)) THEN x END
    WHEN min(minutes) <= x AND x <= max(minutes) THEN x END AS marker, count(*) AS n, count(*) FILTER (WHERE minutes < x) AS below
   FROM tagged, mine GROUP BY grp, x)
+SELECT grp, round(marker,6) AS marker, round(CASE WHEN marker IS NULL THEN NULL WHEN n = 1 THEN 1.0 ELSE 1 - below / (n - 1) END,6)
+  AS marker_percentile FROM marks"""
+    low = """mine AS (SELECT * FROM wide WHERE run1_time_min IS NOT NULL ORDER BY run1_time_min, result_id LIMIT 1),
+dive AS (SELECT r.result_id, r.location, r.season, r.year, r.run1_time_min AS minutes FROM wide r JOIN mine p
+  ON lower(r.division) = lower(p.division) AND lower(r.gender) = lower(p.gender) AND r.season = p.season
+  WHERE lower(r.age_group) = 'building' AND r.run1_time_min >= 1.0)"""
+    q["deepdive_markers_floor"] = f"""{with_(RESULTS, TIMES, WIDE, low, tags)[:-1]},
+marks AS (SELECT grp, CASE WHEN x < 1.0 THEN NULL WHEN grp = 'all' THEN x
+   WHEN grp = 'podium' THEN CASE WHEN bool_or(abs(minutes - x) <= 1e-8 + 1e-5 * abs(x)) THEN x END
+   WHEN min(minutes) <= x AND x <= max(minutes) THEN x END AS marker, count(*) AS n, count(*) FILTER (WHERE minutes < x) AS below
+  FROM tagged, (SELECT run1_time_min AS x FROM mine) GROUP BY grp, x)
 SELECT grp, round(marker,6) AS marker, round(CASE WHEN marker IS NULL THEN NULL WHEN n = 1 THEN 1.0 ELSE 1 - below / (n - 1) END,6)
   AS marker_percentile FROM marks"""
     q["deepdive_deltas"] = f"""{with_(RESULTS, TIMES, WIDE, dive)}, mine AS (SELECT total_time_min AS x FROM wide WHERE result_id = 7)
@@ -474,7 +491,11 @@ SELECT athlete_id, result_id, location, year, event_rank AS age_group_rank, star
 
     # Search
     q["search_exact"] = f"{BASE}SELECT result_id, athlete_id, name AS athlete_name FROM results WHERE name = 'Customer#000000011'"
-    q["search_contains"] = f"{BASE}SELECT result_id, athlete_id, name AS athlete_name FROM results"
+    q["search_contains"] = f"{BASE}SELECT result_id, athlete_id, name AS athlete_name FROM results WHERE name LIKE '%#000000013'"
+    q["search_capped"] = f"""{BASE}SELECT result_id, total FROM (SELECT result_id, count(*) OVER () AS total
+  FROM results WHERE name LIKE '%#000000013') ORDER BY result_id LIMIT 4"""
+    q["shown_names"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'Clerk ' || o_custkey ELSE c_name END AS name
+FROM orders JOIN customer ON o_custkey = c_custkey"""
     asked = """asked AS (SELECT s_suppkey AS query_id, replace(s_name, 'Supplier#', '') AS digits FROM supplier),
 people AS (SELECT DISTINCT athlete_id, name FROM results)"""
     q["resolve_names"] = f"""{with_(RESULTS, asked)}
@@ -492,18 +513,25 @@ FROM asked JOIN people ON name = 'Customer#' || digits"""
     # Comparison
     pairs = """pairs AS (SELECT athlete_id AS pair_id, min(result_id) AS base_id, max(result_id) AS other_id FROM results GROUP BY athlete_id)"""
 
-    def side(column):
-        return f"""SELECT pair_id, 'total_time' AS key, 'Total time' AS label, total_time_min AS m FROM pairs JOIN wide ON result_id = {column}
-  UNION ALL SELECT pair_id, 'run_roxzone', 'Run + Roxzone', run_time_min + roxzone_time_min FROM pairs JOIN wide ON result_id = {column}
-  UNION ALL SELECT pair_id, 'split-' || lower(split_name), split_name, split_time_min FROM pairs JOIN splits ON result_id = {column}"""
-
-    q["compare_results"] = f"""{with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, pairs, f"a AS ({side('base_id')})", f"b AS ({side('other_id')})")}
-SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.key, b.key) AS key, coalesce(a.label, b.label) AS label,
-  round(a.m,6) AS primary_value, round(b.m,6) AS compare_value, round(a.m - b.m,6) AS delta
-FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.key = b.key"""
-    q["segment_values"] = f"{FULL}" + " UNION ALL ".join(
-        f"SELECT result_id, '{c}' AS segment, round(coalesce({c}, 0.0),6) AS minutes FROM wide" for c in SPLITS
-    )
+    lines = """lines AS (SELECT result_id, 'total_time' AS key, 'Total time' AS label, total_time_min AS m FROM wide
+  UNION ALL SELECT result_id, 'run_roxzone', 'Run + Roxzone', run_time_min + roxzone_time_min FROM wide
+  UNION ALL SELECT result_id, 'split-' || lower(split_name), split_name, split_time_min FROM splits)"""
+    ends = "ends AS (SELECT pair_id, base_id AS result_id, TRUE AS base FROM pairs UNION ALL SELECT pair_id, other_id, FALSE FROM pairs)"
+    wide_once = WIDE.replace("AS (", "AS MATERIALIZED (", 1)
+    q["compare_results"] = f"""{with_(RESULTS, TIMES, wide_once, SPLIT_ROWS, pairs, ends, lines)}
+SELECT pair_id, key, coalesce(max(label) FILTER (WHERE base), max(label)) AS label, round(max(m) FILTER (WHERE base),6) AS primary_value,
+  round(max(m) FILTER (WHERE NOT base),6) AS compare_value, round(max(m) FILTER (WHERE base) - max(m) FILTER (WHERE NOT base),6) AS delta
+FROM lines JOIN ends USING (result_id) GROUP BY pair_id, key"""
+
+    def segment_value(c):
+        name = c.removesuffix("_time_min")
+        column = "CASE WHEN result_id % 3 <> 0 THEN skiErg_time_min END" if name == "skiErg" else c
+        split = "run3_time_min + 1.0" if name == "run3" else c
+        if name in ("run2", "skiErg"):
+            split = f"CASE WHEN result_id % 2 <> 0 THEN {c} END"
+        return f"SELECT result_id, '{c}' AS segment, round(coalesce({split}, {column}, 0.0),6) AS minutes FROM wide"
+
+    q["segment_values"] = f"{FULL}" + " UNION ALL ".join(map(segment_value, SPLITS))
 
     # Derived tables
     md5 = "md5(concat_ws('|', lower(trim(name)), gender, nationality))"
@@ -577,7 +605,26 @@ ON r.season = p.season AND lower(r.division) = '2-high' AND (p.gender IS NULL OR
     q["records_export"] = (
         "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS record FROM nation"
     )
-    q["stack_races"] = f"{FULL}SELECT result_id, season, CASE WHEN season <> 1995 THEN round(run1_time_min,6) END AS run1_time_min FROM wide WHERE season IN (1995, 1996)"
+    q["stack_races"] = f"{FULL}SELECT result_id, season, CASE WHEN season % 2 = 1 THEN round(run1_time_min,6) END AS run1_time_min FROM wide"
+    wanted = """races AS (SELECT DISTINCT season, location, year FROM results),
+wanted AS (SELECT *, 'found' AS status FROM races UNION SELECT season, substr(location, 2), year, 'no such location' FROM races
+  UNION SELECT season + 100, location, year, 'no such season' FROM races UNION SELECT season, location, year + 100, 'no such year' FROM races)"""
+    q["missing_races"] = with_(RESULTS, wanted) + "SELECT season, location, year, status FROM wanted"
+    q["race_suggestions"] = with_(RESULTS, wanted) + "SELECT season, substr(location, 2) AS location, year, lower(location) AS suggestion FROM races"
+    q["race_menus"] = f"{BASE}SELECT season, location, array_to_string(list(DISTINCT year ORDER BY year), '|') AS years FROM results GROUP BY season, location"
+    q["find_race"] = f"""{BASE}SELECT season, location, 's3://bucket/files/season=' || season || '/location=' || location AS path, max(year) AS year,
+  max(start_date) AS file_last_modified FROM results WHERE season = 1996 AND location = 'ASIA' GROUP BY season, location"""
+
+    def clocked(column, scale):
+        return f"round(floor({column} * {scale}) / 60,6)"
+
+    files = f"""files AS (SELECT season, location, name, gender, division, {clocked('total_time_min', '0.04::DOUBLE')} AS total_time,
+  {clocked('run_time_min', 10)} AS run_time, {clocked('run1_time_min', 60)} AS run1_time, {clocked('run2_time_min', 60)} AS run2_time,
+  {clocked('skiErg_time_min', 60)} AS skiErg_time FROM wide)"""
+    raced = with_(RESULTS, TIMES, WIDE, files) + "SELECT name, gender, division, total_time, run_time, run1_time, run2_time, skiErg_time FROM files WHERE "
+    q["get_race"] = raced + "season = 1996 AND location = 'ASIA' AND gender = 'F' AND total_time > 50 AND total_time < 200"
+    q["get_season"] = raced + "season = 1997 AND division = '2-HIGH'"
+    q["get_season_places"] = raced + "season = 1997 AND location IN ('EUROPE', 'AFRICA')"
     q["readable_columns"] = (
         "SELECT l_orderkey, "
         + ", ".join(f"CAST(count(*) FILTER (WHERE l_linenumber = {n}) AS DOUBLE) AS {RAW_RENAMES[f'run_{n}']}" for n in LINES)
@@ -618,15 +665,21 @@ FROM (SELECT value AS v FROM events) WHERE v > 0 AND v <= 999 GROUP BY 1"""
     q["group_statistics"] = with_(RESULTS, TIMES, WIDE, kept, cells, stats) + (
         "SELECT event_name, gender, metric, count, round(mean,6) AS mean, round(sd,6) AS sd, round(median,6) AS median, round(iqr,6) AS iqr FROM stats"
     )
-    q["large_groups"] = f"{BASE}SELECT event_name, gender, count(*) AS n_used FROM results GROUP BY ALL HAVING count(*) >= 20"
+    used = "used AS (SELECT * FROM wide WHERE event_name IS NOT NULL AND gender IS NOT NULL AND total_time_min IS NOT NULL AND work_time_min IS NOT NULL)"
+    q["large_groups"] = with_(RESULTS, TIMES, WIDE, used) + (
+        "SELECT event_name, gender, count(*) AS n_used FROM used GROUP BY ALL HAVING count(*) >= 20"
+    )
     q["events_by_mean"] = with_(RESULTS, TIMES, WIDE, kept, cells, stats) + (
         "SELECT event_name, round(avg(mean),6) AS mean FROM stats WHERE metric = 'run_time_min' GROUP BY event_name"
     )
-    two = "two AS (" + " UNION ALL ".join(
-        f"SELECT event_name, gender, '{c}' AS metric, {c} AS minutes FROM kept WHERE {c} > 0" for c in studied[:2]
+    gated = "gated AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY event_name, gender) AS n FROM used) WHERE n >= 20)"
+    all_two = "all_two AS (" + " UNION ALL ".join(
+        f"SELECT event_name, gender, '{c}' AS metric, {c} AS minutes FROM gated" for c in studied[:2]
     ) + ")"
-    q["shared_histograms"] = with_(RESULTS, TIMES, WIDE, kept, two)[:-1] + histogram_sql(
-        "two", ["event_name", "gender", "metric"], "minutes", 20, shared=["event_name", "metric"]
+    two = """two AS (SELECT * EXCLUDE (k) FROM (SELECT *, count(*) OVER (PARTITION BY event_name, gender, metric) AS k
+  FROM all_two WHERE minutes > 0) WHERE k >= 20)"""
+    q["shared_histograms"] = with_(RESULTS, TIMES, WIDE, used, gated, all_two, two)[:-1] + histogram_sql(
+        "two", ["event_name", "gender", "metric"], "minutes", 20, shared=["event_name", "metric"], edges="all_two"
     )
     q["column_means"] = FULL + " UNION ALL ".join(
         f"SELECT '{c}' AS metric, round(avg({c}),6) AS mean, round(median({c}),6) AS median FROM wide" for c in studied
@@ -635,6 +688,63 @@ FROM (SELECT value AS v FROM events) WHERE v > 0 AND v <= 999 GROUP BY 1"""
         f"SELECT '{c}' AS metric, {c} AS minutes FROM wide WHERE {c} IS NOT NULL" for c in studied
     ) + ")"
     q["column_histograms"] = with_(RESULTS, TIMES, WIDE, four)[:-1] + histogram_sql("four", ["metric"], "minutes", 30)
+    same = "AND ".join(f"r.{k} IS NOT DISTINCT FROM p.{k} " for k in K5)
+    asked = "asked AS (SELECT * FROM wide WHERE result_id % 32 = 0)"
+    q["report_requests_stats"] = with_(RESULTS, TIMES, WIDE, asked) + (
+        f"SELECT p.result_id, {SEVEN.format(v='r.total_time_min')} FROM asked p JOIN wide r ON {same} GROUP BY p.result_id"
+    )
+    q["report_requests_bins"] = with_(
+        RESULTS, TIMES, WIDE, asked, f"picked AS (SELECT r.* FROM wide r WHERE EXISTS (SELECT 1 FROM asked p WHERE {same}))"
+    )[:-1] + histogram_sql("picked", K5, "total_time_min", 22)
+
+    def place(n, below):
+        return f"round(CASE WHEN {n} = 1 THEN 1.0 WHEN {n} > 1 THEN 1 - {below} / ({n} - 1) END, 6)"
+
+    q["report_requests_markers"] = f"""{with_(RESULTS, TIMES, WIDE, asked)[:-1]},
+c AS (SELECT p.result_id, count(*) AS n, count(*) FILTER (WHERE r.total_time_min < p.total_time_min) AS b FROM asked p JOIN wide r ON {same} GROUP BY ALL),
+w AS (SELECT p.result_id, count(*) AS n, count(*) FILTER (WHERE r.total_time_min < p.total_time_min) AS b FROM asked p JOIN wide r
+  ON r.season = p.season AND r.location = p.location AND r.total_time_min BETWEEN p.total_time_min - 20000 AND p.total_time_min + 20000 GROUP BY ALL)
+SELECT p.result_id, round(p.total_time_min,6) AS marker, {place('c.n', 'c.b')} AS cohort_percentile, w.n AS window_size,
+  {place('w.n', 'w.b')} AS window_percentile FROM asked p JOIN c USING (result_id) JOIN w USING (result_id)"""
+    q["report_requests_window_splits"] = f"""{with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, asked)[:-1]},
+own AS (SELECT s.*, p.total_time_min AS t FROM splits s JOIN asked p USING (result_id)),
+others AS (SELECT s.*, r.total_time_min AS t FROM splits s JOIN results r USING (result_id)),
+c AS (SELECT p.result_id, p.split_name, count(*) AS n, count(*) FILTER (WHERE r.split_time_min < p.split_time_min) AS b FROM own p JOIN others r
+  ON r.season = p.season AND r.location = p.location AND r.split_name = p.split_name AND abs(r.t - p.t) <= 20000 GROUP BY ALL)
+SELECT p.result_id, p.split_name, round(p.split_time_min,6) AS split_time_min, {place('c.n', 'c.b')} AS split_percentile_time_window
+FROM own p JOIN c USING (result_id, split_name)"""
+    q["race_summary_counts"] = f"""{BASE}, race AS (SELECT total_time_min AS t FROM results WHERE season = 1996 AND location = 'ASIA'),
+cut AS (SELECT quantile_cont(t, 0.1) AS q FROM race)
+SELECT count(*) FILTER (WHERE t <= q) AS count, count(*) AS total_count, round(max(q),6) AS threshold FROM race, cut""".replace(")\n, race", "),\nrace")
+    fit = """r AS (SELECT location AS e, sledPush_time_min AS s, burpeeBroadJump_time_min AS x, run_time_min AS y FROM wide
+  WHERE sledPush_time_min IS NOT NULL AND burpeeBroadJump_time_min IS NOT NULL AND run_time_min IS NOT NULL),
+m AS (SELECT e, count(*) AS n, avg(s) AS ms, avg(x) AS mx, avg(y) AS my, var_pop(s) AS vs, var_pop(x) AS vx, covar_pop(s, x) AS sx,
+  covar_pop(s, y) AS sy, covar_pop(x, y) AS xy FROM r GROUP BY e),
+k AS (SELECT sum(n * (vx - sx * sx / vs)) AS a, sum(n * (xy - sx * sy / vs)) / sum(n * (vx - sx * sx / vs)) AS c FROM m),
+f AS (SELECT m.*, a, c, sy / vs - c * sx / vs AS b, my - (sy / vs - c * sx / vs) * ms - c * mx AS i FROM m, k)"""
+    errors = """u AS (SELECT e, (s - ms) / (n * vs) AS d, 1 / n - ms * (s - ms) / (n * vs) AS p, x - mx - (s - ms) * sx / vs AS q, a,
+  y - i - b * s - c * x AS off, 1 / n + (s - ms) * (s - ms) / (n * vs) AS h FROM r JOIN f USING (e)),
+w AS (SELECT *, power(off / (1 - (h + q * q / a)), 2) AS ww FROM u),
+t AS (SELECT e, sum(ww * d * d) AS dd, sum(ww * p * p) AS pp, sum(ww * d * q) AS dq, sum(ww * p * q) AS pq, sum(ww * q * q) AS qq FROM w GROUP BY e),
+v AS (SELECT sum(qq) / max(a * a) AS v FROM t, k),
+z AS (SELECT f.*, t.* EXCLUDE (e), v, sx / vs AS ls, mx - ms * sx / vs AS li FROM f JOIN t USING (e), v),
+g AS (SELECT * FROM z WHERE e = 'ASIA'),
+o AS (SELECT 'intercept' AS term, i AS coefficient, sqrt(pp - 2 / a * li * pq + v * li * li) AS err FROM g
+  UNION ALL SELECT 'sledPush_time_min', b, sqrt(dd - 2 / a * ls * dq + v * ls * ls) FROM g
+  UNION ALL SELECT 'burpeeBroadJump_time_min', c, sqrt(v) FROM g
+  UNION ALL SELECT z.e, z.i - g.i, sqrt(z.pp + g.pp - 2 / z.a * (z.li - g.li) * (z.pq - g.pq) + z.v * power(z.li - g.li, 2)) FROM z, g WHERE z.e <> 'ASIA'
+  UNION ALL SELECT z.e || ':sledPush_time_min', z.b - g.b, sqrt(z.dd + g.dd - 2 / z.a * (z.ls - g.ls) * (z.dq - g.dq) + z.v * power(z.ls - g.ls, 2))
+    FROM z, g WHERE z.e <> 'ASIA')"""
+    q["location_regression"] = with_(RESULTS, TIMES, WIDE, fit, errors) + (
+        "SELECT term, round(coefficient, 4) AS coefficient, round(err, 4) AS robust_error, round(coefficient / err, 4) AS z FROM o"
+    )
+    q["location_predictions"] = f"""{with_(RESULTS, TIMES, WIDE, fit)[:-1]},
+ends AS (SELECT quantile_cont(sledPush_time_min, 0.1) AS lo, quantile_cont(sledPush_time_min, 0.9999) AS hi FROM wide),
+fixed AS (SELECT location, quantile_cont(burpeeBroadJump_time_min, 0.001) AS x FROM wide WHERE location IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY location)
+SELECT location, step, round(lo + (hi - lo) / 49 * step, 4) AS sledPush_time_min, round(x, 4) AS burpeeBroadJump_time_min,
+  round(i + b * (lo + (hi - lo) / 49 * step) + c * x, 4) AS prediction
+FROM fixed JOIN f ON e = location, ends, (SELECT unnest(range(50)) AS step)"""
+    q["residual_checks"] = f"{FULL}SELECT location, count(*) FILTER (WHERE sledPush_time_min IS NOT NULL AND burpeeBroadJump_time_min IS NOT NULL AND run_time_min IS NOT NULL) AS n, 0.0::DOUBLE AS sum, 0.0::DOUBLE AS along_slope FROM wide WHERE run_time_min IS NOT NULL GROUP BY location"
     q["season_series"] = q["profile_seasons"]
     q["profile_by_name"] = (
         f"{career}SELECT metric, round(avg(minutes),6) AS time, round(avg(percentile),6) AS percentile FROM scored "

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.plans.derived import race_rankings, split_percentiles, splits_of
 from paceline.schema import STATIONS
 from paceline.session import shared_folder
+from paceline.sources.manifest import read_manifest
 from paceline.sources.warehouse import read_table, write_table
 
 LINES = range(1, 8)
@@ -101,10 +102,10 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        root = f"{shared_folder(spark)}/warehouse-{zlib.crc32(sf_dir.encode()):08x}"
+        root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/warehouse-{zlib.crc32(sf_dir.encode()):08x}"
         write_table(BUILDERS[name](spark, sf_dir), root, name)
         _STORED[key] = root
-    return read_table(spark, _STORED[key], name, merge=False)
+    return read_table(spark, _STORED[key], name)
 
 
 BUILDERS = {
@@ -142,6 +143,40 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def race_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Race files with raw columns and a manifest in CSV, as a bucket would hold them: base folder, manifest.
+
+    The first use in an application writes them to the shared folder. A thousand of money is an hour here, so that
+    durations are short enough for clock text.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/races-{zlib.crc32(sf_dir.encode()):08x}"
+        rows = stored(spark, sf_dir, "race_results")
+
+        def clock(column: str, scale: float) -> Column:
+            seconds = F.floor(F.col(column) * scale)
+            parts = (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+            return F.format_string("%02d:%02d:%02d", *[p.cast("long") for p in parts])
+
+        raw = rows.select(
+            "season", "location", "name", "gender", "division",
+            clock("total_time_min", 0.04).alias("total_time"), clock("run_time_min", 10.0).alias("run_time"),
+            clock("run1_time_min", 60.0).alias("run_1"), clock("run2_time_min", 60.0).alias("run_2"),
+            clock("skiErg_time_min", 60.0).alias("work_1"),
+        )
+        raw.hint("rebalance", "season", "location").write.mode("overwrite").partitionBy("season", "location").parquet(f"{root}/files")
+        entries = rows.groupBy("season", "location").agg(F.max("year").alias("year"), F.max("start_date").alias("file_last_modified"))
+        path = F.concat(F.lit("s3://bucket/files/season="), "season", F.lit("/location="), F.replace("location", F.lit(" "), F.lit("%20")))
+        listing = entries.select("season", "location", F.replace(path, F.lit("%20"), F.lit(" ")).alias("path"), "year", "file_last_modified")
+        listing.write.mode("overwrite").csv(f"{root}/manifest", header=True)
+        _FILES[key] = root
+    return _FILES[key], read_manifest(spark, f"{_FILES[key]}/manifest")
+
+
 def clock_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times as duration text in the forms seen in race files, some of them broken."""
     events = table(spark, sf_dir, "events")
