@@ -219,9 +219,7 @@ class BatchReports:
     """The statistics, bins, markers and window splits of many results at once.
 
     `requests` is a table of result ids. Numbers of a demographic cohort are computed once per cohort and joined by its
-    keys; numbers of a time window are differences of positions in sorted order. No two results are ever paired, but
-    for `window_stats` and `window_bins`, whose quantiles need the window's values: there a result is sent to the
-    requests of its race that lie within the window, found by buckets of the window's width.
+    keys; numbers of a time window are differences of positions in sorted order. No two results are ever paired.
     """
 
     def __init__(
@@ -268,35 +266,49 @@ class BatchReports:
 
     @cached_property
     def window_splits(self) -> DataFrame:
-        """Each split of a request with its standing among the same split of the time window.
+        """Each split of a request with its standing among the same split of its time window.
 
-        Per request and split the window is a range of total times, and the faster ones are a range of split times
-        within it: two sorted orders. Splits of a race meet the requests of that race whose bucket of total times is
-        near, and are only counted.
+        Two orders meet here: the window is a range of total times, the faster ones are the first few by split time.
+        Splits of a race are ranked by their time, and each is filed under the blocks of 1, 2, 4, 8, ... ranks it lies
+        in. The ranks before a request's split are a handful of such blocks, one per bit of their number; inside a block
+        the window is a difference of two positions in the order of total times. So every split becomes as many rows
+        as its rank has bits, and no request is paired with a result.
         """
+        race = ["location", "season", "split_name"]
         own = self.splits.join(self.requests, "result_id", "left_semi").select("result_id", "split_name", "split_time_min")
-        asked = own.join(self.picked.select("result_id", "location", "season", "total_time_min"), "result_id")
+        totals = self.picked.select("result_id", "location", "season", "total_time_min")
+        asked = own.join(totals, "result_id").where("total_time_min is not null and split_time_min is not null")
         timed = self.results.where(F.col("total_time_min").isNotNull()).select("result_id", "location", "season", "total_time_min")
-        race = ["location", "season", "split_name", "_bucket"]
+        timed = key_join(timed, totals.select("location", "season").distinct(), ["location", "season"], "left_semi")
         others = self.splits.where(F.col("split_time_min").isNotNull()).select("result_id", "split_name", "split_time_min")
-        values = timed.join(others, "result_id").withColumn("_bucket", F.floor(F.col("total_time_min") / self.window_min))
-        values = values.select(*race, F.col("total_time_min").alias("_total"), F.col("split_time_min").alias("_other"))
-        bucket = F.floor(F.col("total_time_min") / self.window_min)
-        spread = asked.where("total_time_min is not null and split_time_min is not null").withColumn(
-            "_bucket", F.explode(F.sequence(bucket - 1, bucket + 1))
-        )
-        inside = F.abs(F.col("_total") - F.col("total_time_min")) <= self.window_min
-        # The condition stands after the join, the counts are combined in the task that joined.
-        counted = (
-            key_join(spread, values, race)
-            .where(inside)
-            .groupBy("result_id", "split_name", "split_time_min")
-            .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_other") < F.col("split_time_min")).alias("_below"))
-        )
-        joined = key_join(own, counted, ["result_id", "split_name", "split_time_min"], "left")
-        return joined.select(
-            "result_id", "split_name", "split_time_min", standing(F.col("_below"), F.col("_n")).alias("split_percentile_time_window")
-        )
+        values = timed.join(others, "result_id")
+
+        ranked = rank_in_group(values, race, "split_time_min", "result_id", "_s", self.hot_rows)
+        levels = F.sequence(F.lit(0), F.floor(F.log2("_s_size")).cast("int"))
+        filed = ranked.select(*race, F.explode(levels).alias("_level"), (F.col("_s_rank") - 1).alias("_place"), "total_time_min")
+        filed = filed.select(*race, "_level", F.expr("shiftright(_place, _level)").alias("_block"), "total_time_min")
+        faster = count_below(values, asked, race, "split_time_min", self.hot_rows).withColumnRenamed("below", "_before")
+        bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.expr("_before").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+        parts = faster.select(*asked.columns, "_before", F.explode(bits).alias("_level"))
+        parts = parts.withColumn("_block", F.expr("shiftright(_before, _level) - 1"))
+        inside = self._within(filed, parts, [*race, "_level", "_block"])
+        below = inside.groupBy("result_id", "split_name", "split_time_min").agg(F.sum("_inside").alias("_below"))
+        size = self._within(values, asked, race).select("result_id", "split_name", "split_time_min", F.col("_inside").alias("_n"))
+        ids = ["result_id", "split_name", "split_time_min"]
+        joined = key_join(key_join(own, size, ids, "left"), below, ids, "left")
+        share = standing(F.coalesce("_below", F.lit(0)), F.col("_n"))
+        return joined.select(*ids, share.alias("split_percentile_time_window"))
+
+    def _within(self, values: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+        """`requests` with `_inside`, the values of their group whose total time lies in the window."""
+        slim = values.select(*keys, F.col("total_time_min").alias("_at"))
+        low = requests.withColumn("_at", F.col("total_time_min") - self.window_min)
+        high = requests.withColumn("_at", F.col("total_time_min") + self.window_min)
+        ids = [*requests.columns]
+        first = count_below(slim, low, keys, "_at", self.hot_rows).select(*ids, F.col("below").alias("_from"))
+        last = count_below(slim, high, keys, "_at", self.hot_rows).select(*ids, (F.col("below") + F.col("equal")).alias("_to"))
+        met = key_join(last, first, ids)
+        return met.select(*ids, (F.coalesce("_to", F.lit(0)) - F.coalesce("_from", F.lit(0))).alias("_inside"))
 
 
 def preview(df: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:

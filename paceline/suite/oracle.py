@@ -710,7 +710,7 @@ SELECT p.result_id, round(p.total_time_min,6) AS marker, {place('c.n', 'c.b')} A
 own AS (SELECT s.*, p.total_time_min AS t FROM splits s JOIN asked p USING (result_id)),
 others AS (SELECT s.*, r.total_time_min AS t FROM splits s JOIN results r USING (result_id)),
 c AS (SELECT p.result_id, p.split_name, count(*) AS n, count(*) FILTER (WHERE r.split_time_min < p.split_time_min) AS b FROM own p JOIN others r
-  ON r.season = p.season AND r.location = p.location AND r.split_name = p.split_name AND abs(r.t - p.t) <= 20000 GROUP BY ALL)
+  ON r.season = p.season AND r.location = p.location AND r.split_name = p.split_name AND r.t BETWEEN p.t - 20000 AND p.t + 20000 GROUP BY ALL)
 SELECT p.result_id, p.split_name, round(p.split_time_min,6) AS split_time_min, {place('c.n', 'c.b')} AS split_percentile_time_window
 FROM own p JOIN c USING (result_id, split_name)"""
     q["race_summary_counts"] = f"""{BASE}, race AS (SELECT total_time_min AS t FROM results WHERE season = 1996 AND location = 'ASIA'),
