@@ -153,7 +153,8 @@ def oracle_sql() -> dict[str, str]:
         f"{BASE}SELECT result_id, season, {rank_sql(K5, 'event')}, {rank_sql([K5[0], *K5[2:]], 'season')}, "
         f"{rank_sql(K5[2:], 'overall')} FROM results"
     )
-    q["split_percentiles"] = (
+    q["race_rankings_ranged"] = q["race_rankings"]
+    q["split_percentiles"] = q["split_percentiles_ranged"] = (
         f"{SPLIT}SELECT result_id, split_name, round(split_time_min,6) AS split_time_min, "
         f"{rank_sql([*K5, 'split_name'], 'split', 'split_time_min')} FROM splits"
     )
@@ -642,6 +643,14 @@ wanted AS (SELECT *, 'found' AS status FROM races UNION SELECT season, substr(lo
             f"c{i + 1} AS (SELECT * FROM c{i} WHERE {c} BETWEEN (SELECT quantile_cont({c}, 0.01) FROM c{i}) AND (SELECT quantile_cont({c}, 0.97) FROM c{i}))"
         )
     q["clean_times"] = with_(RESULTS, TIMES, WIDE, *steps) + f"SELECT result_id FROM c{len(trimmed)}"
+    trimmed = [*SPLITS, "run_time_min", "total_time_min"]
+    once = WIDE.replace("AS (", "AS MATERIALIZED (", 1)
+    steps = ["c0 AS MATERIALIZED (SELECT * FROM wide WHERE " + " AND ".join(f"{c} > 0 AND {c} <= total_time_min" for c in trimmed) + ")"]
+    for i, c in enumerate(trimmed):
+        steps.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE {c} BETWEEN (SELECT quantile_cont({c}, 0.001) FROM c{i}) AND (SELECT quantile_cont({c}, 0.995) FROM c{i}))"
+        )
+    q["clean_times_all"] = with_(RESULTS, TIMES, once, *steps) + f"SELECT result_id FROM c{len(trimmed)}"
     q["faster_than_mean"] = f"{FULL}SELECT result_id FROM wide WHERE run_time_min < (SELECT avg(run_time_min) FROM wide)"
     q["to_minutes"] = f"{FULL}SELECT result_id, round(total_time_min / 60,6) AS total_time_min, round(run_time_min,6) AS run_time_min FROM wide"
     q["remainders"] = f"""{FULL}SELECT result_id, round(work_time_min - (sledPush_time_min + burpeeBroadJump_time_min),6) AS remaining_work,

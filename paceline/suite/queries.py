@@ -12,7 +12,7 @@ from paceline.functions import durations, labels, text
 from paceline.operators import cohorts, filters, ordering, stats
 from paceline.operators.joins import key_condition
 from paceline.plans import compare, deepdive, derived, menus, profile, rankings, report, search, segments, studies
-from paceline.schema import COHORT_KEYS, OVERALL_KEYS, SEASON_KEYS, STATION_COLUMNS
+from paceline.schema import COHORT_KEYS, OVERALL_KEYS, SEASON_KEYS, STATION_COLUMNS, STATIONS
 from paceline.sources import contract, manifest, races, warehouse
 from paceline.suite import star
 
@@ -82,6 +82,11 @@ def race_rankings(spark, sf):
     return derived.race_rankings(star.results(spark, sf))
 
 
+@query
+def race_rankings_ranged(spark, sf):
+    return derived.race_rankings(star.results(spark, sf), hot_rows=FORCED)
+
+
 def _wide(spark, sf):
     return star.stored(spark, sf, "race_results")
 
@@ -96,6 +101,12 @@ def split_percentiles(spark, sf):
     return ranked.select("result_id", "split_name", "split_time_min", "split_rank", "split_size", "split_percentile")
 
 
+@query
+def split_percentiles_ranged(spark, sf):
+    ranked = derived.split_percentiles(_splits(spark, sf), hot_rows=FORCED // 3)
+    return ranked.select("result_id", "split_name", "split_time_min", "split_rank", "split_size", "split_percentile")
+
+
 RANKED = ["result_id", "name", "location", "season", "age_group", "total_time_min", "placement"]
 
 
@@ -973,6 +984,15 @@ def clean_times(spark, sf):
     return studies.clean_times(rows, TRIMMED, "total_time_min", 0.01, 0.97).select("result_id")
 
 
+ALL_TIMES = [*[f"run{n}_time_min" for n in star.LINES], *[f"{name}_time_min" for name, _ in STATIONS[: len(star.LINES)]], "run_time_min", "total_time_min"]
+
+
+@query
+def clean_times_all(spark, sf):
+    """Every split column, as in a study; the tails are wide enough to leave results at every scale."""
+    return studies.clean_times(_wide(spark, sf), ALL_TIMES, "total_time_min", 0.001, 0.995).select("result_id")
+
+
 @query
 def faster_than_mean(spark, sf):
     return studies.faster_than_mean(_wide(spark, sf), "run_time_min").select("result_id")
