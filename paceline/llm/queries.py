@@ -87,6 +87,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    # The checksum is worked out byte by byte from its polynomial, the shuffle from the same md5 as in Spark.
+    "op1_sharding": """
+WITH steps AS (
+    SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS step
+    FROM (SELECT unnest(range(256)) AS n)
+),
+bytes AS (
+    SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, list_prepend(4294967295::BIGINT,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS b
+    FROM documents
+),
+slim AS (
+    SELECT doc_id, source, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+    FROM bytes, steps
+),
+keyed AS (
+    SELECT *, CAST('0x' || substr(md5('20|' || doc_id || '|' || text_crc32), 1, 14) AS BIGINT) AS key,
+        (CAST('0x' || substr(md5('20|' || source || '|offset'), 1, 14) AS BIGINT) + 1) / 72057594037927936.0::DOUBLE AS shift
+    FROM slim
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) AS rank,
+        count(*) OVER (PARTITION BY source) AS source_rows FROM keyed
+),
+placed AS (
+    SELECT *, row_number() OVER (ORDER BY (rank - shift) / source_rows, source, rank) - 1 AS position, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position * 16 // total AS INTEGER) AS shard,
+    position - (position * 16 // total * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
+FROM placed
+    """,
     "op7_exact_dedup": """
         WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         ranked AS (
