@@ -1,7 +1,8 @@
 """Near-duplicates among vectors, found by search in a pruned graph.
 
 1. Centres are fitted on a bounded sample. Each vector is stored in the shards of its nearest centres (`overlap` of them),
-   so shards overlap; a shard with too many rows is dealt out to parts by a hash, and a search visits every part.
+   so shards overlap; a shard with too many rows is dealt out to parts by a hash, and a search visits every part. Where
+   too many search a shard, they are dealt out to blocks, and each block has its own copy of the parts.
 2. In each part a flat graph is built: from all rows of the part, nearest first, a row keeps a neighbour unless one
    it kept already is closer to that neighbour by a factor (robust pruning). The adjacency lists that a row
    gets in different shards are united.
@@ -164,6 +165,7 @@ def near_dedup(
     vectors: DataFrame,
     least: float = 0.95,
     part_rows: int = 1_500,
+    ask_rows: int = 8_000,
     overlap: int = 2,
     probes: int = 8,
     max_centres: int = 4_096,
@@ -222,15 +224,23 @@ def near_dedup(
         nearest, "node bigint, vector array<double>, weight bigint, centres array<int>"
     )
     placed = written(placed, "placed-vectors")
-    stored = placed.select("node", F.posexplode(F.slice("centres", 1, overlap)).alias("rank", "shard"))
-    # One row per centre, at most `max_centres`.
-    sizes = {r["shard"]: -(-r["n"] // part_rows) for r in stored.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])
+    # Rows stored in and searching each shard: one row per centre, at most `max_centres`.
+    met = placed.select(F.posexplode("centres").alias("rank", "shard")).groupBy("shard").agg(
+        F.count_if(F.col("rank") < overlap).alias("stored"), F.count(F.lit(1)).alias("asking")
+    )
+    sizes = [(r["shard"], -(-r["stored"] // part_rows), -(-r["asking"] // ask_rows)) for r in met.where("stored > 0").collect()]
+    deal = F.broadcast(vectors.sparkSession.createDataFrame(sizes, "shard int, parts int, blocks int"))
+
+    # A stored row goes to one part of its shard. A search goes to all parts of the shards it probes, with its block
+    # of searches: so neither side of a task grows with the shard.
+    def one_of(n: str, salt: int) -> F.Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+
+    def all_of(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    # Each stored row goes to one part of its shard; each search to all parts of the shards it probes.
-    slot = F.pmod(F.xxhash64("node"), parts[F.col("shard")]).cast("int")
-    held = placed.select("node", "vector", "weight", "centres", F.posexplode(F.slice("centres", 1, overlap)).alias("rank", "shard"))
-    held = held.select("shard", slot.alias("part"), "node", "vector", "weight", "centres")
+    held = placed.select("node", "vector", "weight", "centres", F.explode(F.slice("centres", 1, overlap)).alias("shard"))
+    held = held.join(deal, "shard").select("shard", one_of("parts", 0).alias("part"), "blocks", "node", "vector", "weight", "centres")
 
     def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -243,12 +253,9 @@ def near_dedup(
     # At most `overlap` lists of `degree` entries per node.
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     stored_rows = written(held.join(graph, "node"), "united-graph")
-    searches = placed.select("node", "vector", "weight", "centres", F.explode("centres").alias("shard")).where(
-        F.col("shard").isin(list(sizes)) if len(sizes) < 200 else F.lit(True)
-    )
-    searches = searches.select(
-        "shard", F.explode(F.sequence(F.lit(0), parts[F.col("shard")].cast("int") - 1)).alias("part"), "node", "vector", "centres"
-    )
+    stored_rows = stored_rows.select("*", all_of("blocks").alias("block"))
+    searches = placed.select("node", "vector", "centres", F.explode("centres").alias("shard")).join(deal, "shard")
+    searches = searches.select("shard", all_of("parts").alias("part"), one_of("blocks", 1).alias("block"), "node", "vector", "centres")
 
     def search(key: tuple, rows_of: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         columns = ["node", "links", "root"]
@@ -303,8 +310,8 @@ def near_dedup(
         return pd.DataFrame({"node": ids[told], "links": found[told], "root": ids[parent[told]]})
 
     told = (
-        stored_rows.groupBy("shard", "part")
-        .cogroup(searches.groupBy("shard", "part"))
+        stored_rows.groupBy("shard", "part", "block")
+        .cogroup(searches.groupBy("shard", "part", "block"))
         .applyInPandas(search, "node bigint, links bigint, root bigint")
     )
     told = written(told, "links-of-parts")

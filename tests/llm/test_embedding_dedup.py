@@ -58,7 +58,7 @@ def test_small_groups_over_many_parts(spark):
 
 
 def test_one_large_group(spark):
-    check(spark, clusters(2, 1, 250, 0.25, 100), part_rows=80)
+    check(spark, clusters(2, 1, 250, 0.25, 100), part_rows=80, ask_rows=50)
 
 
 def test_edges(spark):
