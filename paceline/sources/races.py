@@ -86,6 +86,28 @@ def get_season(
     return readable(_files(spark, [_located(base, p) for p in sorted(paths)], gender, division))
 
 
+def get_season_layout(
+    spark: SparkSession,
+    root: str,
+    season: int,
+    locations: list[str] | None = None,
+    gender: str | None = None,
+    division: str | None = None,
+) -> DataFrame:
+    """All races of a season from files laid out as `season=<n>/location=<name>/`.
+
+    The reader finds the files itself, and the filters on season and place choose folders; no list of paths is made.
+    Files of one layout must agree in their columns; for others there is `get_season`.
+    """
+    rows = spark.read.parquet(root).where(F.col("season") == int(season))
+    if locations:
+        rows = rows.where(F.lower("location").isin([name.lower() for name in locations]))
+    for column, value in (("gender", gender), ("division", division)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return readable(rows)
+
+
 def stack_races(frames: list[DataFrame]) -> DataFrame:
     """Put race frames below each other by column name; what a frame lacks is null."""
     stacked = frames[0]

@@ -625,7 +625,7 @@ wanted AS (SELECT *, 'found' AS status FROM races UNION SELECT season, substr(lo
     raced = with_(RESULTS, TIMES, WIDE, files) + "SELECT name, gender, division, total_time, run_time, run1_time, run2_time, skiErg_time FROM files WHERE "
     q["get_race"] = raced + "season = 1996 AND location = 'ASIA' AND gender = 'F' AND total_time > 50 AND total_time < 200"
     q["get_season"] = raced + "season = 1997 AND division = '2-HIGH'"
-    q["get_season_places"] = raced + "season = 1997 AND location IN ('EUROPE', 'AFRICA')"
+    q["get_season_layout"] = q["get_season_places"] = raced + "season = 1997 AND location IN ('EUROPE', 'AFRICA')"
     q["readable_columns"] = (
         "SELECT l_orderkey, "
         + ", ".join(f"CAST(count(*) FILTER (WHERE l_linenumber = {n}) AS DOUBLE) AS {RAW_RENAMES[f'run_{n}']}" for n in LINES)

@@ -838,6 +838,12 @@ def get_season(spark, sf):
     return races.get_season(spark, listing, 1997, division="2-HIGH", base=base).select(*RACE)
 
 
+@query
+def get_season_layout(spark, sf):
+    base, _ = star.race_files(spark, sf)
+    return races.get_season_layout(spark, f"{base}/files", 1997, locations=["europe", "Africa"]).select(*RACE)
+
+
 @query
 def get_season_places(spark, sf):
     base, listing = star.race_files(spark, sf)

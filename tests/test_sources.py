@@ -164,6 +164,19 @@ def test_get_season(spark, files):
         races.get_season(spark, listing, 8, base=base)
 
 
+def test_season_layout_reads_one_folder(spark, tmp_path):
+    raw = rows(
+        spark,
+        "season int, location string, name string, gender string, total_time string",
+        [(4, "Riga", "a", "F", "01:10:00"), (4, "Oslo", "b", "M", "01:20:00"), (3, "Riga", "c", "F", "01:30:00")],
+    )
+    raw.write.partitionBy("season", "location").parquet(str(tmp_path / "files"))
+    season = races.get_season_layout(spark, str(tmp_path / "files"), 4)
+    assert by(season, "name")["a"].total_time == 70.0 and names(season) == ["a", "b"]
+    assert "PartitionFilters: [isnotnull(season" in season._jdf.queryExecution().executedPlan().toString()
+    assert names(races.get_season_layout(spark, str(tmp_path / "files"), 4, ["OSLO"], gender="M")) == ["b"]
+
+
 def test_athlete_in_race(spark, files):
     base, listing = files
     race = races.get_race(spark, listing, 4, "Riga", base=base)
