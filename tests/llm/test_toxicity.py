@@ -1,4 +1,7 @@
+import math
+
 import edges
+import pytest
 
 from paceline.llm.common import crc32_of_id
 from paceline.llm.toxicity import Lexicon, fit, fold, probability, scored, total_weight
@@ -11,7 +14,8 @@ def test_fold():
 
 def test_matches():
     lexicon = Lexicon({"trash": 2.0, "vequ": 3.0, "vequta": 1.0}, frozenset({"trash"}), ("trash can",)).ready()
-    assert total_weight("some trash, trash", lexicon) == 4.0
+    assert total_weight("some trash", lexicon) == 2.0
+    assert total_weight("some trash, trash", lexicon) == pytest.approx(2 * (1 + math.log(2)))
     assert total_weight("trashy xtrash", lexicon) == 0.0
     assert total_weight("vequta equ avequ", lexicon) == 3.0
     assert total_weight("the trash can and trash", lexicon) == 2.0
