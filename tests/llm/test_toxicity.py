@@ -30,12 +30,12 @@ def test_learnt(spark):
     rows = [(k, t, None, None, None) for k, t in enumerate(clean + toxic)]
     docs = edges.documents(spark, rows)
     labels = spark.createDataFrame([(k, int(k >= len(clean))) for k in range(len(rows))], "doc_id long, toxic int")
-    lexicon = fit(docs, labels, least_odds=2.0)
+    lexicon = fit(docs, labels, least_odds=1.5)
     ready = lexicon.ready()
     assert "trash can" in lexicon.exceptions
     assert probability("what trash", ready) > 0.5 > probability("a trash can", ready)
     assert probability("das zorkotum", ready) > 0.5 > probability("other words", ready)
-    fixed = fit(docs, labels, least_odds=2.0, exceptions=("such a trash",))
+    fixed = fit(docs, labels, least_odds=1.5, exceptions=("such a trash",))
     assert probability("such a trash", fixed.ready()) < 0.5
 
 
