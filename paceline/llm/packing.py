@@ -30,7 +30,7 @@ CELLS = 256
 #: Bits of the id's hash below the curve position; with it a key fills a long.
 TIE_BITS = 63 - DIMS * BITS
 #: Parts of texts whose tokens a worker keeps for later batches.
-KEPT_PARTS = 120_000
+KEPT_PARTS = 25_000
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -150,7 +150,7 @@ def tokenized(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = steps = None
-        for batch in chunks(batches, 2, 5_000_000):
+        for batch in chunks(batches, 2, 6_000_000):
             if words is None:
                 words = _worker_tokenizer(sent.value)
                 steps = projection(words.tokenizer.get_vocab_size(), seed)
