@@ -6,7 +6,7 @@
 2. In each part a flat graph is built: from all rows of the part, nearest first, a row keeps a neighbour unless one
    it kept already is closer to that neighbour by a factor (robust pruning). The adjacency lists that a row
    gets in different shards are united.
-3. Each vector searches the parts of its `probes` nearest centres, greedily from the part's medoid. Around what lies in
+3. Each vector searches the parts of its `probes` nearest centres, greedily from the part's medoids. Around what lies in
    range the search expands along lists, both ways, over all rows within twice the angle of the range: as far as a
    row on the way between two that are in range can lie.
 4. All links are verified in double precision. A pair met in several parts is counted in one of them: the first, in the
@@ -75,17 +75,27 @@ def robust_pruned(near: np.ndarray, degree: int, alpha: float, candidates: int)
     return out
 
 
-def greedy_search(queries: np.ndarray, rows: np.ndarray, links: np.ndarray, entry: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all queries at once: the `beam` best rows reached from the entry, best first, and their similarities."""
+def medoids(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The rows nearest to the middles of `k` groups: a dense group of any size has one of its own."""
+    centres = fit_centres(rows, min(k, len(rows)), seed, steps=3)
+    return np.unique(np.argmax(rows @ centres.T, axis=0))
+
+
+def greedy_search(
+    queries: np.ndarray, rows: np.ndarray, links: np.ndarray, entries: np.ndarray, beam: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For all queries at once: the `beam` best rows reached from the entries, best first, and their similarities."""
     q, n = len(queries), len(rows)
     beam = min(beam, n)
     ids = np.full((q, beam), -1, dtype=np.int64)
     near = np.full((q, beam), -np.inf, dtype=np.float32)
     done = np.zeros((q, beam), dtype=bool)
     seen = np.zeros((q, n), dtype=bool)
-    ids[:, 0] = entry
-    near[:, 0] = queries @ rows[entry]
-    seen[:, entry] = True
+    value = queries @ rows[entries].T
+    best = np.argsort(-value, axis=1, kind="stable")[:, :beam]
+    ids[:, : best.shape[1]] = entries[best]
+    near[:, : best.shape[1]] = np.take_along_axis(value, best, 1)
+    seen[:, entries] = True
     active = np.arange(q)
     while len(active):
         open_near = np.where(done[active] | (ids[active] < 0), -np.inf, near[active])
@@ -167,13 +177,14 @@ def near_dedup(
     part_rows: int = 1_500,
     ask_rows: int = 8_000,
     overlap: int = 2,
-    probes: int = 8,
+    probes: int = 12,
+    n_medoids: int = 32,
     max_centres: int = 4_096,
     sample_rows: int = 20_000,
     degree: int = 24,
     candidates: int = 256,
     alpha: float = 1.2,
-    beam: int = 12,
+    beam: int = 16,
     seed: int = 2,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -274,7 +285,7 @@ def near_dedup(
         for row, places in enumerate(near):
             links[row, : len(places)] = places
         ends = both_ways(links)
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
+        entries = medoids(x, n_medoids, seed)
         homes = [row[:overlap] for row in rows_of["centres"]]
         before = np.array([list(h).index(shard) for h in homes])
         first = np.array([h[0] for h in homes])
@@ -287,7 +298,7 @@ def near_dedup(
         for low in range(0, len(asking), 1024):
             block = asking.iloc[low : low + 1024]
             q = unit(np.stack(block["vector"].to_numpy()))
-            best, value = greedy_search(q.astype(np.float32), x, links, medoid, beam)
+            best, value = greedy_search(q.astype(np.float32), x, links, entries, beam)
             wide = max(2 * least * least - 1, least - 0.2)
             for k in np.flatnonzero(value[:, 0] >= wide).tolist():
                 start = best[k][value[k] >= wide]
