@@ -1,9 +1,12 @@
 """Selection by cross-entropy difference: a target and a background language model score each document.
 
-Both are bigram models over words with one vocabulary, one smoothing and one total: background counts are scaled to the
-size of the target's. The vocabulary holds the most frequent words of all documents; other words fall into classes by
-their length, so the models see them too. Counts are taken over all documents. Pairs of words are counted in a fixed number
-of hashed cells, which bounds what is broadcast whatever the size of the corpus.
+Both are bigram models over words with one vocabulary and one smoothing. Counts are taken over all documents. The whole
+models keep every word and every pair of words, each under 64 bits of its own, in tables that grow with the corpus; nothing
+of them is broadcast or comes to the driver but sums. A block of documents lists its own words and pairs once, with counts;
+the lists meet by ranges of keys, each block gets the counts of the corpus for what it listed, and is scored.
+
+A bounded form takes a vocabulary of the most frequent words, other words by classes of their length, and pairs in hashed
+cells; it broadcasts models of that size.
 
 A word's loss under a model is minus the logarithm of an interpolation of the pair's share of what follows the first
 word, the word's own share, and an equal share. A document's score is the mean difference of the losses, target
@@ -12,21 +15,30 @@ minus background: the lower, the more it resembles the target.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import chunks, texts_of, written
+from paceline.llm.minhash import mixed
 
 #: Classes of words outside the vocabulary, by length in bytes; the last takes all longer ones.
 CLASSES = 24
 #: Weights of the pair, the word and the equal share.
 MIX = (0.6, 0.39, 0.01)
+#: Bytes of text in a block of documents, and at most for each range of keys.
+BLOCK_BYTES = 6_000_000
+RANGE_BYTES = 4_000_000
+#: Stands before a text, as the key of a word.
+START = np.uint64(0x2545F4914F6CDD1D)
 
 
 @dataclass(frozen=True)
@@ -183,23 +195,228 @@ def scored(
     return rows.mapInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """First all lowest bytes, then the next ones: small numbers compress well so."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _sorted_packed(keys: np.ndarray) -> bytes:
+    """Steps between sorted keys, whose highest bytes are 0."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _sorted_unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _released() -> None:
+    """Memory that a block took goes back before the next, as workers idle beside other stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def pair_keys(keys: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of words, from the words' own 64; words by place in `keys`."""
+    sums = (keys * np.uint64(0x9E3779B97F4A7C15))[before]
+    sums += (keys * np.uint64(0xD6E8FEB86659FD93))[word]
+    return mixed(sums)
+
+
+def _pairs(word: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's texts, words by place in `keys`: place before each word (len(keys) at a start), distinct pairs, pair of each word."""
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(keys)
+    distinct, pair = np.unique(pair_keys(np.append(keys, START), before, word), return_inverse=True)
+    return before, distinct, pair
+
+
+def _blocks(marked: DataFrame) -> DataFrame:
+    """A row for each block of documents: their ids, numbers of words and sides, their words by place, and the sorted word keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = (TaskContext.get().partitionId() << 32) - 1
+        for batch in chunks(batches, 1, BLOCK_BYTES):
+            block += 1
+            offsets, words, codes = words_of(texts_of(batch.column(1)))
+            # Empty texts give one empty word, which is no word.
+            no_word = pc.equal(words, "").to_numpy(zero_copy_only=False)
+            real = ~no_word[codes]
+            lengths = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets])
+            hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+            keys, place = np.unique(hashes[~no_word], return_inverse=True)
+            places = np.zeros(len(words), dtype=np.int32)
+            places[~no_word] = place
+            wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            held = (_packed(lengths.astype(np.int32)), wanted.tobytes(), _packed(places[codes[real]]), _sorted_packed(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), ids, *(pa.array([x], pa.binary()) for x in held)],
+                ["block", "ids", "lengths", "wanted", "places", "keys"],
+            )
+            _released()
+
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(run, f"block bigint, ids array<{kind}>, lengths binary, wanted binary, places binary, keys binary")
+
+
+def _listed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """For each block and range of keys, the sorted keys that the block holds, with counts in the background and the target.
+
+    Pairs have two counts, words four: all, and those that another word follows.
+    """
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def cut(keys: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        ends = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield _sorted_packed(keys[a:b]), _packed(np.concatenate([c[a:b] for c in counts]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, lengths, wanted, word, keys = (batch.column(c)[k].as_py() for c in range(5))
+                lengths, word, keys = _unpacked(lengths, np.int32), _unpacked(word, np.int32), _sorted_unpacked(keys)
+                before, distinct, pair = _pairs(word, lengths, keys)
+                in_target = np.repeat(np.frombuffer(wanted, np.uint8).astype(bool), lengths)
+                sides = (~in_target, in_target)
+                pairs = cut(distinct, *(np.bincount(pair[s], minlength=len(distinct)) for s in sides))
+                of = [np.bincount(word[s], minlength=len(keys)) for s in sides]
+                first = [np.bincount(before[s], minlength=len(keys) + 1)[:-1] for s in sides]
+                ranges = [(block, n, *p, *w) for n, (p, w) in enumerate(zip(pairs, cut(keys, *of, *first))) if p[0] or w[0]]
+                if ranges:
+                    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+                    names = ["block", "bucket", "pairs", "pair_counts", "words", "word_counts"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranges), kinds)], names)
+                del ranges, pair, distinct, before
+                _released()
+
+    rows = blocks.select("block", "lengths", "wanted", "places", "keys")
+    return rows.mapInArrow(run, "block bigint, bucket int, pairs binary, pair_counts binary, words binary, word_counts binary")
+
+
+def _summed(keys: list[bytes], counts: list[bytes], width: int) -> tuple[int, np.ndarray, list[bytes]]:
+    """Number of distinct keys, sums of each count over all lists, and for each list its keys' counts over all lists."""
+    own = [_sorted_unpacked(k) for k in keys]
+    distinct, at = np.unique(np.concatenate(own), return_inverse=True)
+    split = np.cumsum([len(k) for k in own])[:-1]
+    values = np.concatenate([_unpacked(c, np.int64).reshape(width, -1) for c in counts], axis=1)
+    total = np.stack([np.bincount(at, weights=v, minlength=len(distinct)) for v in values]).astype(np.int64)
+    return len(distinct), total.sum(axis=1), [_packed(np.ascontiguousarray(total[:, a]).ravel()) for a in np.split(at, split)]
+
+
+def _answered(lists: DataFrame) -> DataFrame:
+    """For each block and range, in the order of the block's keys, the counts of the corpus; null blocks hold sums of a range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values = table.select(["pairs", "pair_counts", "words", "word_counts"]).to_pydict()
+        _, _, pairs = _summed(values["pairs"], values["pair_counts"], 2)
+        n, sums, words = _summed(values["words"], values["word_counts"], 4)
+        del values
+        _released()
+        m = table.num_rows
+        return pa.table({
+            "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
+            "bucket": pa.array([*table["bucket"].to_pylist(), None], pa.int32()),
+            "pair_counts": pa.array([*pairs, None], pa.binary()),
+            "word_counts": pa.array([*words, None], pa.binary()),
+            "sums": pa.array([*[None] * m, [n, *sums.tolist()]], pa.list_(pa.int64())),
+        })
+
+    return lists.groupBy("bucket").applyInArrow(
+        run, "block bigint, bucket int, pair_counts binary, word_counts binary, sums array<bigint>"
+    )
+
+
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """`written`, and the shuffle files that led to the table go at once: texts are not on disk twice."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
+def whole_models(docs: DataFrame, target: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scored` by models of every word and pair in `docs`; `target` is a boolean column, other rows and null are background.
+
+    `size`: bytes of text about, from which the number of ranges of keys follows.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("target"),
+    )
+    # Ranges grow in number with the corpus, not in size.
+    buckets = 2 << (size // RANGE_BYTES).bit_length() - 1 if size >= RANGE_BYTES else 2
+    blocks = _settled(_blocks(rows), "word-blocks")
+    lists = _listed(blocks, buckets)
+    answers = _settled(_answered(lists), "word-answers")
+    n, *sums = answers.where("block IS NULL").agg(*(F.sum(F.col("sums")[k]) for k in range(5))).first()
+    every = [s or 0 for s in sums]
+    # Each text with words has one word that is not followed by another.
+    texts = [every[s] - every[2 + s] for s in (0, 1)]
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        ids = blocks["ids"].combine_chunks().flatten()
+        lengths, word = (_unpacked(blocks[name][0].as_py(), np.int32) for name in ("lengths", "places"))
+        keys = _sorted_unpacked(blocks["keys"][0].as_py())
+        before, _, pair = _pairs(word, lengths, keys)
+        answers = answers.sort_by("bucket")
+        seen = [
+            np.concatenate([np.zeros((width, 0), np.int64), *(_unpacked(c, np.int64).reshape(width, -1) for c in answers[name].to_pylist())], axis=1)
+            for name, width in (("pair_counts", 2), ("word_counts", 4))
+        ]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        losses = []
+        for side in (1, 0):
+            first = np.append(seen[1][2 + side], texts[side])
+            share = MIX[0] * seen[0][side][pair] / np.maximum(first[before], 1) + MIX[1] * seen[1][side][word] / max(every[side], 1)
+            loss = np.bincount(owner, weights=-np.log(share + MIX[2] / max(n or 0, 1)), minlength=len(lengths))
+            losses.append(loss / np.maximum(lengths, 1))
+        del seen, share, first, before, pair, owner
+        _released()
+        columns = [ids, pa.array(lengths.astype(np.int64)), *map(pa.array, losses), pa.array(losses[0] - losses[1])]
+        return pa.table(columns, ["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    parts = blocks.select("block", "ids", "lengths", "places", "keys").groupBy("block")
+    replies = answers.where("block IS NOT NULL").select("block", "bucket", "pair_counts", "word_counts").groupBy("block")
+    return parts.cogroup(replies).applyInArrow(run, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
-    vocabulary_size: int = 50_000,
-    bits: int = 20,
+    vocabulary_size: int | None = None,
+    bits: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Every row with its losses under models of the documents labelled 1 and of all others; see `scored`.
 
+    The models are whole, unless `vocabulary_size` and `bits` are both given, which bound them.
     Labels are joined to the documents by id; of several labels of one id the largest counts.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if (vocabulary_size is None) != (bits is None):
+        raise ValueError("vocabulary_size and bits bound the models together")
     # Labels grow with the documents, so they are never broadcast: the plan is the same at every size.
-    marked = rows.join(known.where("label = 1").hint("merge"), "doc_id", "left").select("text", F.col("label").isNotNull().alias("target"))
+    marked = rows.join(known.where("label = 1").hint("shuffle_hash"), "doc_id", "left").select(
+        "doc_id", "text", F.col("label").isNotNull().alias("target")
+    )
+    if bits is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return whole_models(marked, "target", size)
     vocabulary = fit_vocabulary(rows, vocabulary_size)
     target, background = fit(marked, "target", vocabulary, bits)
     return scored(rows, vocabulary, target, background)
