@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, embedding_dedup, exact_dedup, lm_scoring, minhash, packing, quality, sharding, token_counts, toxicity
+from paceline.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    lm_scoring,
+    minhash,
+    packing,
+    quality,
+    sharding,
+    spelling,
+    token_counts,
+    toxicity,
+)
 from paceline.llm.common import crc32_of_id
 
 
@@ -73,6 +85,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), labels(spark, sf_dir), label="quality")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir), least_length=5, least_count=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -84,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_spelling_variants": op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
