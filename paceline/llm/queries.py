@@ -22,6 +22,7 @@ from paceline.llm import (
     spelling,
     token_counts,
     toxicity,
+    vp_search,
 )
 from paceline.llm.common import crc32_of_id
 
@@ -86,6 +87,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), labels(spark, sf_dir), label="quality")
 
 
+def op11_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vp_search.nearest(vectors, F.col("vec_id") % 20 == 0, k=20, relax=1.0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(documents(spark, sf_dir), least_length=5, least_count=3)
 
@@ -105,12 +111,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_vp_search": op11_vp_search,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
+    "op11_vp_search": """
+        WITH v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
     # The checksum is worked out byte by byte from its polynomial, the shuffle from the same md5 as in Spark.
     "op1_sharding": """
 WITH steps AS (
