@@ -16,9 +16,11 @@ from paceline.operators.cohorts import demographic_cohort, pick_result, time_ban
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
 from paceline.operators.ordering import HOT_ROWS, count_below, local_table, rank_in_group, standing
+from paceline.operators.positions import interpolated, ordered_places, values_at
 from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 
+QUANTILES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
 STORED_RANKS = ["season_rank", "season_size", "season_percentile", "overall_rank", "overall_size", "overall_percentile"]
 SPLIT_ORDER = ["split_name", "split_time_min", "result_id"]
 SPLIT_SHOWN = ["split_name", "split_time_min", "split_rank", "split_size", "split_percentile"]
@@ -264,6 +266,86 @@ class BatchReports:
         near = time_window_standing(here, self.window_min, race, hot_rows=self.hot_rows)
         return cohort.join(near.select("result_id", "window_size", "window_percentile"), "result_id", "left")
 
+    @cached_property
+    def _window_bounds(self) -> tuple[DataFrame, DataFrame]:
+        """Timed results of the asked races, and each timed request with `_from` and `_to`: the places of its time
+        window, [total - window, total + window] inclusive, in its race's order of total times."""
+        race = ["location", "season"]
+        asked = self.picked.where(F.col("total_time_min").isNotNull()).select("result_id", *race, "total_time_min")
+        timed = self.results.where(F.col("total_time_min").isNotNull()).select("result_id", *race, "total_time_min")
+        timed = key_join(timed, asked.select(*race).distinct(), race, "left_semi")
+        slim = timed.select(*race, F.col("total_time_min").alias("_at"))
+        low = asked.withColumn("_at", F.col("total_time_min") - self.window_min)
+        high = asked.withColumn("_at", F.col("total_time_min") + self.window_min)
+        first = count_below(slim, low, race, "_at", self.hot_rows).select("result_id", F.coalesce("below", F.lit(0)).alias("_from"))
+        last = count_below(slim, high, race, "_at", self.hot_rows).select(
+            "result_id", F.coalesce(F.col("below") + F.col("equal"), F.lit(0)).alias("_to")
+        )
+        return timed, asked.join(first, "result_id").join(last, "result_id")
+
+    @cached_property
+    def window_stats(self) -> DataFrame:
+        """Seven numbers of the total times in each request's time window, one row per timed request.
+
+        Count is a difference of places; min, max and the interpolated quantiles are values at places; the mean is a
+        difference of running sums, a decimal and exact (values to 9 places). No result is paired with another.
+        """
+        race = ["location", "season"]
+        timed, bounds = self._window_bounds
+        places = ordered_places(timed, race, "total_time_min", "result_id", self.hot_rows)
+        n = F.col("_to") - F.col("_from")
+        def pick(name: str, place: Column) -> Column:
+            return F.struct(F.lit(name).alias("name"), place.cast("long").alias("place"))
+
+        picks = [pick("min", F.col("_from")), pick("max", F.col("_to") - 1)]
+        for name, share in QUANTILES.items():
+            position = (n - 1) * F.lit(share)
+            picks += [pick(f"{name}_lo", F.col("_from") + F.floor(position)), pick(f"{name}_hi", F.col("_from") + F.ceil(position))]
+        asks = bounds.select("result_id", *race, F.inline(F.array(*picks)))
+        found = values_at(places, asks, race)
+        got = found.groupBy("result_id").agg(
+            *[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ["min", "max", *[f"{q}_{e}" for q in QUANTILES for e in ("lo", "hi")]]],
+            F.max(F.when(F.col("name") == "min", F.col("sum_before"))).alias("_sum_from"),
+            F.max(F.when(F.col("name") == "max", F.col("sum_through"))).alias("_sum_to"),
+        )
+        out = bounds.select("result_id", n.alias("count")).join(got, "result_id")
+        # Typed so that the quotient keeps 19 places: rounding it later to fewer is then rounding once.
+        mean = ((F.col("_sum_to") - F.col("_sum_from")).cast("decimal(28,9)") / F.col("count").cast("decimal(9,0)")).alias("mean")
+        quantiles = [
+            interpolated((F.col("count") - 1) * F.lit(share), F.col(f"{name}_lo"), F.col(f"{name}_hi")).alias(name)
+            for name, share in QUANTILES.items()
+        ]
+        return out.select("result_id", "count", "min", "max", mean, *quantiles)
+
+    @cached_property
+    def window_bins(self) -> DataFrame:
+        """The histogram of each request's time window: result_id, bin, start, end, count; empty bins included.
+
+        Edges are equal steps from the window's fastest to its slowest time (a step of 1/bins if they are equal); a
+        time belongs to the bin whose start it reaches and whose end it is under, the slowest to the last bin. Each
+        count is a difference of places: the race's times under one edge and under the next, held to the window.
+        """
+        race = ["location", "season"]
+        timed, bounds = self._window_bounds
+        ends = self.window_stats.select("result_id", F.col("min").alias("_low"), F.col("max").alias("_high"))
+        width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(F.lit(1.0)) / self.n_bins
+        framed = bounds.join(ends, "result_id").select(
+            "result_id", *race, "_from", "_to", "_low", width.alias("_width"),
+            F.explode(F.sequence(F.lit(0), F.lit(self.n_bins - 1))).alias("bin"),
+        )
+        framed = framed.withColumn("start", F.col("_low") + F.col("_width") * F.col("bin"))
+        framed = framed.withColumn("end", F.col("_low") + F.col("_width") * (F.col("bin") + 1))
+        inner = framed.where(F.col("bin") > 0).select("result_id", "bin", *race, F.col("start").alias("_at"))
+        slim = timed.select(*race, F.col("total_time_min").alias("_at"))
+        under = count_below(slim, inner, race, "_at", self.hot_rows).select("result_id", "bin", F.col("below").alias("_under"))
+        starts = framed.join(under, ["result_id", "bin"], "left")
+        held = F.least(F.greatest(F.coalesce("_under", "_from"), "_from"), "_to")
+        starts = starts.withColumn("_first", F.when(F.col("bin") == 0, F.col("_from")).otherwise(held))
+        nexts = starts.select("result_id", (F.col("bin") - 1).alias("bin"), F.col("_first").alias("_next"))
+        counted = starts.join(nexts, ["result_id", "bin"], "left")
+        count = F.coalesce("_next", "_to") - F.col("_first")
+        return counted.select("result_id", "bin", "start", "end", count.alias("count"))
+
     @cached_property
     def window_splits(self) -> DataFrame:
         """Each split of a request with its standing among the same split of its time window.

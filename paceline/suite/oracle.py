@@ -698,7 +698,7 @@ FROM (SELECT value AS v FROM events) WHERE v > 0 AND v <= 999 GROUP BY 1"""
     ) + ")"
     q["column_histograms"] = with_(RESULTS, TIMES, WIDE, four)[:-1] + histogram_sql("four", ["metric"], "minutes", 30)
     same = "AND ".join(f"r.{k} IS NOT DISTINCT FROM p.{k} " for k in K5)
-    asked = "asked AS (SELECT * FROM wide WHERE result_id % 32 = 0)"
+    asked = "asked AS (SELECT * FROM wide)"
     q["report_requests_stats"] = with_(RESULTS, TIMES, WIDE, asked) + (
         f"SELECT p.result_id, {SEVEN.format(v='r.total_time_min')} FROM asked p JOIN wide r ON {same} GROUP BY p.result_id"
     )
@@ -715,6 +715,26 @@ w AS (SELECT p.result_id, count(*) AS n, count(*) FILTER (WHERE r.total_time_min
   ON r.season = p.season AND r.location = p.location AND r.total_time_min BETWEEN p.total_time_min - 20000 AND p.total_time_min + 20000 GROUP BY ALL)
 SELECT p.result_id, round(p.total_time_min,6) AS marker, {place('c.n', 'c.b')} AS cohort_percentile, w.n AS window_size,
   {place('w.n', 'w.b')} AS window_percentile FROM asked p JOIN c USING (result_id) JOIN w USING (result_id)"""
+    near = """near AS (SELECT p.result_id, r.total_time_min AS v FROM asked p JOIN wide r
+  ON r.season IS NOT DISTINCT FROM p.season AND r.location IS NOT DISTINCT FROM p.location
+  AND r.total_time_min BETWEEN p.total_time_min - 20000 AND p.total_time_min + 20000)"""
+    q["report_requests_window_stats"] = with_(RESULTS, TIMES, WIDE, asked, near) + (
+        f"SELECT result_id, {SEVEN.format(v='v')} FROM near GROUP BY result_id"
+    ).replace(
+        # The mean is exact, rounded half up in integers: a decimal sum over the count, as the query's decimal running sums.
+        "round(avg(v),6) AS mean",
+        "round(CAST((CAST(sum(CAST(v AS DECIMAL(38,9))) * 1000000000 AS HUGEINT) + count(*) * 500) // (count(*) * 1000)"
+        " AS DOUBLE) / 1000000,6) AS mean"
+    )
+    q["report_requests_window_bins"] = f"""{with_(RESULTS, TIMES, WIDE, asked, near)[:-1]},
+ends AS (SELECT result_id, min(v) AS lo, (CASE WHEN max(v) > min(v) THEN max(v) - min(v) ELSE 1.0 END) / 22 AS width FROM near GROUP BY result_id),
+guess AS (SELECT n.result_id, v, lo, width, CAST(least(greatest(floor((v - lo) / width), 0), 21) AS BIGINT) AS c FROM near n JOIN ends USING (result_id)),
+placed AS (SELECT result_id, CASE WHEN lo + width * c > v THEN c - 1 WHEN c < 21 AND lo + width * (c + 1) <= v THEN c + 1 ELSE c END AS bin
+  FROM guess),
+counts AS (SELECT result_id, bin, count(*) AS n FROM placed GROUP BY ALL),
+frame AS (SELECT result_id, lo, width, unnest(range(22)) AS bin FROM ends)
+SELECT f.result_id, f.bin, round(lo + width * f.bin, 6) AS start, round(lo + width * (f.bin + 1), 6) AS "end", coalesce(n, 0) AS count
+FROM frame f LEFT JOIN counts c USING (result_id, bin)"""
     q["report_requests_window_splits"] = f"""{with_(RESULTS, TIMES, WIDE, SPLIT_ROWS, asked)[:-1]},
 own AS (SELECT s.*, p.total_time_min AS t FROM splits s JOIN asked p USING (result_id)),
 others AS (SELECT s.*, r.total_time_min AS t FROM splits s JOIN results r USING (result_id)),

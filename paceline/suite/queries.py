@@ -417,9 +417,9 @@ def report_markers(spark, sf):
 
 
 def _requests(spark, sf):
-    """Every result whose id is divisible by 32: the reports that are asked for together."""
+    """Every result: the reports that are asked for together."""
     rows = _wide(spark, sf)
-    asked = rows.where("result_id % 32 = 0").select("result_id")
+    asked = rows.select("result_id")
     return report.BatchReports(rows, star.stored(spark, sf, "split_percentiles"), asked, WINDOW * 4)
 
 
@@ -438,6 +438,18 @@ def report_requests_markers(spark, sf):
     return _requests(spark, sf).markers
 
 
+@query
+def report_requests_window_stats(spark, sf):
+    # The exact mean is rounded as a decimal, half up, before it becomes a double.
+    stats = _requests(spark, sf).window_stats
+    return stats.withColumn("mean", F.round("mean", 6).cast("double"))
+
+
+@query
+def report_requests_window_bins(spark, sf):
+    return _requests(spark, sf).window_bins
+
+
 @query
 def report_requests_window_splits(spark, sf):
     return _requests(spark, sf).window_splits
