@@ -23,8 +23,9 @@ SHARD_ROWS = 50_000
 BLOCK_ROWS = 2_000
 #: Points of a leaf.
 LEAF = 48
-#: Leaves scored at one step of a query.
+#: Leaves scored at one step of a query, and queries that step together.
 STEP = 8
+QUERY_BATCH = 128
 
 ANSWER = "query_id long, vec_id long, score double, shard_rank int"
 
@@ -106,43 +107,53 @@ def search(points: pd.DataFrame, queries: pd.DataFrame, k: int, relax: float) ->
         dp = dist[:, p]
         bound[:, node] = np.maximum(bound[:, p], np.maximum(dp - hi[node], lo[node] - dp))
     leaf_bound = bound[:, leaf_nodes]
-    keep = k + 4
-    out_q, out_id, out_s, out_r = [], [], [], []
-    slack = 1e-9
-    for row in range(len(Q)):
-        q, qid = Q[row], qids[row]
-        visit = np.argsort(leaf_bound[row], kind="stable")
-        best_s = np.empty(0)
-        best_i = np.empty(0, dtype=np.int64)
-        for at in range(0, len(visit), STEP):
-            chunk = visit[at : at + STEP]
-            if len(best_s) >= keep:
-                reach = np.sqrt(max(qn[row] + top - 2.0 * best_s[keep - 1], 0.0))
-                live = leaf_bound[row, chunk] <= reach / relax * (1 + slack) + slack
-                if not live.any():
-                    break
-                chunk = chunk[live]
-            members = np.concatenate([order[ranges[c, 0] : ranges[c, 1]] for c in chunk])
-            members = members[ids[members] != qid]
-            scores = P[members] @ q
-            cand_s = np.concatenate([best_s, scores])
-            cand_i = np.concatenate([best_i, members])
-            pick = np.lexsort((ids[cand_i], -cand_s))[:keep]
-            best_s, best_i = cand_s[pick], cand_i[pick]
-        if not len(best_i):
-            continue
-        exact = inner(P[best_i], np.broadcast_to(q, (len(best_i), len(q))))
-        pick = np.lexsort((ids[best_i], -exact))[:k]
-        out_q.append(np.full(len(pick), qid))
-        out_id.append(ids[best_i[pick]])
-        out_s.append(exact[pick])
-        out_r.append(np.arange(1, len(pick) + 1))
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "shard_rank": []})
-    return pd.DataFrame({
-        "query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_id),
-        "score": np.concatenate(out_s), "shard_rank": np.concatenate(out_r).astype(np.int32),
-    })
+    # Leaves as a padded table of point numbers; ties of score go to the smaller vec_id (null last).
+    width = int((ranges[:, 1] - ranges[:, 0]).max())
+    table = np.full((len(ranges), width + 1), -1, dtype=np.int64)
+    for j, (a, b) in enumerate(ranges):
+        table[j, : b - a] = order[a:b]
+    tie = np.empty(len(ids), dtype=np.int64)
+    tie[np.lexsort((ids, pd.isna(ids)))] = np.arange(len(ids))
+    tie = np.append(tie, np.iinfo(np.int64).max)  # the padding's place, after every point
+    padded = np.vstack([P, np.zeros((1, P.shape[1]))])
+    keep, slack, pad = k + 4, 1e-9, len(P)
+    parts = []
+    for lo_q in range(0, len(Q), QUERY_BATCH):
+        rows = np.arange(lo_q, min(lo_q + QUERY_BATCH, len(Q)))
+        visit = np.argsort(leaf_bound[rows], axis=1, kind="stable")
+        best_s = np.full((len(rows), keep), -np.inf)
+        best_i = np.full((len(rows), keep), pad, dtype=np.int64)
+        for at in range(0, visit.shape[1], STEP):
+            chunk = visit[:, at : at + STEP]
+            reach = np.sqrt(np.maximum(qn[rows] + top - 2.0 * best_s[:, -1], 0.0))
+            live = np.take_along_axis(leaf_bound[rows], chunk, axis=1) <= (reach / relax * (1 + slack) + slack)[:, None]
+            if not live.any():
+                break
+            on = np.flatnonzero(live.any(axis=1))
+            members = np.where(live[on][:, :, None], table[chunk[on]], -1).reshape(len(on), -1)
+            members = np.where((members >= 0) & (ids[np.maximum(members, 0)] != qids[rows[on]][:, None]), members, pad)
+            scores = np.einsum("qd,qnd->qn", Q[rows[on]], padded[members])
+            scores[members == pad] = -np.inf
+            cand_s = np.hstack([best_s[on], scores])
+            cand_i = np.hstack([best_i[on], members])
+            pick = np.lexsort((tie[cand_i], -cand_s), axis=1)[:, :keep]
+            best_s[on] = np.take_along_axis(cand_s, pick, axis=1)
+            best_i[on] = np.take_along_axis(cand_i, pick, axis=1)
+        # Scores that are output are summed component by component, then the order is decided on them.
+        exact = np.zeros(best_i.shape)
+        for j in range(Q.shape[1]):
+            exact += Q[rows, j][:, None] * padded[best_i, j]
+        exact[best_i == pad] = -np.inf
+        pick = np.lexsort((tie[best_i], -exact), axis=1)[:, :k]
+        chosen = np.take_along_axis(best_i, pick, axis=1)
+        score = np.take_along_axis(exact, pick, axis=1)
+        real = chosen != pad
+        rank = np.cumsum(real, axis=1)
+        parts.append(pd.DataFrame({
+            "query_id": np.broadcast_to(qids[rows][:, None], chosen.shape)[real],
+            "vec_id": ids[chosen[real]], "score": score[real], "shard_rank": rank[real].astype(np.int32),
+        }))
+    return pd.concat(parts, ignore_index=True)
 
 
 def nearest(
