@@ -100,12 +100,12 @@ def near_pairs(words: DataFrame, parts: int = 1, subparts: int = 8) -> DataFrame
     Candidates share a signature and differ in length by at most one; each is checked by the edit distance.
     """
     posted = signatures(words, parts, subparts)
-    key = ["sig", "size", "digest", "key_length"]
-    left = posted.select("sig", "size", "digest", F.col("length").alias("key_length"), F.col("word").alias("a"), F.col("length").alias("la"))
-    same = posted.select("sig", "size", "digest", F.col("length").alias("key_length"), F.col("word").alias("b"), F.col("length").alias("lb"))
-    longer = posted.select("sig", "size", "digest", (F.col("length") - 1).alias("key_length"), F.col("word").alias("b"), F.col("length").alias("lb"))
-    right = same.unionByName(longer)
-    found = left.join(right, key).where((F.col("la") != F.col("lb")) | (F.col("a") < F.col("b")))
+    # Postings go once to each side; lengths within one are a condition of the pair, not a second copy of the postings.
+    key = ["sig", "size", "digest"]
+    left = posted.select(*key, F.col("word").alias("a"), F.col("length").alias("la"))
+    right = posted.select(*key, F.col("word").alias("b"), F.col("length").alias("lb"))
+    close = ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))) | (F.col("lb") == F.col("la") + 1)
+    found = left.join(right, key).where(close)
     found = found.where(F.levenshtein("a", "b", 1) == 1)
     ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return ordered.distinct()
