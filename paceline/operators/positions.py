@@ -2,7 +2,7 @@
 
 A range of places in sorted order (a window of times, say) is summarised without visiting its rows: its size is a
 difference of places, its ends and quantiles are values at places, its sum a difference of running sums. Each group's
-values are numbered once (large groups by a range sort over all tasks, see `ordering.running_total`); asked places
+values are numbered once (large groups by a range sort over all tasks, see `ordering.running_totals`); asked places
 are then an equi-join on (group, place), so no request is ever paired with the rows of its range.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_ROWS, hot_groups, running_total
+from paceline.operators.ordering import HOT_ROWS, hot_groups, running_totals
 
 #: Type of running sums: 29 digits before the point and 9 after. A double's shortest decimal form is kept; its
 #: binary noise (some 1e-12 at 30,000) is not.
@@ -28,10 +28,10 @@ def ordered_places(values: DataFrame, keys: list[str], value: str, tiebreak: str
     Columns: keys, `place`, `value`, `sum_before`, `sum_through` (that value included). Rows with equal value and tiebreak get distinct places in an
     arbitrary order among themselves, which changes no value at any place.
     """
-    slim = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"), F.col(tiebreak).alias("_tie"))
+    slim = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value"), F.col(tiebreak).alias("_order"))
     hot = hot_groups(slim, keys, hot_rows)
-    counted = running_total(slim.withColumns({"_one": F.lit(1), "_exact": F.col("value").cast(EXACT)}), keys, ["value", "_tie"], "_one", "_upto", hot)
-    summed = running_total(counted, keys, ["value", "_tie"], "_exact", "_sum", hot)
+    weighted = slim.withColumns({"_one": F.lit(1), "_exact": F.col("value").cast(EXACT)})
+    summed = running_totals(weighted, keys, ["value", "_order"], {"_upto": "_one", "_sum": "_exact"}, hot)
     return summed.select(
         *keys, (F.col("_upto") - 1).alias("place"), "value", (F.col("_sum") - F.col("_exact")).alias("sum_before"),
         F.col("_sum").alias("sum_through"),

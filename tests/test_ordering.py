@@ -168,3 +168,22 @@ def test_no_group_reaches_one_task_whole(spark):
     hot = hot_groups(df, ["g"], 100)
     plan = running_total(df, ["g"], ["v"], "w", "n", hot)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_part" in plan and pd.notna(hot.rows)
+
+
+def test_ranged_partitions_follow_rows_not_the_limit(spark, monkeypatch):
+    """A limit of one row per group made two partitions per row; ties run over several partitions here."""
+    df = spark.range(4000).select(
+        (F.col("id") % 3).cast("string").alias("g"), F.nullif(F.floor(F.col("id") / 3) % 5, F.lit(4)).cast("double").alias("v"), "id"
+    )
+    wanted, cut = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *by: wanted.append(n) or cut(self, n, *by))
+    shown = ["id", "x_rank", "x_size", "x_percentile"]
+    plain = {tuple(r) for r in rank_in_group(df, ["g"], "v", "id", "x", None).select(*shown).collect()}
+    for parts in (2, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            ranked = {tuple(r) for r in rank_in_group(df, ["g"], "v", "id", "x", 1).select(*shown).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 2)
+        assert ranked == plain
+    assert wanted == [2, 40]
