@@ -57,10 +57,15 @@ def _line(key, label, minutes):
 def segment_values(results: DataFrame, splits: DataFrame, fill: float | None = None) -> DataFrame:
     """Run and station times per result: from the split, else from the wide column, else `fill`."""
     columns = [c for c in RUN_COLUMNS + STATION_COLUMNS if has(results, c)]
-    key = F.lower(F.regexp_replace("segment", "_time_min$", ""))
-    wide = results.select("result_id", *columns).unpivot("result_id", columns, "segment", "_wide")
-    long = splits.select("result_id", plain(F.col("split_name")).alias("_key"), finite(F.col("split_time_min")).alias("_split"))
-    single = long.groupBy("result_id", "_key").agg(F.max("_split").alias("_split"))
-    joined = key_join(wide.withColumn("_key", key), single, ["result_id", "_key"], "left")
-    parts = [F.col("_split"), finite(F.col("_wide"))] + ([] if fill is None else [F.lit(float(fill))])
-    return joined.select("result_id", "segment", F.coalesce(*parts).alias("minutes"))
+    # The splits of a result become one row before they are shuffled; the wide rows are taken apart after the join.
+    key, split = plain(F.col("split_name")), finite(F.col("split_time_min"))
+    named = splits.select("result_id", key.alias("_key"), split.alias("_split"))
+    single = named.groupBy("result_id").agg(
+        *[F.max(F.when(F.col("_key") == c.removesuffix("_time_min").lower(), F.col("_split"))).alias(f"_split_{c}") for c in columns]
+    )
+    joined = key_join(results.select("result_id", *columns), single, ["result_id"], "left")
+    rest = [] if fill is None else [F.lit(float(fill))]
+    segments = [
+        F.struct(F.lit(c).alias("segment"), F.coalesce(F.col(f"_split_{c}"), finite(F.col(c)), *rest).alias("minutes")) for c in columns
+    ]
+    return joined.select("result_id", F.inline(F.array(*segments)))

@@ -414,10 +414,13 @@ def work_run_split(df: DataFrame) -> list[Column]:
 
 
 def split_time_map(splits: DataFrame) -> DataFrame:
-    """Per result a map from the plain split name to its time. Of repeated names the largest time stays."""
+    """Per result a map from the plain split name to its time. Of repeated names the largest time stays.
+
+    Splits are shuffled once, by result; both aggregations find them there.
+    """
     key, value = plain(F.col("split_name")), finite(F.col("split_time_min"))
     clean = splits.select("result_id", key.alias("_key"), value.alias("_value")).where("_key <> '' and _value is not null")
-    single = clean.groupBy("result_id", "_key").agg(F.max("_value").alias("_value"))
+    single = clean.repartition("result_id").groupBy("result_id", "_key").agg(F.max("_value").alias("_value"))
     return single.groupBy("result_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", "_value")))).alias("split_times")
     )
@@ -430,7 +433,9 @@ def run_change(results: DataFrame, splits: DataFrame | None = None) -> DataFrame
     so they are compared inside the row and nothing is shuffled but the splits.
     """
     if splits is not None:
-        results = results.join(split_time_map(splits), "result_id", "left")
+        # Only the runs that are compared are mapped.
+        paced = splits.where(plain(F.col("split_name")).isin([f"run{n}" for n in PACING_RUNS]))
+        results = results.join(split_time_map(paced), "result_id", "left")
     times = []
     for n in PACING_RUNS:
         column = f"run{n}_time_min"
