@@ -15,10 +15,11 @@ from paceline.functions.text import plain
 from paceline.operators.cohorts import demographic_cohort, pick_result, time_band, time_window_cohort, time_window_standing
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
-from paceline.operators.ordering import HOT_ROWS, count_below, local_table, rank_in_group, standing
+from paceline.operators.ordering import HOT_ROWS, count_before, count_below, local_table, rank_in_group, standing
 from paceline.operators.positions import interpolated, ordered_places, values_at
 from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
+from paceline.session import checkpointed
 
 QUANTILES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
 STORED_RANKS = ["season_rank", "season_size", "season_percentile", "overall_rank", "overall_size", "overall_percentile"]
@@ -281,7 +282,8 @@ class BatchReports:
         last = count_below(slim, high, race, "_at", self.hot_rows).select(
             "result_id", F.coalesce(F.col("below") + F.col("equal"), F.lit(0)).alias("_to")
         )
-        return timed, asked.join(first, "result_id").join(last, "result_id")
+        # Both the statistics and the bins start from here, and read it more than once.
+        return timed, checkpointed(asked.join(first, "result_id").join(last, "result_id"))
 
     @cached_property
     def window_stats(self) -> DataFrame:
@@ -327,7 +329,7 @@ class BatchReports:
         """
         race = ["location", "season"]
         timed, bounds = self._window_bounds
-        ends = self.window_stats.select("result_id", F.col("min").alias("_low"), F.col("max").alias("_high"))
+        ends = checkpointed(self.window_stats.select("result_id", F.col("min").alias("_low"), F.col("max").alias("_high")))
         width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(F.lit(1.0)) / self.n_bins
         framed = bounds.join(ends, "result_id").select(
             "result_id", *race, "_from", "_to", "_low", width.alias("_width"),
@@ -337,7 +339,8 @@ class BatchReports:
         framed = framed.withColumn("end", F.col("_low") + F.col("_width") * (F.col("bin") + 1))
         inner = framed.where(F.col("bin") > 0).select("result_id", "bin", *race, F.col("start").alias("_at"))
         slim = timed.select(*race, F.col("total_time_min").alias("_at"))
-        under = count_below(slim, inner, race, "_at", self.hot_rows).select("result_id", "bin", F.col("below").alias("_under"))
+        inner = inner.withColumn("_upto", F.lit(False))
+        under = count_before(slim, inner, race, "_at", "_under", "_upto", self.hot_rows).select("result_id", "bin", "_under")
         starts = framed.join(under, ["result_id", "bin"], "left")
         held = F.least(F.greatest(F.coalesce("_under", "_from"), "_from"), "_to")
         starts = starts.withColumn("_first", F.when(F.col("bin") == 0, F.col("_from")).otherwise(held))
@@ -382,15 +385,21 @@ class BatchReports:
         return joined.select(*ids, share.alias("split_percentile_time_window"))
 
     def _within(self, values: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-        """`requests` with `_inside`, the values of their group whose total time lies in the window."""
+        """`requests` with `_inside`, the values of their group whose total time lies in the window.
+
+        Both ends of a window travel in one sort; equal requests travel as one, and stay as many as their pairs of ends.
+        """
         slim = values.select(*keys, F.col("total_time_min").alias("_at"))
-        low = requests.withColumn("_at", F.col("total_time_min") - self.window_min)
-        high = requests.withColumn("_at", F.col("total_time_min") + self.window_min)
         ids = [*requests.columns]
-        first = count_below(slim, low, keys, "_at", self.hot_rows).select(*ids, F.col("below").alias("_from"))
-        last = count_below(slim, high, keys, "_at", self.hot_rows).select(*ids, (F.col("below") + F.col("equal")).alias("_to"))
-        met = key_join(last, first, ids)
-        return met.select(*ids, (F.coalesce("_to", F.lit(0)) - F.coalesce("_from", F.lit(0))).alias("_inside"))
+        ends = F.array(
+            F.struct((F.col("total_time_min") - self.window_min).alias("_at"), F.lit(False).alias("_upto")),
+            F.struct((F.col("total_time_min") + self.window_min).alias("_at"), F.lit(True).alias("_upto")),
+        )
+        asked = requests.groupBy(*ids).agg(F.count(F.lit(1)).cast("int").alias("_same")).select(*ids, "_same", F.inline(ends))
+        placed = count_before(slim, asked, keys, "_at", "_place", "_upto", self.hot_rows)
+        signed = F.when(F.col("_upto"), F.col("_place")).otherwise(-F.col("_place"))
+        met = placed.groupBy(*ids, "_same").agg(F.sum(F.coalesce(signed, F.lit(0))).alias("_inside"))
+        return met.withColumn("_same", F.explode(F.array_repeat(F.lit(0), F.col("_same") * F.col("_same")))).drop("_same")
 
 
 def preview(df: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from paceline.operators import ordering
 from paceline.operators.ordering import HOT_ROWS
 from paceline.plans import compare, derived, report
 from paceline.schema import COHORT_KEYS
@@ -73,3 +74,18 @@ def test_a_table_is_written_without_a_shuffle(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(stages) == 1
     assert read_table(spark, str(tmp_path), "race_results").count() == 40
+
+
+def test_count_before_shuffles_probes_once(spark):
+    """Against pairing; a null probe, a group without values, repeated probes, both ways of ordering."""
+    data = [(g, float(v)) for g, v in [("a", 1), ("a", 2), ("a", 2), ("a", 5), ("b", 3), (None, 4)]]
+    values = spark.createDataFrame([*data, ("a", None)], "g string, v double")
+    asked = [(1, "a", 2.0, False), (2, "a", 2.0, True), (3, "a", 2.0, True), (4, "c", 9.0, True), (5, None, 4.0, True), (6, "a", None, True), (7, "b", 0.0, False)]
+    probes = spark.createDataFrame(asked, "id int, g string, v double, upto boolean")
+    for limit in (None, 1):
+        found = ordering.count_before(values, probes, ["g"], "v", "n", "upto", limit)
+        assert sorted(tuple(r) for r in found.select("id", "n").collect()) == sorted(
+            (i, None if v is None else sum(h == g and (w <= v if up else w < v) for h, w in data)) for i, g, v, up in asked
+        )
+    plan = plan_of(ordering.count_before(values, probes, ["g"], "v", "n", "upto", None))
+    assert "Join" not in plan and plan.count("Exchange") == 2
