@@ -9,7 +9,7 @@ import __spark_entry__
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in QUERIES if name != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in QUERIES if name != "pipeline"}
     assert set(SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "exact_dedup", "near_dedup", "packing"]
 
