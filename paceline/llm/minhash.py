@@ -197,33 +197,82 @@ def confirmed(pairs: DataFrame, signs: DataFrame, sets: DataFrame, matches: int,
     return held.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def open_pairs(lists: DataFrame, sets: DataFrame, rare: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of open lists that lie in different components and may be similar.
+def spokes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of each list beside the list's leader, once per leader: `apart` are the shingles that only one of the two
+    holds, `near` says whether they are similar.
+
+    The leader is the member that can have the largest partners, so the lists of a group share a few of them.
+    """
+    order = F.struct((-F.col("high_common")).alias("first"), F.xxhash64("node").alias("order"), "node", "comp", "n_shingles")
+    named = rows.groupBy("token").agg(F.min(order).alias("lead"))
+    lead = (F.col("lead.node").alias("leader"), F.col("lead.comp").alias("lead_comp"), F.col("lead.n_shingles").alias("n_lead"))
+    beside = rows.join(named, "token").where("node != lead.node").select("node", "comp", "n_shingles", "high_common", *lead).distinct()
+    leading = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("led"))
+    both = beside.join(sets.select("node", "shingles"), "node").join(leading, "leader")
+    apart = F.concat(F.array_except("shingles", "led"), F.array_except("led", "shingles"))
+    found = both.withColumn("apart", apart).withColumn("d", F.size("apart").cast("long")).drop("shingles", "led")
+    return found.withColumn("near", F.col("d") * (100 + percent) <= (F.col("n_shingles") + F.col("n_lead")) * (100 - percent))
+
+
+def pairs_beside_leaders(found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of spokes of one leader, not both near it, that may be similar.
+
+    With d shingles between a class of n and the leader, two classes are similar if they agree in x of these differences,
+    2x >= d + d' - q * (n + n') for q = (100 - percent) / (100 + percent). As one of them is not near the leader, its d is
+    above q times the shingles of both; so x exceeds half of the other's d + q * (n_leader - n). Independent changes to one
+    text do not agree so far. In order of frequency the first agreement stands among the first d - x + 1 differences of
+    that other class, and both have to have x left from there on.
+    """
+    up, down = 100 + percent, 100 - percent
+    items = found.select("leader", "node", F.explode("apart").alias("item"))
+    shared = written(items.groupBy("leader", "item").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-differences")
+    held = items.join(shared, ["leader", "item"]).groupBy("leader", "node").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("held"))
+    # Differences of one class alone come first, they are only counted.
+    placed = found.drop("apart").join(held, ["leader", "node"]).withColumn("single", F.col("d") - F.size("held"))
+    placed = placed.select("*", F.posexplode(F.col("held.item")).alias("pos", "item"))
+    left = F.col("d") - F.col("single") - F.col("pos")
+    least = F.floor((F.col("d") * up + (F.col("n_lead") - F.col("n_shingles")) * down) / (2 * up)) + 1
+    rows = ("leader", "item", "node", "comp", "n_shingles", "high_common", "d", "near", left.alias("left"))
+    placed = written(placed.select(*rows, (left >= least).alias("early")), "differences")
+    x, y = placed.where("not near").alias("x"), placed.where("early").alias("y")
+    same = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.item") == F.col("y.item"))
+    other = F.when(F.col("y.near"), F.col("x.comp") != F.col("y.comp")).otherwise(F.col("x.comp") < F.col("y.comp"))
+    fits = (F.col("x.n_shingles") <= F.col("y.high_common")) & (F.col("y.n_shingles") <= F.col("x.high_common"))
+    needed = (F.col("x.d") + F.col("y.d")) * up - (F.col("x.n_shingles") + F.col("y.n_shingles")) * down
+    pairs = x.join(y, same & other & fits & (F.least("x.left", "y.left") * (2 * up) >= needed))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def open_pairs(lists: DataFrame, sets: DataFrame, rare: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of open lists that lie in different components and may be similar, and those known to be.
 
     Either two classes share a shingle that at most `rare` open classes hold: then the short list of that shingle
     brings them together. Or they share none: then such shingles do not count for what they can have in common, which
-    leaves few members of a large group of near copies, and these meet in their common lists.
+    leaves few members of a large group of near copies. Each list of these names a leader again. A member near it is
+    linked to it; a pair with a member that is not must share differences from it, see `pairs_beside_leaders`.
     """
     nodes = lists.select("node", "comp", "n_shingles", "high").distinct()
     held = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    seldom = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare), "rare-shingles")
+    seldom = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare)
     held = written(held.join(seldom, "shingle"), "rare-holders")
     few = held.groupBy("node").agg(F.count(F.lit(1)).alias("n_rare"))
     common = F.col("n_shingles") - F.coalesce("n_rare", F.lit(0))
     nodes = nodes.join(few, "node", "left").withColumn("high_common", F.floor(common * (100 + percent) / percent - F.col("n_shingles")))
     nodes = written(nodes, "open-nodes")
 
-    def met(rows: DataFrame, key: str, bound: str) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        fits = (F.col("x.n_shingles") <= F.col(f"y.{bound}")) & (F.col("y.n_shingles") <= F.col(f"x.{bound}"))
-        pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.comp") < F.col("y.comp")) & fits)
-        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    seldom = held.where("n > 1").join(nodes, "node")
+    x, y = seldom.alias("x"), seldom.alias("y")
+    fits = (F.col("x.n_shingles") <= F.col("y.high")) & (F.col("y.n_shingles") <= F.col("x.high"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & fits)
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     able = nodes.where(F.col("high_common") * 100 >= F.col("n_shingles") * percent)
     rows = lists.select("token", "node").join(able, "node")
     ends = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.min("n_shingles").alias("least"))
     rows = rows.join(ends.where("low < top"), "token").where(F.col("least") <= F.col("high_common"))
-    return met(rows, "token", "high_common").union(met(held.where("n > 1").join(nodes, "node"), "shingle", "high")).distinct()
+    found = written(spokes(rows, sets, percent), "spokes")
+    linked = found.where("near and comp != lead_comp").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return met.union(pairs_beside_leaders(found, percent)).distinct(), linked
 
 
 def merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,8 +350,9 @@ def near_dedup(
     lists = lists.join(written(open_lists.where("low < top").select("token", "least"), "open-lists"), "token")
     lists = written(lists.where("least <= high").drop("least"), "open-postings")
     if not lists.isEmpty():
-        pairs = written(open_pairs(lists, sets, rare, percent), "open-pairs")
-        members = merged(members, confirmed(pairs, signs, sets, matches, percent))
+        pairs, linked = open_pairs(lists, sets, rare, percent)
+        pairs = written(pairs, "open-pairs")
+        members = merged(members, confirmed(pairs, signs, sets, matches, percent).union(linked))
 
     firsts = classes.select("node", "digest", F.col("first.doc_id").alias("first_id")).join(members, "node", "left")
     firsts = written(firsts.withColumn("comp", F.coalesce("comp", "node")), "class-components")

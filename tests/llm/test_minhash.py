@@ -6,7 +6,8 @@ import edges
 import pyarrow as pa
 import pytest
 
-from paceline.llm.common import texts_of
+from paceline.llm import minhash
+from paceline.llm.common import texts_of, written
 from paceline.llm.graph import components
 from paceline.llm.minhash import near_dedup, shingle_sets
 
@@ -83,6 +84,36 @@ def test_family(spark, family, rounds, rare):
     agrees(spark, family, rounds=rounds, rare=rare)
 
 
+def test_no_pairs_in_a_group_of_near_copies(spark, monkeypatch):
+    """Copies just too unlike the most faithful ones are not paired with all others of their group."""
+    rng = random.Random(11)
+    base = [f"v{k}" for k in range(150)]
+    spots = list(range(2, 146, 6))
+
+    def copy(n):
+        words = list(base)
+        for at in rng.sample(spots, n):
+            words[at] = f"w{rng.randrange(10**6)}"
+        return words
+
+    texts = [copy(1) for _ in range(150)]
+    # Like the base itself, which is not there, but one change too many for its copies.
+    strays = [copy(4) for _ in range(60)]
+    # Strays of a kind: linked to each other through what they share.
+    strays += [[*s[:70], f"x{k}", *s[71:]] for k, s in enumerate(strays[:8])]
+    rows = [(k, " ".join(t), None, None, None) for k, t in enumerate(texts + strays)]
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    agrees(spark, rows, rounds=1, rare=4)
+    assert sizes["open-pairs"] < 10 * len(rows)
+
+
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text, None, None, None) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     agrees(spark, rows, size=5)
