@@ -59,6 +59,44 @@ def test_segment_values_join_before_rows_are_taken_apart(spark):
     assert values[3, "run2_time_min"] == 3.0 and values[3, "skiErg_time_min"] == 0.0
 
 
+def test_compare_results_partitions_follow_the_rows(spark):
+    """Against a dictionary, as a short list of pairs and as a long one; ids missing, null, repeated, names spelt twice, blank or null."""
+    results = [(i, float(i), 10.0 + i, None if i % 4 == 0 else 1.0) for i in range(40)] + [(3, 99.0, None, None), (None, 5.0, 5.0, 5.0)]
+    spelt = ["Run 1", "run_1", "SkiErg", " ", None]
+    splits = [(i, spelt[k], None if i % 7 == 0 else i + k / 8) for i in range(45) for k in range(5) if (i + k) % 3] + [(None, "Run 1", 1.0)]
+    pairs = [(i, i, i + 3) for i in range(0, 60, 2)] + [(4, 9, 9), (None, 1, 2), (None, 5, None), (7, None, 80)]
+    tables = (
+        spark.createDataFrame(results, "result_id long, total_time_min double, run_time_min double, roxzone_time_min double"),
+        spark.createDataFrame(splits, "result_id long, split_name string, split_time_min double"),
+        spark.createDataFrame(pairs, "pair_id long, base_id long, other_id long"),
+    )
+    wanted = {}
+    for pair, *ends in pairs:
+        for side, end in enumerate(ends):
+            lines = [line for i, total, run, rox in results if i == end is not None for line in (
+                ("total_time", "Total time", total), ("run_roxzone", "Run + Roxzone", None if None in (run, rox) else run + rox),
+            )]
+            plain = {name: "".join(c for c in (name or "").lower() if c.isalnum()) for name in spelt}
+            lines += [(f"split-{plain[name]}", name, m) for i, name, m in splits if i == end is not None and plain[name]]
+            for key, label, minutes in lines:
+                wanted.setdefault((pair, key), [([], []), ([], [])])
+                wanted[pair, key][side][0].append(label)
+                wanted[pair, key][side][1].extend([] if minutes is None else [minutes])
+    rows = set()
+    for (pair, key), ((labels, mine), (other_labels, theirs)) in wanted.items():
+        a, b = max(mine, default=None), max(theirs, default=None)
+        rows.add((pair, key, max(labels or other_labels), a, b, None if None in (a, b) else a - b))
+    long = compare.compare_results(*tables, task_rows=100, short_list=0)
+    for found in (compare.compare_results(*tables), long):
+        shown = [tuple(r) for r in found.select("pair_id", "key", "label", "primary_value", "compare_value", "delta").collect()]
+        assert len(shown) == len(rows) and set(shown) == rows
+    # The session has 2 shuffle partitions, a task of the join gets 100 rows; names are made plain above the join.
+    plan = plan_of(long)
+    parts = -(-(len(results) + len(splits) + compare.LINES * 2 * len(pairs)) // 100)
+    assert parts > 2 and plan.count(f", {parts}), REPARTITION_BY_NUM") == 4 and "Broadcast" not in plan
+    assert plan.index("regexp_replace") < plan.rindex("Join") and plan.count("Exchange hashpartitioning(result_id") == 4
+
+
 def test_times_are_summed_in_whole_numbers(spark, sf):
     # A sum of decimals carries a flag beside each wide number.
     assert "isEmpty" not in plan_of(star.times(spark, sf))
