@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from paceline.functions.text import plain
 from paceline.operators.cohorts import demographic_cohort, pick_result, time_band, time_window_cohort, time_window_standing
 from paceline.operators.filters import believable, given, has
 from paceline.operators.joins import key_condition, key_join
-from paceline.operators.ordering import HOT_ROWS, count_before, count_below, local_table, rank_in_group, standing
+from paceline.operators.ordering import HOT_ROWS, HotGroups, count_before, count_below, hot_groups, local_table, rank_in_group, standing
 from paceline.operators.positions import interpolated, ordered_places, values_at
 from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
+from paceline.operators.windows import PACKED_ROWS, window_faster
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 from paceline.session import checkpointed
 
@@ -223,13 +224,18 @@ class BatchReports:
 
     `requests` is a table of result ids. Numbers of a demographic cohort are computed once per cohort and joined by its
     keys; numbers of a time window are differences of positions in sorted order. No two results are ever paired.
+
+    Time windows of a race (for splits, of a race and split name) with up to `packed_rows` rows are answered in one task from
+    its rows, which are shuffled once (`operators/windows.py`). Requests in larger ones, and ids that several
+    results carry, go the way of range sorts over all tasks; so do all with `packed_rows=0`. Both ways give the same rows.
     """
 
     def __init__(
         self, results: DataFrame, splits: DataFrame, requests: DataFrame, window_min: float = 5.0, n_bins: int = DEFAULT_BINS,
-        hot_rows: int = HOT_ROWS,
+        hot_rows: int = HOT_ROWS, packed_rows: int = PACKED_ROWS,
     ):
         self.results, self.splits, self.window_min, self.n_bins, self.hot_rows = results, splits, float(window_min), n_bins, hot_rows
+        self.packed_rows = packed_rows
         self.requests = requests.select("result_id").distinct()
         self.picked = results.join(self.requests, "result_id", "left_semi").select("result_id", *COHORT_KEYS, "total_time_min")
 
@@ -267,6 +273,35 @@ class BatchReports:
         near = time_window_standing(here, self.window_min, race, hot_rows=self.hot_rows)
         return cohort.join(near.select("result_id", "window_size", "window_percentile"), "result_id", "left")
 
+    @cached_property
+    def _repeated(self) -> HotGroups | None:
+        """Ids that several results carry."""
+        return hot_groups(self.results.where(F.col("result_id").isNotNull()), ["result_id"], 1)
+
+    @cached_property
+    def _asked_races(self) -> tuple[DataFrame, bool]:
+        return bounded(self.picked.select("location", "season").distinct())
+
+    def _of_asked_races(self, rows: DataFrame) -> DataFrame:
+        races, short = self._asked_races
+        return key_join(rows, races, ["location", "season"], "left_semi", broadcast=short)
+
+    def _shared_out(self, crowded: HotGroups | None, repeated: HotGroups | None) -> tuple[DataFrame, BatchReports | None]:
+        """Requests that tasks answer from whole groups, and the report of the others: those in races with a group in
+        `crowded`, and `repeated` ids."""
+        race = ["location", "season"]
+        others = []
+        if repeated is not None:
+            others.append(self.requests.join(repeated.table, "result_id", "left_semi"))
+        if crowded is not None:
+            here = key_join(self.picked, crowded.table.select(*race).distinct(), race, "left_semi")
+            others.append(here.select("result_id"))
+        if not others:
+            return self.requests, None
+        rest = checkpointed(reduce(DataFrame.unionByName, others).distinct())
+        report = BatchReports(self.results, self.splits, rest, self.window_min, self.n_bins, self.hot_rows, packed_rows=0)
+        return self.requests.join(rest, "result_id", "left_anti"), report
+
     @cached_property
     def _window_bounds(self) -> tuple[DataFrame, DataFrame]:
         """Timed results of the asked races, and each timed request with `_from` and `_to`: the places of its time
@@ -311,13 +346,7 @@ class BatchReports:
             F.max(F.when(F.col("name") == "max", F.col("sum_through"))).alias("_sum_to"),
         )
         out = bounds.select("result_id", n.alias("count")).join(got, "result_id")
-        # Typed so that the quotient keeps 19 places: rounding it later to fewer is then rounding once.
-        mean = ((F.col("_sum_to") - F.col("_sum_from")).cast("decimal(28,9)") / F.col("count").cast("decimal(9,0)")).alias("mean")
-        quantiles = [
-            interpolated((F.col("count") - 1) * F.lit(share), F.col(f"{name}_lo"), F.col(f"{name}_hi")).alias(name)
-            for name, share in QUANTILES.items()
-        ]
-        return out.select("result_id", "count", "min", "max", mean, *quantiles)
+        return _seven_numbers(out, F.col("_sum_to") - F.col("_sum_from"))
 
     @cached_property
     def window_bins(self) -> DataFrame:
@@ -353,6 +382,31 @@ class BatchReports:
     def window_splits(self) -> DataFrame:
         """Each split of a request with its standing among the same split of its time window.
 
+        Splits meet their results' races and totals by result, and go to the task of their race and name.
+        """
+        if not self.packed_rows:
+            return self._ranged_window_splits
+        race = ["location", "season"]
+        people = self._of_asked_races(self.results.select("result_id", *race, "total_time_min"))
+        timed = people.where(F.col("total_time_min").isNotNull()).select("result_id", *race)
+        named = self.splits.where(F.col("split_time_min").isNotNull()).select("result_id", "split_name")
+        # If each result is there once, no group is larger than the rows of its split name.
+        crowded = self._repeated or hot_groups(named, ["split_name"], self.packed_rows)
+        if crowded is not None:
+            crowded = hot_groups(named.join(timed, "result_id"), [*race, "split_name"], self.packed_rows)
+        plain, others = self._shared_out(crowded, self._repeated)
+        known = people.join(plain.withColumn("_asked", F.lit(True)), "result_id", "full")
+        rows = self.splits.select("result_id", "split_name", "split_time_min").join(known, "result_id")
+        rows = rows.where("_asked or (total_time_min is not null and split_time_min is not null)")
+        found = window_faster(rows, [*race, "split_name"], "total_time_min", "split_time_min", self.window_min)
+        share = standing(F.col("_below"), F.col("_n")).alias("split_percentile_time_window")
+        standings = found.select("result_id", "split_name", "split_time_min", share)
+        return standings if others is None else standings.unionByName(others.window_splits)
+
+    @cached_property
+    def _ranged_window_splits(self) -> DataFrame:
+        """Window splits over range-sorted groups.
+
         Two orders meet here: the window is a range of total times, the faster ones are the first few by split time.
         Splits of a race are ranked by their time, and each is filed under the blocks of 1, 2, 4, 8, ... ranks it lies
         in. The ranks before a request's split are a handful of such blocks, one per bit of their number; inside a block
@@ -402,6 +456,17 @@ class BatchReports:
         return met.withColumn("_same", F.explode(F.array_repeat(F.lit(0), F.col("_same") * F.col("_same")))).drop("_same")
 
 
+def _seven_numbers(found: DataFrame, total: Column) -> DataFrame:
+    """The numbers of windows from their counts, ends, sums and the values beside their quantiles' positions."""
+    # Typed so that the quotient keeps 19 places: rounding it later to fewer is then rounding once.
+    mean = (total.cast("decimal(28,9)") / F.col("count").cast("decimal(9,0)")).alias("mean")
+    quantiles = [
+        interpolated((F.col("count") - 1) * F.lit(share), F.col(f"{name}_lo"), F.col(f"{name}_hi")).alias(name)
+        for name, share in QUANTILES.items()
+    ]
+    return found.select("result_id", "count", "min", "max", mean, *quantiles)
+
+
 def preview(df: DataFrame, order: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """The first rows and the full row count."""
     rows = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(int(limit))

@@ -127,3 +127,48 @@ def test_count_before_shuffles_probes_once(spark):
         )
     plan = plan_of(ordering.count_before(values, probes, ["g"], "v", "n", "upto", None))
     assert "Join" not in plan and plan.count("Exchange") == 2
+
+
+def batch_tables(spark):
+    """Results with ties, a null time, null keys, ids that come twice; splits that repeat, lack a time, a name or a result."""
+    results = [(i, "oslo" if i % 3 else None, 4 if i % 4 else None, None if i % 11 == 0 else 30.0 + (i * 7) % 13) for i in range(40)]
+    results += [(50, "oslo", 4, 35.5), (50, "oslo", 4, 35.5), (51, "oslo", 4, 33.0), (51, "graz", 4, 34.0), (None, "oslo", 4, 36.0)]
+    names = ["run1", "skiErg", None]
+    splits = [(i, names[k], None if (i + k) % 9 == 0 else float((i * 5 + k) % 6)) for i in [*range(44), 50, 51] for k in range(3) if (i + k) % 4]
+    splits += [(5, "run1", 4.25), (5, "run1", 4.25), (6, "run1", float("nan")), (None, "run1", 1.0)]
+    return (
+        spark.createDataFrame([(i, s, p, "solo", "F", "25-29", t) for i, p, s, t in results], "result_id long, season int, location string, division string, gender string, age_group string, total_time_min double"),
+        spark.createDataFrame(splits, "result_id long, split_name string, split_time_min double"),
+        results,
+        splits,
+    )
+
+
+def both_ways(spark, part, once=False, **options):
+    """`part` of a report of three quarters of the results: small groups in tasks, and over range sorts only; and all groups in tasks, of ids that come once."""
+    results, splits, _, _ = batch_tables(spark)
+    asked = spark.createDataFrame([(i,) for i in [*range(60), None] if i is None or i % 4 != 1 or i in (5, 50, 51)], "result_id long")
+    found = []
+    for limit in (9, 0):
+        batch = report.BatchReports(results.where("result_id < 50") if once else results, splits, asked, 3.0, packed_rows=limit, **options)
+        found.append(sorted(str(tuple(r)) for r in getattr(batch, part).collect()))
+    plain = report.BatchReports(results.where("result_id < 50"), splits, asked, 3.0, **options)
+    return found, getattr(plain, part)
+
+
+def test_window_splits_shuffle_each_split_twice(spark):
+    """By result and by group, never under blocks of ranks; against pairs, and the same as over range sorts."""
+    found, plain = both_ways(spark, "window_splits")
+    assert found[0] == found[1] and len(found[0]) > 80
+    _, _, results, splits = batch_tables(spark)
+    known = {i: (place, season, t) for i, place, season, t in results if i is not None and i < 50}
+    rows = [(known[i][:2], name, known[i][2], s) for i, name, s in splits if i in known and s is not None and known[i][2] is not None]
+    for row in plain.where("result_id <> 5").collect():
+        race, t, s = known.get(row.result_id, (0, 0, None))[:2], known.get(row.result_id, (0, 0, None))[2], row.split_time_min
+        near = [w for r, name, u, w in rows if (r, name) == (race, row.split_name) and t is not None and s is not None and abs(u - t) <= 3]
+        faster = sum(w < s or (s != s and w == w) for w in near)
+        wanted = None if not near else 1.0 if len(near) == 1 else 1 - faster / (len(near) - 1)
+        assert row.split_percentile_time_window == wanted, row
+    plan = plan_of(plain)
+    assert "Generate" not in plan and "Window" not in plan
+    assert plan.count("Exchange hashpartitioning(location") == 1
