@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A group with more rows than this is not given to a single task. A row takes about 100 bytes there, 200 with its bins.
 PACKED_ROWS = 4_000_000
+#: Requests whose bins are worked out together.
+_BLOCK = 65_536
 
 
 class _Ordered:
@@ -31,6 +33,10 @@ class _Ordered:
         self.first = np.searchsorted(self.values, own - half, side="left")
         self.end = np.searchsorted(self.values, own + half, side="right")
 
+    def keep(self, chosen: np.ndarray) -> None:
+        """Only these of the requests."""
+        self.rows, self.first, self.end = self.rows[chosen], self.first[chosen], self.end[chosen]
+
     def at(self, places: np.ndarray) -> np.ndarray:
         return self.values[np.clip(places, 0, len(self.values) - 1)]
 
@@ -39,6 +45,36 @@ def _asked_column(df: DataFrame) -> DataFrame:
     return df.withColumn("_asked", F.coalesce("_asked", F.lit(False)))
 
 
+def window_histograms(rows: DataFrame, keys: list[str], value: str, half: float, bins: int) -> DataFrame:
+    """Per request the histogram of the values of its group within `half` of its own: `_low`, `_width` and `_counts`, one
+    number per bin. Edges are equal steps between the window's ends; a value lies in the bin whose start it reaches and
+    whose end it is under, the largest in the last one. Requests of a group with equal id and value have one histogram."""
+    id_ = rows.schema["result_id"].dataType.simpleString()
+    placed = _asked_column(rows.select("result_id", *keys, F.col(value).cast("double").alias("_at"), "_asked"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        ids = table.column("result_id").combine_chunks()
+        group = _Ordered(table, half)
+        group.keep(_first_of(ids.take(pa.array(group.rows)), table.column("_at").to_numpy()[group.rows]))
+        names = ["result_id", "_low", "_width", "_counts"]
+        blocks = []
+        for start in range(0, max(len(group.rows), 1), _BLOCK):
+            part = slice(start, start + _BLOCK)
+            first, end = group.first[part, None], group.end[part, None]
+            low, high = group.at(first[:, 0]), group.at(end[:, 0] - 1)
+            wider = (high > low) | (np.isnan(high) & ~np.isnan(low))
+            width = np.where(wider, high - low, 1.0) / bins
+            edges = low[:, None] + width[:, None] * np.arange(1, bins)
+            under = np.clip(np.searchsorted(group.values, edges, side="left"), first, end)
+            counts = np.diff(np.hstack((first, under, end)), axis=1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * bins, pa.array(counts.ravel()))
+            columns = [ids.take(pa.array(group.rows[part])), pa.array(low), pa.array(width), lists]
+            blocks.append(pa.RecordBatch.from_arrays(columns, names=names))
+        return pa.Table.from_batches(blocks)
+
+    return placed.groupBy(*keys).applyInArrow(answer, f"result_id {id_}, _low double, _width double, _counts array<int>")
+
+
 def window_faster(rows: DataFrame, keys: list[str], window: str, value: str, half: float) -> DataFrame:
     """Per request the rows of its group whose `window` lies within `half` of its own (`_n`), and how many of these have a
     smaller `value` (`_below`). A row without either is no member, and as a request gets nulls.
@@ -115,3 +151,9 @@ def _times(ids: pa.Array, values: np.ndarray) -> np.ndarray:
         return np.ones(len(ids), dtype=np.int64)
     _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
     return counts[inverse]
+
+
+def _first_of(ids: pa.Array, values: np.ndarray) -> np.ndarray:
+    """The first place of each pair of id and value, in order."""
+    pairs = _pairs(ids, values)
+    return np.arange(len(ids)) if pairs is None else np.sort(np.unique(pairs, return_index=True)[1])

@@ -18,7 +18,7 @@ from paceline.operators.joins import key_condition, key_join
 from paceline.operators.ordering import HOT_ROWS, HotGroups, count_before, count_below, hot_groups, local_table, rank_in_group, standing
 from paceline.operators.positions import interpolated, ordered_places, values_at
 from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
-from paceline.operators.windows import PACKED_ROWS, window_faster
+from paceline.operators.windows import PACKED_ROWS, window_faster, window_histograms
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 from paceline.session import checkpointed
 
@@ -226,7 +226,7 @@ class BatchReports:
     keys; numbers of a time window are differences of positions in sorted order. No two results are ever paired.
 
     Time windows of a race (for splits, of a race and split name) with up to `packed_rows` rows are answered in one task from
-    its rows, which are shuffled once (`operators/windows.py`). Requests in larger ones, and ids that several
+    its rows, which are shuffled once (`operators/windows.py`). Requests in larger ones, and (but for bins) ids that several
     results carry, go the way of range sorts over all tasks; so do all with `packed_rows=0`. Both ways give the same rows.
     """
 
@@ -302,6 +302,20 @@ class BatchReports:
         report = BatchReports(self.results, self.splits, rest, self.window_min, self.n_bins, self.hot_rows, packed_rows=0)
         return self.requests.join(rest, "result_id", "left_anti"), report
 
+    @cached_property
+    def _timed_races(self) -> tuple[DataFrame, HotGroups | None]:
+        """Timed results of the asked races, and which of these no task can hold."""
+        race = ["location", "season"]
+        timed = self.results.where(F.col("total_time_min").isNotNull()).select("result_id", *race, "total_time_min")
+        timed = self._of_asked_races(timed)
+        return timed, hot_groups(timed, race, self.packed_rows)
+
+    def _race_windows(self, repeated: HotGroups | None) -> tuple[DataFrame, BatchReports | None]:
+        """Timed results of the asked races, with `_asked` where a task answers the request; and the report of the others."""
+        timed, crowded = self._timed_races
+        plain, others = self._shared_out(crowded, repeated)
+        return timed.join(plain.withColumn("_asked", F.lit(True)), "result_id", "left"), others
+
     @cached_property
     def _window_bounds(self) -> tuple[DataFrame, DataFrame]:
         """Timed results of the asked races, and each timed request with `_from` and `_to`: the places of its time
@@ -355,7 +369,19 @@ class BatchReports:
         Edges are equal steps from the window's fastest to its slowest time (a step of 1/bins if they are equal); a
         time belongs to the bin whose start it reaches and whose end it is under, the slowest to the last bin. Each
         count is a difference of places: the race's times under one edge and under the next, held to the window.
+        Results with equal id, race and time share one histogram.
         """
+        if not self.packed_rows:
+            return self._ranged_window_bins
+        rows, others = self._race_windows(None)
+        found = window_histograms(rows, ["location", "season"], "total_time_min", self.window_min, self.n_bins)
+        listed = found.select("result_id", "_low", "_width", F.posexplode("_counts").alias("bin", "count"))
+        edge = [F.col("_low") + F.col("_width") * F.col("bin"), F.col("_low") + F.col("_width") * (F.col("bin") + 1)]
+        bins = listed.select("result_id", "bin", edge[0].alias("start"), edge[1].alias("end"), F.col("count").cast("long").alias("count"))
+        return bins if others is None else bins.unionByName(others.window_bins)
+
+    @cached_property
+    def _ranged_window_bins(self) -> DataFrame:
         race = ["location", "season"]
         timed, bounds = self._window_bounds
         ends = checkpointed(self.window_stats.select("result_id", F.col("min").alias("_low"), F.col("max").alias("_high")))

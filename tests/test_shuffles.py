@@ -172,3 +172,31 @@ def test_window_splits_shuffle_each_split_twice(spark):
     plan = plan_of(plain)
     assert "Generate" not in plan and "Window" not in plan
     assert plan.count("Exchange hashpartitioning(location") == 1
+
+
+def test_window_bins_look_edges_up_in_tasks(spark):
+    """Bins are no rows of a shuffle; counted from pairs, and the same as over range sorts."""
+    found, plain = both_ways(spark, "window_bins", once=True, n_bins=5)
+    plan = plan_of(plain)
+    assert plan.count("Exchange hashpartitioning(location") == 1 and "Window" not in plan
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    assert found[0] == found[1] and len(found[0]) > 100
+    _, _, results, _ = batch_tables(spark)
+    rows = {i: (place, season, t) for i, place, season, t in results if i is not None and i < 50 and t is not None}
+    bins = {}
+    for r in plain.collect():
+        bins.setdefault(r.result_id, []).append((r.bin, r.start, r.end, r["count"]))
+    assert set(bins) == {i for i in rows if i % 4 != 1 or i == 5}
+    for i, got in bins.items():
+        near = [t for *race, t in rows.values() if race == [*rows[i][:2]] and abs(t - rows[i][2]) <= 3]
+        step = (max(near) - min(near) or 1.0) / 5
+        edges = [min(near) + step * k for k in range(6)]
+        counts = [sum(edges[k] <= t and (k == 4 or t < edges[k + 1]) for t in near) for k in range(5)]
+        assert sorted(got) == [(k, edges[k], edges[k + 1], counts[k]) for k in range(5)]
+    # Ids that come twice: the same result is one request, another result another one.
+    tables = batch_tables(spark)
+    twice = report.BatchReports(*tables[:2], tables[0].select("result_id"), 3.0, n_bins=5).window_bins.where("result_id >= 50")
+    counts = {}
+    for r in twice.collect():
+        counts.setdefault((r.result_id, r.start if r.bin == 0 else None), []).append(r["count"])
+    assert [len(counts[i, None]) for i in (50, 51)] == [4, 8] and len(counts) == 5
