@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.operators.positions import EXACT
+
 #: A group with more rows than this is not given to a single task. A row takes about 100 bytes there, 200 with its bins.
 PACKED_ROWS = 4_000_000
 #: Requests whose bins are worked out together.
@@ -45,6 +47,45 @@ def _asked_column(df: DataFrame) -> DataFrame:
     return df.withColumn("_asked", F.coalesce("_asked", F.lit(False)))
 
 
+def window_numbers(rows: DataFrame, keys: list[str], value: str, half: float, shares: dict[str, float]) -> DataFrame:
+    """Per request the `count`, `min`, `max` and exact sum (`_sum`, EXACT) of the values of its group that lie within `half`
+    of its own, ends included, and for each quantile the values below and above its position (`<name>_lo`, `<name>_hi`)."""
+    id_ = rows.schema["result_id"].dataType.simpleString()
+    names = [f"{name}_{end}" for name in shares for end in ("lo", "hi")]
+    # The decimals are made after the shuffle, which they would widen.
+    placed = _asked_column(rows.select("result_id", *keys, F.col(value).cast("double").alias("_at"), "_asked"))
+    placed = placed.repartition(*keys).withColumn("_exact", F.col("_at").cast(EXACT))
+
+    def answer(table: pa.Table) -> pa.Table:
+        group = _Ordered(table, half)
+        n = group.end - group.first
+        columns = [table.column("result_id").take(pa.array(group.rows)), pa.array(n), pa.array(group.at(group.first)), pa.array(group.at(group.end - 1))]
+        columns.append(_range_sums(table.column("_exact"), group))
+        for share in shares.values():
+            position = (n - 1) * share
+            for end in (np.floor(position), np.ceil(position)):
+                columns.append(pa.array(group.at(group.first + end.astype(np.int64))))
+        return pa.table(columns, names=["result_id", "count", "min", "max", "_sum", *names])
+
+    fields = ["count bigint", "min double", "max double", f"_sum {EXACT}", *[f"{name} double" for name in names]]
+    return placed.groupBy(*keys).applyInArrow(answer, f"result_id {id_}, {', '.join(fields)}")
+
+
+def _range_sums(exact: pa.ChunkedArray, group: _Ordered) -> pa.Array:
+    """The exact sum of each window: running sums of the decimals' 32-bit limbs, carried at the end."""
+    exact = exact.combine_chunks()
+    limbs = np.frombuffer(exact.buffers()[1], dtype="<u4", count=4 * len(exact), offset=16 * exact.offset).reshape(-1, 4)
+    found = np.empty((len(group.rows), 4), dtype="<u4")
+    carry = np.zeros(len(group.rows), dtype=np.int64)
+    for k in range(4):
+        limb = limbs[group.order, k]
+        sums = np.concatenate(([0], np.cumsum(limb.view("<i4") if k == 3 else limb, dtype=np.int64)))
+        carry += sums[group.end] - sums[group.first]
+        found[:, k] = carry & 0xFFFFFFFF
+        carry >>= 32
+    return pa.Array.from_buffers(exact.type, len(found), [None, pa.py_buffer(found.tobytes())])
+
+
 def window_histograms(rows: DataFrame, keys: list[str], value: str, half: float, bins: int) -> DataFrame:
     """Per request the histogram of the values of its group within `half` of its own: `_low`, `_width` and `_counts`, one
     number per bin. Edges are equal steps between the window's ends; a value lies in the bin whose start it reaches and

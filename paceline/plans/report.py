@@ -18,7 +18,7 @@ from paceline.operators.joins import key_condition, key_join
 from paceline.operators.ordering import HOT_ROWS, HotGroups, count_before, count_below, hot_groups, local_table, rank_in_group, standing
 from paceline.operators.positions import interpolated, ordered_places, values_at
 from paceline.operators.stats import bounded, describe, histogram, marker_standing, segment_table
-from paceline.operators.windows import PACKED_ROWS, window_faster, window_histograms
+from paceline.operators.windows import PACKED_ROWS, window_faster, window_histograms, window_numbers
 from paceline.schema import COHORT_KEYS, DEFAULT_BINS, PACING_RUNS, RUN_COLUMNS, RUN_FLOOR_MIN, STATION_COLUMNS, floor_of, time_column
 from paceline.session import checkpointed
 
@@ -341,6 +341,15 @@ class BatchReports:
         Count is a difference of places; min, max and the interpolated quantiles are values at places; the mean is a
         difference of running sums, a decimal and exact (values to 9 places). No result is paired with another.
         """
+        if not self.packed_rows:
+            return self._ranged_window_stats
+        rows, others = self._race_windows(self._repeated)
+        found = window_numbers(rows, ["location", "season"], "total_time_min", self.window_min, QUANTILES)
+        numbers = _seven_numbers(found, F.col("_sum"))
+        return numbers if others is None else numbers.unionByName(others.window_stats)
+
+    @cached_property
+    def _ranged_window_stats(self) -> DataFrame:
         race = ["location", "season"]
         timed, bounds = self._window_bounds
         places = ordered_places(timed, race, "total_time_min", "result_id", self.hot_rows)

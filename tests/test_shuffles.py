@@ -1,5 +1,7 @@
 """What is shuffled on the way to the warehouse tables and the split queries, and that the rows stay the same."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 
 from paceline.operators import ordering
@@ -200,3 +202,23 @@ def test_window_bins_look_edges_up_in_tasks(spark):
     for r in twice.collect():
         counts.setdefault((r.result_id, r.start if r.bin == 0 else None), []).append(r["count"])
     assert [len(counts[i, None]) for i in (50, 51)] == [4, 8] and len(counts) == 5
+
+
+def test_window_stats_shuffle_results_once_by_race(spark):
+    """Sums are exact, negative and large values too; the same as over range sorts."""
+    found, plain = both_ways(spark, "window_stats")
+    assert found[0] == found[1] and len(found[0]) > 25
+    plan = plan_of(plain)
+    assert plan.count("Exchange hashpartitioning(location") == 1 and "Window" not in plan
+    assert "decimal" not in plan[plan.index("Exchange hashpartitioning(location") :]
+    times = [-7.000000001, 0.1, 0.2, 0.3, 1e12, 1e12 + 0.123, -1e12]
+    results = spark.createDataFrame(
+        [(k, 4, "oslo", "solo", "F", "25-29", t) for k, t in enumerate(times)],
+        "result_id long, season int, location string, division string, gender string, age_group string, total_time_min double",
+    )
+    splits = spark.createDataFrame([], "result_id long, split_name string, split_time_min double")
+    stats = {r.result_id: r for r in report.BatchReports(results, splits, results.select("result_id"), 10.0).window_stats.collect()}
+    near = [[u for u in times if abs(u - t) <= 10] for t in times]
+    for k, window in enumerate(near):
+        mean = sum(Decimal(repr(u)).quantize(Decimal("1e-9"), ROUND_HALF_UP) for u in window) / len(window)
+        assert stats[k]["count"] == len(window) and abs(stats[k]["mean"] - mean) <= Decimal("1e-18")
