@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.errors import Ambiguous, InvalidRequest, NotFound
@@ -13,7 +13,7 @@ from paceline.functions.text import present, shown_name
 from paceline.operators.cohorts import cohorts_of
 from paceline.operators.filters import given, has, positive, text_is
 from paceline.operators.joins import key_join
-from paceline.operators.ordering import HOT_ROWS, count_below, count_below_few, hot_groups, running_total, standing
+from paceline.operators.ordering import HOT_ROWS, count_before, count_below_few, hot_groups, running_total, standing
 from paceline.operators.stats import bounded, first_n_in_group
 from paceline.plans.report import with_event_ranks
 from paceline.schema import COHORT_KEYS, PROFILE_METRICS, RUN_PLUS_ROXZONE, TIME_COLUMNS
@@ -35,16 +35,17 @@ def athlete_races(results: DataFrame, links: DataFrame, index: DataFrame) -> Dat
     return linked.withColumn("athlete_name", shown_name(F.col("name"), F.col("athlete_canonical_name")))
 
 
+def metric_times(df: DataFrame) -> dict[str, Column]:
+    """The time of each profile metric that the table has columns for; null unless positive."""
+    times = {metric: positive(F.col(column)) for metric, column in PROFILE_METRICS.items() if has(df, column)}
+    if has(df, "run_time_min", "roxzone_time_min"):
+        times[RUN_PLUS_ROXZONE] = positive(F.col("run_time_min")) + positive(F.col("roxzone_time_min"))
+    return times
+
+
 def metric_rows(df: DataFrame, ids: list[str]) -> DataFrame:
     """One row per result and profile metric with a positive time (`metric`, `minutes`)."""
-    cells = [
-        F.struct(F.lit(metric).alias("metric"), positive(F.col(column)).alias("minutes"))
-        for metric, column in PROFILE_METRICS.items()
-        if has(df, column)
-    ]
-    if has(df, "run_time_min", "roxzone_time_min"):
-        both = positive(F.col("run_time_min")) + positive(F.col("roxzone_time_min"))
-        cells.append(F.struct(F.lit(RUN_PLUS_ROXZONE).alias("metric"), both.alias("minutes")))
+    cells = [F.struct(F.lit(metric).alias("metric"), time.alias("minutes")) for metric, time in metric_times(df).items()]
     return df.select(*ids, F.inline(F.array(*cells))).where(F.col("minutes").isNotNull())
 
 
@@ -60,13 +61,20 @@ def metric_percentiles(
         answered = count_below_few(values, rows, keys, "minutes", hot_rows)
     else:
         # A group has each metric at most once per result, so counting results is enough to rule out large ones.
-        limit = None if hot_groups(results, group, hot_rows) is None else hot_rows
-        answered = count_below(values, rows, keys, "minutes", limit)
+        limit = None if hot_rows is None or hot_groups(results, group, COUNTED_ROWS * hot_rows) is None else hot_rows
+        asked = rows.withColumn("_upto", F.lit(False))
+        sizes, short = bounded(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")))
+        placed = count_before(values, asked, keys, "minutes", "below", "_upto", limit).drop("_upto")
+        answered = key_join(placed, sizes, keys, "left", broadcast=short)
     share = standing(F.col("below"), F.col("total"))
     inside = F.when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)
     return answered.withColumn("percentile", inside).drop("below", "equal", "total")
 
 
+#: How many times as many values as ranked rows a task is given: equal ones are combined, and a sum runs over them.
+COUNTED_ROWS = 4
+
+
 class Profiles:
     """Profiles of the athletes in `rows` (from `athlete_races`), measured against all `results`.
 
@@ -103,7 +111,9 @@ class Profiles:
 
     @cached_property
     def bests(self) -> DataFrame:
-        return personal_bests(self.metrics)
+        # Which row is best does not hang on its percentile, so only best rows get one.
+        placed = metric_percentiles(personal_bests(self.rows), self.results, self.hot_rows, self.few)
+        return placed.withColumnRenamed("minutes", "time").drop("division", "gender")
 
     @cached_property
     def averages(self) -> DataFrame:
@@ -160,18 +170,28 @@ def summary_of(ranked: DataFrame) -> DataFrame:
     )
 
 
-def personal_bests(metrics: DataFrame) -> DataFrame:
-    """Best row per athlete and metric; of equal times the newest counts."""
-    newest = F.struct(
-        F.col("minutes"),
-        F.coalesce(-F.col("year"), F.lit(2**31 - 1)),
-        F.col("location").isNull(),
-        F.col("location"),
-        F.col("result_id"),
-    )
-    best = F.min_by(F.struct("minutes", "result_id", present(F.col("location")).alias("location"), "year", "percentile"), newest)
-    return metrics.groupBy("athlete_id", "metric").agg(best.alias("b")).select(
-        "athlete_id", "metric", F.col("b.minutes").alias("time"), "b.result_id", "b.location", "b.year", "b.percentile"
+def personal_bests(rows: DataFrame) -> DataFrame:
+    """Best row per athlete and metric, with its division and gender; of equal times the newest counts.
+
+    One pass per athlete finds the bests of all metrics, before rows are taken apart by metric.
+    """
+    best = {}
+    for metric, time in metric_times(rows).items():
+        newest = F.struct(
+            time.alias("minutes"),
+            F.coalesce(-F.col("year"), F.lit(2**31 - 1)).alias("_age"),
+            F.col("location").isNull().alias("_nowhere"),
+            "location",
+            "result_id",
+            "year",
+            "division",
+            "gender",
+        )
+        best[metric] = F.min(F.when(time.isNotNull(), newest)).alias(metric)
+    found = rows.groupBy("athlete_id").agg(*best.values())
+    cells = [F.struct(F.lit(metric).alias("metric"), F.col(metric).alias("b")) for metric in best]
+    return found.select("athlete_id", F.inline(F.array(*cells))).where(F.col("b").isNotNull()).select(
+        "athlete_id", "metric", "b.minutes", "b.result_id", present(F.col("b.location")).alias("location"), "b.year", "b.division", "b.gender"
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators import ordering
 from paceline.operators.ordering import HOT_ROWS
-from paceline.plans import compare, derived, report
+from paceline.plans import compare, derived, profile, report
 from paceline.schema import COHORT_KEYS
 from paceline.sources.warehouse import read_table, write_table
 from paceline.suite import star
@@ -222,3 +222,38 @@ def test_window_stats_shuffle_results_once_by_race(spark):
     for k, window in enumerate(near):
         mean = sum(Decimal(repr(u)).quantize(Decimal("1e-9"), ROUND_HALF_UP) for u in window) / len(window)
         assert stats[k]["count"] == len(window) and abs(stats[k]["mean"] - mean) <= Decimal("1e-18")
+
+
+def test_bests_are_found_before_percentiles(spark):
+    """Only best rows are ranked, and rows are taken apart by metric after the best are found; against a dictionary."""
+    n = F.col("id")
+    results = spark.range(60).select(
+        n.alias("result_id"),
+        F.nullif((n % 5).cast("string"), F.lit("4")).alias("location"),
+        F.nullif((2030 + n % 3).cast("int"), F.lit(2032)).alias("year"),
+        F.nullif((n % 2).cast("string"), F.lit("2")).alias("division"),
+        F.nullif((n % 7 % 2).cast("string"), F.lit("1")).alias("gender"),
+        F.when(n % 6 != 0, (n % 8).cast("double")).alias("total_time_min"),
+        F.when(n % 4 != 0, (n * 3 % 11).cast("double")).alias("skiErg_time_min"),
+        (n % 9).cast("double").alias("run_time_min"),
+        F.when(n % 9 < 7, (n % 3).cast("double")).alias("roxzone_time_min"),
+    )
+    rows = results.withColumn("athlete_id", F.nullif(F.col("result_id") % 13, F.lit(12)))
+    wanted, groups, times = {}, {}, {}
+    for r in rows.collect():
+        both = r.run_time_min + r.roxzone_time_min if r.run_time_min > 0 and (r.roxzone_time_min or 0) > 0 else None
+        for metric, time in (("overall", r.total_time_min), ("skierg", r.skiErg_time_min), ("runplusroxzone", both)):
+            if time is not None and time > 0:
+                times.setdefault((r.division, r.gender, metric), []).append(time)
+                order = (time, -r.year if r.year else 2**31 - 1, r.location is None, r.location or "", r.result_id)
+                if (r.athlete_id, metric) not in wanted or order < wanted[r.athlete_id, metric][0]:
+                    wanted[r.athlete_id, metric] = order, r
+    for (athlete, metric), (order, r) in wanted.items():
+        cohort = times[r.division, r.gender, metric]
+        share = 1.0 if len(cohort) == 1 else 1 - sum(t < order[0] for t in cohort) / (len(cohort) - 1)
+        groups[athlete, metric] = (order[0], r.result_id, r.location, r.year, max(0.0, min(1.0, share)))
+    for limit in (HOT_ROWS, 1):
+        bests = profile.Profiles(rows, results, hot_rows=limit).bests
+        assert {(b.athlete_id, b.metric): tuple(b)[2:] for b in bests.collect()} == groups and bests.count() == len(groups) == 39
+    plan = plan_of(profile.Profiles(rows, results).bests)
+    assert plan.index("Window") < plan.index("Generate") < plan.index("min(CASE")
