@@ -575,18 +575,21 @@ def run_change(results: DataFrame, splits: DataFrame | None = None) -> DataFrame
 
 
 def cohort_distribution(
-    results: DataFrame, result_id, metric: str, bins: int = 30, mode: str = "demographic", window_min: float = 5.0
-) -> tuple[float, DataFrame]:
+    results: DataFrame, result_id, metric: str, bins: int = 30, mode: str = "demographic", window_min: float = 5.0,
+    marked: bool = True,
+) -> tuple[float | None, DataFrame]:
     """The value of one result and the histogram of its cohort for one metric.
 
-    The demographic cohort spans all seasons here; the time window keeps the season and ignores the rest.
+    The demographic cohort spans all seasons here; the time window keeps the season and ignores the rest. A result without
+    the metric is an error, as there is no value to mark; with `marked=False` its value is None and the cohort stays whole.
     """
     mode = str(mode).strip().lower()
     if mode not in ("demographic", "time_window"):
         raise InvalidRequest("mode must be 'demographic' or 'time_window'")
     column = time_column(metric)
     picked = pick_result(results, result_id, list(dict.fromkeys([*COHORT_KEYS, "total_time_min", column])))
-    if picked[column] is None:
+    value = picked[column]
+    if marked and value is None:
         raise InvalidRequest(f"the result has no {column}")
     if picked["season"] is None:
         raise InvalidRequest("the result has no season")
@@ -595,7 +598,7 @@ def cohort_distribution(
     else:
         cohort = time_window_cohort(results, picked, window_min)
     values = cohort.where(F.col(column).isNotNull()).select(F.lit(column).alias("segment"), F.col(column).alias("minutes"))
-    return float(picked[column]), histogram(values, ["segment"], "minutes", bins)
+    return None if value is None else float(value), histogram(values, ["segment"], "minutes", bins)
 
 
 def split_distributions(splits: DataFrame, keys: list[str], bins: int = DEFAULT_BINS) -> tuple[DataFrame, DataFrame]:
