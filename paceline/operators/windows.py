@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators.positions import EXACT
 
-#: A group with more rows than this is not given to a single task. A row takes about 100 bytes there, 200 with its bins.
+#: A group with more rows than this is not given to a single task. A row takes up to some 300 bytes of its Python worker.
 PACKED_ROWS = 4_000_000
 #: Requests whose bins are worked out together.
 _BLOCK = 65_536
